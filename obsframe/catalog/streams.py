@@ -33,9 +33,10 @@ def _(lake: Lake) -> DataFrame:
 
 
 @query("stream_rollup", f"""
-    SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS start, event_type, round(avg(value), 6) AS average,
-           min(value) AS minimum, max(value) AS maximum, round(sum(value), 6) AS total, count(*) AS count
-    FROM events GROUP BY ALL HAVING start + INTERVAL 15 MINUTE <= {CLOSED}
+    SELECT start, event_type, round(avg(value), 6) AS average, min(value) AS minimum, max(value) AS maximum,
+           round(sum(value), 6) AS total, count(*) AS count
+    FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) AS start FROM events)
+    WHERE start + INTERVAL 15 MINUTE <= {CLOSED} GROUP BY start, event_type
 """)
 def _(lake: Lake) -> DataFrame:
     out = _result(lake, s.stream_rollup(_events(lake), ["event_type"], "PT15M", "10m"), "rollup")
@@ -72,8 +73,8 @@ def _(lake: Lake) -> DataFrame:
         FROM (SELECT *, lag(value) OVER (PARTITION BY event_type, user_id % 4 ORDER BY ts) AS prev FROM events)),
     steps AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) AS start FROM deltas, range(4) AS r(k)
               WHERE ts <= {CLOSED})
-    SELECT start, event_type, round(coalesce(sum(delta), 0), 6) AS increase FROM steps GROUP BY ALL
-    HAVING start + INTERVAL 1 HOUR <= {CLOSED}
+    SELECT start, event_type, round(coalesce(sum(delta), 0), 6) AS increase FROM steps
+    WHERE start + INTERVAL 1 HOUR <= {CLOSED} GROUP BY start, event_type
 """)
 def _(lake: Lake) -> DataFrame:
     samples = _events(lake).withColumn("pod", F.col("user_id") % 4)

@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+def _moments(us: list[int]) -> pd.Series:
+    return pd.Series(pd.to_datetime(us, unit="us", utc=True))
+
+
 class CounterDeltas(StatefulProcessor):
     """Samples wait until the watermark has passed them and then go on in time order."""
 
@@ -17,46 +21,49 @@ class CounterDeltas(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ts timestamp, value double")
-        self.waiting = handle.getListState("waiting", "ts timestamp, value double")
+        self.last = handle.getValueState("last", "us long, value double")
+        self.waiting = handle.getListState("waiting", "us long, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
+        first = None
         for batch in rows:
-            self.waiting.appendList([(t.to_pydatetime(), float(v)) for t, v in zip(batch.ts, batch.value)])
-            top = int(batch.ts.max().timestamp() * 1000) + 1
-            newest = top if newest is None else max(newest, top)
-        if newest is not None:
-            self.handle.registerTimer(newest)
+            self.waiting.appendList(list(zip(batch.us.tolist(), batch.value.tolist())))
+            first = min(batch.us.min(), first or batch.us.min())
+        self._wake(first)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
         ready, later = [], []
         for sample in self.waiting.get():
-            (ready if sample[0].timestamp() * 1000 <= mark else later).append(sample)
+            (ready if sample[0] <= mark else later).append(tuple(sample))
         if not ready:
             return
         if later:
             self.waiting.put(later)
+            self._wake(min(later)[0])
         else:
             self.waiting.clear()
         ready.sort()
         before = self.last.get()
         deltas = []
-        for ts, value in ready:
+        for us, value in ready:
             if before is None:
                 deltas.append(None)
             else:
                 deltas.append(value - before[1] if value >= before[1] else value)
-            before = (ts, value)
+            before = (us, value)
         self.last.update(before)
-        out = pd.DataFrame({"ts": [r[0] for r in ready], "value": [r[1] for r in ready],
+        out = pd.DataFrame({"ts": _moments([r[0] for r in ready]), "value": [r[1] for r in ready],
                             "delta": pd.array(deltas, dtype="Float64")})
         for i, name in enumerate(self.series):
             out.insert(i, name, key[i])
         yield out
 
+    def _wake(self, us: int) -> None:
+        """Ask to be called once the watermark has passed a sample."""
+        self.handle.registerTimer(int(us) // 1000 + 1)
+
     def close(self) -> None:
         pass
 
@@ -68,12 +75,12 @@ class AgentTurns(StatefulProcessor):
         self.recent = recent
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long, created_at timestamp")
+        self.seen = handle.getValueState("seen", "n long, created_us long")
         self.turns = handle.getListState("turns", "query string, response string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("position", kind="stable")
-        count, created = self.seen.get() if self.seen.exists() else (0, batch.ts.min().to_pydatetime())
+        count, created = self.seen.get() if self.seen.exists() else (0, int(batch.us.min()))
         turns = list(self.turns.get()) if self.turns.exists() else []
         held = []
         for query, response in zip(batch["query"], batch["response"]):
@@ -83,9 +90,10 @@ class AgentTurns(StatefulProcessor):
         self.seen.update((count + len(batch), created))
         self.turns.put([tuple(t) for t in turns])
         yield pd.DataFrame({
-            "agent_id": key[0], "position": batch.position.to_numpy(), "ts": batch.ts.to_numpy(),
+            "agent_id": key[0], "position": batch.position.to_numpy(), "ts": _moments(batch.us.tolist()),
             "query": batch["query"].to_numpy(), "response": batch["response"].to_numpy(),
-            "reflection_count": list(numbers), "recent_turns": held, "created_at": created})
+            "reflection_count": list(numbers), "recent_turns": held,
+            "created_at": _moments([created] * len(batch))})
 
     def close(self) -> None:
         pass

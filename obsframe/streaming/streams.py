@@ -51,7 +51,7 @@ def stream_deltas(samples: DataFrame, series: list[str], watermark: str) -> Data
     The state is one sample per series, plus the samples the watermark has not passed.
     """
     _use_rocksdb(samples.sparkSession)
-    keyed = samples.select(*series, "ts", "value").withWatermark("ts", interval(watermark))
+    keyed = samples.select(*series, "ts", F.unix_micros("ts").alias("us"), "value").withWatermark("ts", interval(watermark))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*series).schema]
                        + ["ts timestamp", "value double", "delta double"])
     return keyed.groupBy(*series).transformWithStateInPandas(
@@ -77,7 +77,7 @@ def stream_agent_state(turns: DataFrame, recent: int = 5) -> DataFrame:
     schema = "agent_id string, position long, ts timestamp, query string, response string, reflection_count long, " \
              "recent_turns int, created_at timestamp"
     rows = turns.select(F.col("agent_id").cast("string").alias("agent_id"), F.col("position").cast("long").alias("position"),
-                        "ts", "query", "response")
+                        F.unix_micros("ts").alias("us"), "query", "response")
     return rows.groupBy("agent_id").transformWithStateInPandas(
         AgentTurns(recent), outputStructType=schema, outputMode="Append", timeMode="None")
 
