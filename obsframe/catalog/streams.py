@@ -94,9 +94,9 @@ def _(lake: Lake) -> DataFrame:
     return _result(lake, s.stream_agent_state(turns), "agent").drop("ts")
 
 
-@query("stream_delta_assembly", """
-    SELECT CAST(event_id AS VARCHAR) AS response_id, CAST(0 AS BIGINT) AS segment_no, props AS reasoning,
-           event_type || '/' || user_id AS answer FROM events
+@query("stream_delta_assembly", f"""
+    SELECT event_id AS response_id, CAST(0 AS BIGINT) AS segment_no, props AS reasoning,
+           event_type || '/' || user_id AS answer, true AS complete FROM events WHERE ts + INTERVAL 90 SECOND <= {CLOSED}
 """)
 def _(lake: Lake) -> DataFrame:
     # Each event stands for a reply of four chunks, the first of which is reasoning.
@@ -105,9 +105,9 @@ def _(lake: Lake) -> DataFrame:
     none = F.lit(None)
     pieces = F.array(piece(3, none, F.col("user_id")), piece(1, none, F.col("event_type")),
                      piece(0, F.col("props"), none), piece(2, none, F.lit("/")))
-    deltas = _events(lake).select(F.col("event_id").alias("response_id"), F.explode(pieces).alias("p")).select(
-        "response_id", "p.*", (F.col("p.seq") == 3).alias("is_last"))
-    return _result(lake, s.stream_delta_assembly(deltas), "assembly")
+    deltas = _events(lake).select(F.col("event_id").alias("response_id"), "ts", F.explode(pieces).alias("p")).select(
+        "response_id", "ts", "p.*", (F.col("p.seq") == 3).alias("is_last"))
+    return _result(lake, s.stream_delta_assembly(deltas, "10m"), "assembly")
 
 
 @query("stream_upsert", """

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsframe.functions.units import interval
-from obsframe.plans.slices import SLICE, attach, last_rows, lookup_join, scan, slice_by, slice_count, unslice
+from obsframe.plans.slices import last_rows, lookup_join, scan, slice_by, slice_count, unslice
 
 CONTEXT_TURNS = 5  # fixed value: earlier turns given to the model
 
@@ -72,7 +72,9 @@ def fold_state(turns: DataFrame, chunk: int = 1000, slices: int | None = None) -
     further documents, numbered by ``chunk_no``, so no history has to fit one row.
     """
     numbered = scan(turns, ["agent_id"], ["position"], sums={"rn": F.lit(1)}, slices=slices,
-                    totals={"created_at": F.min("ts"), "last_updated": F.max("ts"), "reflection_count": F.count(F.lit(1))})
+                    totals={
+                        "created_at": ("min", F.col("ts")), "last_updated": ("max", F.col("ts")),
+                        "reflection_count": ("count", F.lit(1))})
     entry = F.struct("rn", F.struct("query", "response", F.col("ts").alias("timestamp")).alias("e"))
     return (numbered.withColumn("chunk_no", F.floor((F.col("rn") - 1) / chunk))
             .groupBy("agent_id", "created_at", "last_updated", "reflection_count", "chunk_no")
@@ -101,14 +103,14 @@ def state_or_default(ids: DataFrame, state: DataFrame, now: str, key: str = "age
 
 def state_versions(states: DataFrame, key: str, order: list[str], slices: int | None = None) -> DataFrame:
     """Number the versions of each key from 1 and flag the latest."""
-    out = scan(states, [key], order, sums={"version": F.lit(1)}, totals={"versions": F.count(F.lit(1))}, slices=slices)
+    out = scan(states, [key], order, sums={"version": F.lit(1)}, totals={"versions": ("count", F.lit(1))}, slices=slices)
     return out.withColumn("is_latest", F.col("version") == F.col("versions")).drop("versions")
 
 
 def catalog_versions(deploys: DataFrame, name: str, order: list[str], definition: str,
                      slices: int | None = None) -> DataFrame:
     """Per deploy: is the definition reused or new, and which version is it then."""
-    cut = slice_by(deploys, order[0], slices)
+    cut = slice_by(deploys, order, slices)
     seen = scan(cut, [name], order, previous={"__prev": F.col(definition), "__any": F.lit(True)}, slices=slices)
     changed = F.col("__any").isNull() | ~F.col(definition).eqNullSafe(F.col("__prev"))
     marked = seen.withColumn("is_new", changed).drop("__prev", "__any")
@@ -155,7 +157,7 @@ def idle_sessions(df: DataFrame, key: str, ts: str = "ts", gap: str = "30m", sli
 def session_starts(df: DataFrame, key: str, ts: str, gap: str, slices: int | None = None) -> DataFrame:
     """Add ``session_start``, the time of the first row of the session a row is in."""
     slices = slice_count(df, slices)
-    cut = slice_by(df, ts, slices)
+    cut = slice_by(df, [ts], slices)
     lagged = scan(cut, [key], [ts], previous={"__prev": F.col(ts)}, slices=slices)
     opens = F.col("__prev").isNull() | (F.col(ts) - F.col("__prev") > F.expr(f"interval {interval(gap)}"))
     marked = lagged.withColumn("__open", F.when(opens, F.col(ts))).drop("__prev")

@@ -19,16 +19,19 @@ def audit_claims(df: DataFrame, issuers: list[str], audiences: list[str] | None
     Only issuers are always checked; audience and claim rules apply where given. The
     signature is not checked.
     """
-    body = token_payload(F.col(token))
-    verdict = F.when(F.col(token).isNull() | (F.col(token) == ""), "missing token")
-    verdict = verdict.when(body.isNull(), "unreadable token")
-    verdict = verdict.when(~_one_of(claim(body, "iss"), issuers), "wrong issuer")
+    # Each read of the token is a column of its own, so it happens once per row.
+    rows = df.withColumn("__body", token_payload(F.col(token))).withColumns({
+        "__iss": claim(F.col("__body"), "iss"), "__aud": claim(F.col("__body"), "aud"),
+        "__claim": claim(F.col("__body"), claim_name or "sub")})
+    verdict = F.when(F.coalesce(F.col(token), F.lit("")) == "", "missing token")
+    verdict = verdict.when(F.col("__body").isNull(), "unreadable token")
+    verdict = verdict.when(~_one_of(F.col("__iss"), issuers), "wrong issuer")
     if audiences is not None:
-        verdict = verdict.when(~_one_of(claim(body, "aud"), audiences), "wrong audience")
+        verdict = verdict.when(~_one_of(F.col("__aud"), audiences), "wrong audience")
     if claim_name is not None:
-        verdict = verdict.when(~_one_of(claim(body, claim_name), allowed or []), "claim not allowed")
-    return df.withColumn("verdict", verdict.otherwise("ok")).withColumn(
-        "status", F.when(F.col("verdict") == "ok", 200).otherwise(401))
+        verdict = verdict.when(~_one_of(F.col("__claim"), allowed or []), "claim not allowed")
+    rows = rows.withColumn("verdict", verdict.otherwise("ok")).drop("__body", "__iss", "__aud", "__claim")
+    return rows.withColumn("status", F.when(F.col("verdict") == "ok", 200).otherwise(401))
 
 
 def _one_of(value: Column, allowed: list[str]) -> Column:
@@ -71,7 +74,7 @@ def prompt_cache(calls: DataFrame, prompt: str, order: list[str], slices: int |
 def probe_state(probes: DataFrame, key: str, order: list[str], ok: str, fail_n: int, ok_n: int = 1,
                 slices: int | None = None) -> DataFrame:
     """Health after each probe: ``fail_n`` failures in a row make it unhealthy, ``ok_n`` successes healthy."""
-    cut = slice_by(probes, order[0], slices)
+    cut = slice_by(probes, order, slices)
     rows = scan(cut, [key], order, sums={"__rn": F.lit(1)}, slices=slices)
     good, spot = F.col(ok), F.col("__rn")
     rows = scan(rows, [key], order, slices=slices, highs={

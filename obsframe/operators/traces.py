@@ -53,7 +53,7 @@ def trace_timeline(spans: DataFrame, most_levels: int = 1024, slices: int | None
     Depth is null where a span hangs below a cycle or more than ``most_levels`` deep.
     """
     slices = slice_count(spans, slices)
-    timed = scan(spans, ["trace_id"], ["span_id"], totals={"trace_start": F.min("start_us")}, slices=slices)
+    timed = scan(spans, ["trace_id"], ["span_id"], totals={"trace_start": ("min", F.col("start_us"))}, slices=slices)
     depths = _depth_below(spans, most_levels, slices).withColumnRenamed("span_id", "parent_id")
     out = attach(timed, depths, ["trace_id", "parent_id"], slices=slices)
     return out.withColumn("offset_us", F.col("start_us") - F.col("trace_start")).withColumn(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsframe.functions.text import mask_for, pad_to
-from obsframe.plans.slices import attach, scan
+from obsframe.plans.slices import attach, lookup_join, scan
 
 SEQUENCE_LENGTH = 512  # fixed value: ids per example
 PAD_ID, UNKNOWN_ID, FIRST_WORD_ID = 0, 1, 2
@@ -15,7 +15,7 @@ CHAT_ROLES = ("system", "user", "assistant")
 
 def number_rows(df: DataFrame, order: list[str], slices: int | None = None) -> DataFrame:
     """Add the 1-based ``position`` in the whole table and the table's ``rows``."""
-    return scan(df, [], order, sums={"position": F.lit(1)}, totals={"rows": F.count(F.lit(1))}, slices=slices)
+    return scan(df, [], order, sums={"position": F.lit(1)}, totals={"rows": ("count", F.lit(1))}, slices=slices)
 
 
 def split_head(df: DataFrame, percent: float, order: list[str], slices: int | None = None) -> DataFrame:
@@ -63,7 +63,8 @@ def choose_pad(pad: int | None = None, eos: int | None = None, unknown: int | No
 
 def build_vocab(df: DataFrame, text: str = "text", slices: int | None = None) -> DataFrame:
     """Words with ids by falling frequency, then by word. Ids 0 and 1 are reserved."""
-    counts = df.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    spread = df.select(F.explode(F.split(F.lower(text), r"\s+")).alias("word")).where(F.col("word") != "")
+    counts = spread.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     ranked = scan(counts.withColumn("__rare", -F.col("n")), [], ["__rare", "word"], sums={"id": F.lit(1)}, slices=slices)
     return ranked.select("word", "n", (F.col("id") + FIRST_WORD_ID - 1).alias("id"))
 
@@ -98,17 +99,14 @@ def validate_chat(messages: DataFrame, key: str = "conv_id", order: str = "turn"
     """Per conversation whether it has the chat format: known roles, no empty message,
     user and assistant in turn, an assistant at the end."""
     role = F.col("role")
-    talker = F.when(role != "system", F.struct(F.col(order).alias("o"), role.alias("r")))
-    linked = scan(messages, [key], [order], slices=slices,
-                  highs={"__upto": talker}, previous={"__prev_order": F.col(order)})
-    # The talker before this row is the running one of the row before.
-    before = scan(linked, [key], [order], slices=slices, previous={"__before": F.col("__upto.r")})
-    repeated = (role != "system") & role.eqNullSafe(F.col("__before"))
-    out = before.groupBy(key).agg(
+    basic = messages.groupBy(key).agg(
         F.count(F.lit(1)).alias("messages"),
         F.count_if(~role.isin(*CHAT_ROLES)).alias("unknown_roles"),
         F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("empty_messages"),
-        F.count_if(repeated).alias("repeated_roles"),
         (F.max_by("role", order) == "assistant").alias("ends_with_assistant"))
+    talk = scan(messages.where(role != "system").select(key, order, "role"), [key], [order],
+                previous={"__before": role}, slices=slices)
+    again = talk.groupBy(key).agg(F.count_if(role == F.col("__before")).alias("repeated_roles"))
+    out = lookup_join(basic, again, [key]).fillna(0, "repeated_roles")
     return out.withColumn("valid", (F.col("unknown_roles") == 0) & (F.col("empty_messages") == 0)
                           & (F.col("repeated_roles") == 0) & F.col("ends_with_assistant"))

@@ -14,7 +14,7 @@ argument overrides the estimate.
 from __future__ import annotations
 
 from functools import reduce
-from math import ceil
+from math import ceil, inf, nextafter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SLICE = "__slice"
+PARTIAL = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 SLICE_BYTES = 128 * 1024 * 1024
 MOST_SLICES = 4096
 UNKNOWN_BYTES = 2**60
@@ -47,22 +49,40 @@ def _bytes(plan) -> int:
     return int(str(plan.stats().sizeInBytes()))
 
 
-def slice_by(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
-    """Add the slice column, cut at quantiles of ``order``; one job finds the cuts.
+def slice_by(df: DataFrame, order: list[str], slices: int | None = None) -> DataFrame:
+    """Add the slice column, cut at quantiles of the first order column.
 
-    The cuts become literals of the plan, so a re-run task sees the same slices.
+    A value so common that it spans several slices is cut further at quantiles of the
+    second order column. One job finds the cuts, a second one only where there are such
+    values. The cuts become literals of the plan, so a re-run task sees the same slices.
     """
     if SLICE in df.columns:
         return df
     count = slice_count(df, slices)
     if count == 1:
         return df
-    placed = df.withColumn("__place", _place(df, order))
-    cuts = placed.where(F.abs("__place") < float("inf")).approxQuantile(
-        "__place", [i / count for i in range(1, count)], 0.25 / count)
-    edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    cut = Bucketizer(splits=edges, inputCol="__place", outputCol=SLICE).transform(placed)
-    return cut.withColumn(SLICE, F.col(SLICE).cast("int")).drop("__place")
+    placed = df.withColumn("__place", _place(df, order[0]))
+    cuts = _quantiles(placed, "__place", count)
+    common = sorted({c for c, after in zip(cuts, cuts[1:]) if c == after})
+    edges = {*cuts, *[nextafter(c, inf) for c in common]}
+    cut = _bucket(placed, "__place", edges, SLICE)
+    if common and len(order) > 1:
+        cut = cut.withColumn("__second", F.when(F.col("__place").isin(common), _place(df, order[1])))
+        inner = _quantiles(cut.where(F.col("__second").isNotNull()), "__second", count)
+        cut = _bucket(cut.fillna(-inf, "__second"), "__second", set(inner), "__part")
+        cut = cut.withColumn(SLICE, F.col(SLICE) * (count + 1) + F.col("__part"))
+    return cut.drop("__place", "__second", "__part")
+
+
+def _quantiles(df: DataFrame, column: str, count: int) -> list[float]:
+    """Ascending cuts into ``count`` parts, a common value as often as it is hit."""
+    return sorted(df.where(F.abs(column) < inf).approxQuantile(
+        column, [i / count for i in range(1, count)], 0.25 / count))
+
+
+def _bucket(df: DataFrame, column: str, edges: set[float], name: str) -> DataFrame:
+    cut = Bucketizer(splits=[-inf, *sorted(edges), inf], inputCol=column, outputCol=name).transform(df)
+    return cut.withColumn(name, F.col(name).cast("int"))
 
 
 def unslice(df: DataFrame) -> DataFrame:
@@ -78,19 +98,19 @@ def scan(
     following: dict[str, Column] | None = None,
     sums: dict[str, Column] | None = None,
     highs: dict[str, Column] | None = None,
-    totals: dict[str, Column] | None = None,
+    totals: dict[str, tuple[str, Column]] | None = None,
     slices: int | None = None,
-    keep_slices: bool = False,
 ) -> DataFrame:
     """Per row and key, in ascending ``order``: the row before, the row after, running
-    sums and maxima up to and including the row, and aggregates of the whole key.
+    sums and maxima up to and including the row, and figures of the whole key.
 
     ``previous``/``following``/``sums``/``highs`` map a new column to an expression;
-    ``totals`` maps it to an aggregate. ``order`` must be unique within a key.
+    ``totals`` to ``(kind, expression)`` with a kind of ``count``, ``sum``, ``min`` or
+    ``max``. ``order`` must be unique within a key.
     """
     previous, following = previous or {}, following or {}
     sums, highs, totals = sums or {}, highs or {}, totals or {}
-    cut = slice_by(df, order[0], slices)
+    cut = slice_by(df, order, slices)
     sliced = SLICE in cut.columns
     local = Window.partitionBy(*keys, *([SLICE] if sliced else [])).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -102,7 +122,7 @@ def scan(
             **{n: F.lead(F.struct(c.alias("v"))).over(local)["v"] for n, c in following.items()},
             **{n: F.sum(c).over(upto) for n, c in sums.items()},
             **{n: F.max(c).over(upto) for n, c in highs.items()},
-            **{n: a.over(whole) for n, a in totals.items()},
+            **{n: PARTIAL[kind](c).over(whole) for n, (kind, c) in totals.items()},
         })
 
     # One small row per (key, slice); partial aggregation happens before its shuffle.
@@ -114,8 +134,7 @@ def scan(
         parts["__head"] = F.min_by(_pack(following), place)
     parts |= {f"__sum_{n}": F.sum(c) for n, c in sums.items()}
     parts |= {f"__high_{n}": F.max(c) for n, c in highs.items()}
-    if not parts:
-        parts["__rows"] = F.count(F.lit(1))
+    parts |= {f"__total_{n}": PARTIAL[kind](c) for n, (kind, c) in totals.items()}
     summary = cut.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in parts.items()])
     across = Window.partitionBy(*keys).orderBy(SLICE)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -125,10 +144,8 @@ def scan(
         *([F.lead("__head").over(across).alias("__head")] if following else []),
         *[F.sum(f"__sum_{n}").over(before).alias(f"__sum_{n}") for n in sums],
         *[F.max(f"__high_{n}").over(before).alias(f"__high_{n}") for n in highs],
+        *[MERGE[kind](f"__total_{n}").over(whole).alias(f"__total_{n}") for n, (kind, _) in totals.items()],
     )
-    if totals:
-        whole_key = cut.groupBy(*keys).agg(*[a.alias(f"__total_{n}") for n, a in totals.items()])
-        carried = _match(carried, whole_key, keys)
     if previous or following or sums or highs:
         cut = cut.withColumns({
             **({"__lag": F.lag(_pack(previous)).over(local)} if previous else {}),
@@ -139,7 +156,7 @@ def scan(
     joined = _match(cut, carried, [*keys, SLICE], bounded=not keys)
     result = joined.select(
         *[c for c in df.columns if c != SLICE],
-        *([SLICE] if keep_slices or SLICE in df.columns else []),
+        *([SLICE] if SLICE in df.columns else []),
         *[F.coalesce("__lag", "__tail")[n].alias(n) for n in previous],
         *[F.coalesce("__lead", "__head")[n].alias(n) for n in following],
         *[_plus(F.col(f"__run_{n}"), F.col(f"__sum_{n}")).alias(n) for n in sums],
@@ -170,7 +187,7 @@ def attach(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
 def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int, value: Column,
               name: str, slices: int | None = None) -> DataFrame:
     """Add an array of ``value`` from up to ``n`` rows before each row, oldest first."""
-    cut = slice_by(df, order[0], slices)
+    cut = slice_by(df, order, slices)
     sliced = SLICE in cut.columns
     local = Window.partitionBy(*keys, *([SLICE] if sliced else [])).orderBy(*order)
     recent = F.collect_list(F.struct(value.alias("v"))).over(local.rowsBetween(-n, -1))
@@ -200,7 +217,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
     are ordered.
     """
     known = df.select(*keys, value).where(F.col(value).isNotNull())
-    cut = slice_by(known, value, slices)
+    cut = slice_by(known, [value], slices)
     if SLICE not in cut.columns:
         return cut.groupBy(*keys).agg(*[F.percentile(value, p).alias(n) for n, p in wanted.items()])
 
@@ -245,13 +262,11 @@ def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
 
     ``bounded`` marks a right side of at most one row per slice, which may be broadcast.
     """
-    if not keys:
-        keys, left, right = ["__one"], left.withColumn("__one", F.lit(1)), right.withColumn("__one", F.lit(1))
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
     if bounded:
         renamed = F.broadcast(renamed)
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys], "__one")
+    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def _pack(columns: dict[str, Column]) -> Column:
@@ -277,4 +292,4 @@ def _place(df: DataFrame, name: str) -> Column:
     else:
         spot = column
     spot = spot.cast("double")
-    return F.when(column.isNull(), F.lit(float("-inf"))).otherwise(spot)
+    return F.when(column.isNull(), F.lit(-inf)).otherwise(spot)

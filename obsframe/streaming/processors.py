@@ -1,5 +1,4 @@
-"""Keyed state processors. State per key is small: a sample, a count, a few turns, an
-unfinished reply."""
+"""Keyed state processors. State per key is small: a sample, a count, a few turns."""
 
 from __future__ import annotations
 
@@ -97,34 +96,3 @@ class AgentTurns(StatefulProcessor):
 
     def close(self) -> None:
         pass
-
-
-class DeltaAssembly(StatefulProcessor):
-    """Chunks of one reply segment, held until the segment is complete."""
-
-    def __init__(self, segment: int):
-        self.segment = segment
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pieces = handle.getMapState("pieces", "seq long", "reasoning string, content string")
-        self.size = handle.getValueState("size", "n long, total long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, total = self.size.get() if self.size.exists() else (0, self.segment)
-        for batch in rows:
-            for row in batch.itertuples(index=False):
-                held += not self.pieces.containsKey((row.seq,))
-                self.pieces.updateValue((row.seq,), (row.reasoning or "", row.content or ""))
-                if row.is_last:
-                    total = row.seq % self.segment + 1
-        if held < total:
-            self.size.update((held, total))
-            return
-        pieces = [piece for _, piece in sorted((k[0], v) for k, v in self.pieces.iterator())]
-        self.pieces.clear()
-        self.size.clear()
-        yield pd.DataFrame({"response_id": [key[0]], "segment_no": [key[1]],
-                            "reasoning": ["".join(p[0] for p in pieces)], "answer": ["".join(p[1] for p in pieces)]})
-
-    def close(self) -> None:
-        pass

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from obsframe.functions.units import interval
 from obsframe.sources.sinks import upsert_latest
-from obsframe.streaming.processors import AgentTurns, CounterDeltas, DeltaAssembly
+from obsframe.streaming.processors import AgentTurns, CounterDeltas
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -82,18 +82,24 @@ def stream_agent_state(turns: DataFrame, recent: int = 5) -> DataFrame:
         AgentTurns(recent), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
-def stream_delta_assembly(deltas: DataFrame, segment: int = 10_000) -> DataFrame:
-    """Reasoning and answer text of a reply segment once all its chunks are there.
+def stream_delta_assembly(deltas: DataFrame, watermark: str, timeout: str = "90s", segment: int = 10_000) -> DataFrame:
+    """Reasoning and answer text of each reply segment, once no further chunk can come.
 
-    ``deltas`` has ``response_id, seq, reasoning, content, is_last``.
+    ``deltas`` has ``response_id, seq, ts, reasoning, content, is_last``. A reply silent
+    for the request ``timeout`` is over. ``complete`` tells whether its last chunk and
+    all before it were seen; a chunk that came twice counts once.
     """
-    _use_rocksdb(deltas.sparkSession)
-    rows = deltas.select(F.col("response_id").cast("string").alias("response_id"),
-                         F.floor(F.col("seq") / segment).alias("segment_no"), F.col("seq").cast("long").alias("seq"),
-                         "reasoning", "content", "is_last")
-    return rows.groupBy("response_id", "segment_no").transformWithStateInPandas(
-        DeltaAssembly(segment), outputStructType="response_id string, segment_no long, reasoning string, answer string",
-        outputMode="Append", timeMode="None")
+    piece = F.struct("seq", F.coalesce("reasoning", F.lit("")).alias("r"), F.coalesce("content", F.lit("")).alias("c"))
+    rows = (deltas.withWatermark("ts", interval(watermark))
+            .groupBy("response_id", F.floor(F.col("seq") / segment).alias("segment_no"),
+                     F.session_window("ts", interval(timeout)))
+            .agg(F.collect_set(piece).alias("s"), F.max("is_last").alias("ended"), F.max("seq").alias("top")))
+    pieces = rows.withColumn("p", F.sort_array("s"))
+    whole = F.size("p") == F.col("top") - F.col("segment_no") * segment + 1
+    return pieces.select(
+        "response_id", "segment_no", F.array_join(F.col("p")["r"], "").alias("reasoning"),
+        F.array_join(F.col("p")["c"], "").alias("answer"),
+        (whole & (F.col("ended") | (F.size("p") == segment))).alias("complete"))
 
 
 def stream_upsert(states: DataFrame, key: str, order: list[str], path: str, checkpoint: str, **trigger) -> StreamingQuery:
