@@ -133,10 +133,10 @@ def _(lake: Lake) -> DataFrame:
 
 
 @query("epoch_loss", """
-    SELECT epoch, count(*) AS steps, round(avg(loss), 9) AS loss FROM training_steps WHERE step <= 500 GROUP BY epoch
+    SELECT epoch, count(*) AS steps, round(avg(loss), 9) AS loss FROM training_steps GROUP BY epoch
 """, "training_steps")
 def _(lake: Lake) -> DataFrame:
-    return t.epoch_loss(lake.training_steps, 500).withColumn("loss", F.round("loss", 9))
+    return t.epoch_loss(lake.training_steps).withColumn("loss", F.round("loss", 9))
 
 
 @query("validate_chat", """

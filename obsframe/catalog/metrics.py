@@ -52,10 +52,10 @@ def _(lake: Lake) -> DataFrame:
 @query("increase_by_series", f"""
     WITH {DELTAS}
     SELECT name, pod, response_code, coalesce(sum(delta), 0) AS increase FROM deltas
-    WHERE ts > TIMESTAMP '2024-01-08' AND ts <= TIMESTAMP '2024-01-22' GROUP BY ALL
+    WHERE ts > TIMESTAMP '{END}' - INTERVAL 24 DAY AND ts <= TIMESTAMP '{END}' GROUP BY ALL
 """, "counter_samples")
 def _(lake: Lake) -> DataFrame:
-    return m.increase(lake.counter_samples, SERIES, "2024-01-22 00:00:00", "14d")
+    return m.increase(lake.counter_samples, SERIES, END, "24d")
 
 
 @query("sum_increase_by_code", f"""
@@ -71,15 +71,15 @@ def sum_increase_by_code(lake: Lake) -> DataFrame:
 @query("increase_extrapolated", f"""
     WITH inside AS (
         SELECT *, lag(value) OVER (PARTITION BY name, pod, response_code ORDER BY ts) AS prev FROM counter_samples
-        WHERE ts > TIMESTAMP '2024-01-08' AND ts <= TIMESTAMP '2024-01-22'),
+        WHERE ts > TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '{END}'),
     spans AS (
         SELECT name, pod, response_code, count(*) AS n, arg_min(value, ts) AS v0,
                coalesce(sum(CASE WHEN value >= prev THEN value - prev WHEN prev IS NOT NULL THEN value END), 0) AS grown,
                epoch_us(min(ts)) / 1e6 AS t0, epoch_us(max(ts)) / 1e6 AS t1
         FROM inside GROUP BY ALL HAVING count(*) >= 2),
     gaps AS (SELECT *, t1 - t0 AS sampled, (t1 - t0) / (n - 1) AS gap,
-                    t0 - epoch_us(TIMESTAMP '2024-01-08') / 1e6 AS lead,
-                    epoch_us(TIMESTAMP '2024-01-22') / 1e6 - t1 AS tail FROM spans),
+                    t0 - epoch_us(TIMESTAMP '2024-01-01') / 1e6 AS lead,
+                    epoch_us(TIMESTAMP '{END}') / 1e6 - t1 AS tail FROM spans),
     reach AS (SELECT *, CASE WHEN lead >= gap * 1.1 THEN gap / 2 ELSE lead END AS l1,
                      CASE WHEN tail >= gap * 1.1 THEN gap / 2 ELSE tail END AS l2 FROM gaps)
     SELECT name, pod, response_code, round(grown * (sampled + l2 + CASE WHEN grown > 0 AND v0 >= 0
@@ -87,7 +87,7 @@ def sum_increase_by_code(lake: Lake) -> DataFrame:
     FROM reach
 """, "counter_samples")
 def _(lake: Lake) -> DataFrame:
-    out = m.increase(lake.counter_samples, SERIES, "2024-01-22 00:00:00", "14d", mode="extrapolated")
+    out = m.increase(lake.counter_samples, SERIES, END, MONTH, mode="extrapolated")
     return out.withColumn("increase", F.round("increase", 6))
 
 

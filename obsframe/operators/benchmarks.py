@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from obsframe.plans.slices import lookup_join, percentiles
+from obsframe.plans.slices import summarize
 from obsframe.schemas import BENCHMARK_FIELDS, BILLING_MODELS
 
 
@@ -15,14 +16,14 @@ def benchmark_rollup(requests: DataFrame, by: tuple[str, ...] = ("platform", "wo
                      slices: int | None = None) -> DataFrame:
     """Requests as benchmark figures. What was not measured is null, never zero."""
     span = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
-    basic = requests.groupBy(*by).agg(
+    figures = [
         F.count(F.lit(1)).alias("requests"), F.count_if("success").alias("successful_requests"),
         F.count_if(~F.col("success")).alias("failed_requests"), span.alias("duration_seconds"),
-        F.avg("latency_ms").alias("average_latency_ms"), F.sum("tokens").alias("__tokens"))
-    tail = percentiles(requests, list(by), "latency_ms", {"p95_latency_ms": 0.95}, slices)
+        F.avg("latency_ms").alias("average_latency_ms"), F.sum("tokens").alias("__tokens")]
+    out = summarize(requests, list(by), figures, "latency_ms", {"p95_latency_ms": 0.95}, slices)
     rate = F.when(F.col("__tokens").isNotNull() & (F.col("duration_seconds") > 0),
                   F.col("__tokens") / F.col("duration_seconds"))
-    return lookup_join(basic, tail, list(by)).withColumn("tokens_per_second", rate).drop("__tokens")
+    return out.withColumn("tokens_per_second", rate).drop("__tokens")
 
 
 def compare_platforms(results: DataFrame, platforms: list[str], dimensions: list[str]) -> DataFrame:
@@ -39,10 +40,9 @@ def union_results(*results: DataFrame) -> DataFrame:
 
 def leaderboard(responses: DataFrame, by: str = "model", value: str = "duration", slices: int | None = None) -> DataFrame:
     """Number, total, mean, median, minimum and maximum of the durations of each model."""
-    basic = responses.groupBy(by).agg(
-        F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"),
-        F.min(value).alias("min"), F.max(value).alias("max"))
-    return lookup_join(basic, percentiles(responses, [by], value, {"median": 0.5}, slices), [by])
+    figures = [F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"),
+               F.min(value).alias("min"), F.max(value).alias("max")]
+    return summarize(responses, [by], figures, value, {"median": 0.5}, slices)
 
 
 def model_rank(responses: DataFrame, baseline: str, task: str = "task", model: str = "model",
@@ -51,7 +51,6 @@ def model_rank(responses: DataFrame, baseline: str, task: str = "task", model: s
 
     ``responses`` has one row per task and model.
     """
-    from pyspark.sql.window import Window
     within = Window.partitionBy(task)
     base = F.max(F.when(F.col(model) == baseline, F.col(value))).over(within)
     return responses.withColumns({

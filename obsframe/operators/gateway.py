@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from obsframe.functions.tokens import claim, token_payload
 from obsframe.functions.units import interval
-from obsframe.plans.slices import lookup_join, scan, slice_by, unslice
+from obsframe.plans.slices import attach, lookup_join, scan, slice_by, unslice
 
 
 def audit_claims(df: DataFrame, issuers: list[str], audiences: list[str] | None = None,
@@ -120,7 +120,7 @@ def quota_headroom(usage: DataFrame, limits: DataFrame, key: str) -> DataFrame:
                       (F.col("limit") - F.coalesce("used", F.lit(0))).alias("remaining"))
 
 
-def cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
+def cost(usage: DataFrame, rates: DataFrame, slices: int | None = None) -> DataFrame:
     """Quantity times the rate of its billing model; null where the quantity was not measured.
 
     ``usage`` has one row per result with ``billing_model, core_hours, uptime_hours, tokens``.
@@ -128,5 +128,5 @@ def cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
     measured = (F.when(F.col("billing_model") == "compute_core_hours", F.col("core_hours"))
                 .when(F.col("billing_model") == "node_uptime", F.col("uptime_hours"))
                 .when(F.col("billing_model") == "per_token", F.col("tokens").cast("double")))
-    return lookup_join(usage.withColumn("quantity", measured), rates, ["billing_model"]).withColumn(
+    return attach(usage.withColumn("quantity", measured), rates, ["billing_model"], slices=slices).withColumn(
         "cost", F.col("quantity") * F.col("rate"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from obsframe.functions.labels import label
 from obsframe.functions.text import full_match
-from obsframe.plans.slices import lookup_join
+from obsframe.plans.slices import attach
 
 
 def _joined(df: DataFrame, sources: list[str]) -> Column:
@@ -58,7 +58,8 @@ def match_selector(targets: DataFrame, monitors: list[Monitor]) -> DataFrame:
     return targets.withColumn("monitor", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
 
 
-def apply_target_settings(samples: DataFrame, settings: DataFrame, target: str = "target") -> DataFrame:
+def apply_target_settings(samples: DataFrame, settings: DataFrame, target: str = "target",
+                          slices: int | None = None) -> DataFrame:
     """Drop samples of disabled targets and metrics outside a keep-list; add the interval.
 
     An empty keep-list keeps everything. ``settings`` has one row per target kind.
@@ -66,4 +67,4 @@ def apply_target_settings(samples: DataFrame, settings: DataFrame, target: str =
     enabled = settings.where("enabled").select(target, "keep_list", "scrape_interval")
     kept = F.coalesce("keep_list", F.lit("")) == ""
     wanted = F.expr("name rlike concat('^(?:', keep_list, ')$')")
-    return lookup_join(samples, enabled, [target], "inner").where(kept | wanted).drop("keep_list")
+    return attach(samples, enabled, [target], "inner", slices).where(kept | wanted).drop("keep_list")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsframe.plans.slices import attach, lookup_join, percentiles, scan, slice_count
+from obsframe.plans.slices import attach, scan, slice_count, summarize
 from obsframe.session import ready_checkpoints
 
 
@@ -43,8 +43,8 @@ def span_self_time(spans: DataFrame) -> DataFrame:
 def span_performance(spans: DataFrame, by: tuple[str, ...] = ("service", "operation"),
                      slices: int | None = None) -> DataFrame:
     """Calls, mean and 95th percentile of the duration."""
-    basic = spans.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.avg("duration_us").alias("mean_us"))
-    return lookup_join(basic, percentiles(spans, list(by), "duration_us", {"p95_us": 0.95}, slices), list(by))
+    figures = [F.count(F.lit(1)).alias("calls"), F.avg("duration_us").alias("mean_us")]
+    return summarize(spans, list(by), figures, "duration_us", {"p95_us": 0.95}, slices)
 
 
 def trace_timeline(spans: DataFrame, most_levels: int = 1024, slices: int | None = None) -> DataFrame:

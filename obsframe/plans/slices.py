@@ -126,12 +126,10 @@ def scan(
         })
 
     # One small row per (key, slice); partial aggregation happens before its shuffle.
-    parts: dict[str, Column] = {}
-    place = F.struct(*order)
-    if previous:
-        parts["__tail"] = F.max_by(_pack(previous), place)
-    if following:
-        parts["__head"] = F.min_by(_pack(following), place)
+    # A single order column keeps it a hash aggregate.
+    place = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    parts = {f"__tail_{n}": F.max_by(c, place) for n, c in previous.items()}
+    parts |= {f"__head_{n}": F.min_by(c, place) for n, c in following.items()}
     parts |= {f"__sum_{n}": F.sum(c) for n, c in sums.items()}
     parts |= {f"__high_{n}": F.max(c) for n, c in highs.items()}
     parts |= {f"__total_{n}": PARTIAL[kind](c) for n, (kind, c) in totals.items()}
@@ -140,8 +138,8 @@ def scan(
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(
         *keys, SLICE,
-        *([F.lag("__tail").over(across).alias("__tail")] if previous else []),
-        *([F.lead("__head").over(across).alias("__head")] if following else []),
+        *([F.lag(_pack({n: F.col(f"__tail_{n}") for n in previous})).over(across).alias("__tail")] if previous else []),
+        *([F.lead(_pack({n: F.col(f"__head_{n}") for n in following})).over(across).alias("__head")] if following else []),
         *[F.sum(f"__sum_{n}").over(before).alias(f"__sum_{n}") for n in sums],
         *[F.max(f"__high_{n}").over(before).alias(f"__high_{n}") for n in highs],
         *[MERGE[kind](f"__total_{n}").over(whole).alias(f"__total_{n}") for n, (kind, _) in totals.items()],
@@ -170,12 +168,13 @@ def attach(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
            slices: int | None = None) -> DataFrame:
     """Join ``lookup``, unique per key, onto ``df`` whose keys may be very skewed.
 
-    Rows are salted by a hash of their content and the lookup row is given to each
+    A lookup that Spark's own size check lets it broadcast needs nothing else. Beyond
+    that, rows are salted by a hash of their content and the lookup row is given to each
     ``(key, salt)`` that exists, so a hot key is read by many tasks and a rare key is
-    not copied at all.
+    hardly copied.
     """
     count = slice_count(df, slices)
-    if count == 1:
+    if count == 1 or (slices is None and _broadcastable(lookup)):
         return _match(df, lookup, keys, how)
     hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*hashable), F.lit(count)))
@@ -184,6 +183,11 @@ def attach(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
     return _match(salted, given, [*keys, "__salt"], how).drop("__salt")
 
 
+def _broadcastable(df: DataFrame) -> bool:
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return 0 <= _bytes(df._jdf.queryExecution().optimizedPlan()) <= limit
+
+
 def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int, value: Column,
               name: str, slices: int | None = None) -> DataFrame:
     """Add an array of ``value`` from up to ``n`` rows before each row, oldest first."""
@@ -252,6 +256,15 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
         F.max(F.when(F.col("__name") == n, F.col("__value"))).alias(n) for n in wanted])
 
 
+def summarize(df: DataFrame, keys: list[str], figures: list[Column], value: str, wanted: dict[str, float],
+              slices: int | None = None) -> DataFrame:
+    """Aggregates per key together with exact percentiles of ``value``."""
+    slices = slice_count(df, slices)
+    if slices == 1:
+        return df.groupBy(*keys).agg(*figures, *[F.percentile(value, p).alias(n) for n, p in wanted.items()])
+    return _match(df.groupBy(*keys).agg(*figures), percentiles(df, keys, value, wanted, slices), keys)
+
+
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Null-safe equi-join keeping the left key columns."""
     return _match(left, right, keys, how)

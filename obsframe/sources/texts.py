@@ -60,10 +60,10 @@ def parse_matrices(files: DataFrame) -> DataFrame:
     lines = F.filter(F.split("block", r"\r?\n"), lambda line: F.trim(line) != "")
     ruled = r"^[\s|:-]+$"
     tables = tables.withColumn("lines", F.filter(lines, lambda line: ~line.rlike(ruled)))
-    rows = tables.withColumn("header", _cells(F.col("lines")[0])).select(
+    rows = tables.withColumn("header", _cells(F.get("lines", F.lit(0)))).select(
         "doc", "table_no", "header", F.posexplode(F.slice("lines", 2, 1_000_000_000)).alias("row_no", "line"))
     rows = rows.withColumn("cells", _cells(F.col("line")))
-    return rows.select("doc", "table_no", "row_no", F.col("cells")[0].alias("entity"),
+    return rows.select("doc", "table_no", "row_no", F.get("cells", F.lit(0)).alias("entity"),
                        F.posexplode("header").alias("column_no", "attribute"), "cells").where(
         F.col("column_no") > 0).select(
         "doc", "table_no", "row_no", "entity", "attribute", F.get("cells", F.col("column_no")).alias("value"))
