@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from obsframe.functions.units import interval
-from obsframe.plans.slices import last_rows, lookup_join, scan, slice_by, slice_count, unslice
+from obsframe.plans.slices import SLICE, last_rows, lookup_join, scan, slice_by, unslice
 
 CONTEXT_TURNS = 5  # fixed value: earlier turns given to the model
 
@@ -139,30 +140,26 @@ def state_as_of(requests: DataFrame, versions: DataFrame, key: str, ts: str, pay
 def idle_sessions(df: DataFrame, key: str, ts: str = "ts", gap: str = "30m", slices: int | None = None) -> DataFrame:
     """Sessions of each key, ended by a pause longer than ``gap``: start, end, events.
 
-    Sessions inside a slice are summed first; only the parts that touch a slice edge
-    are then put together.
+    ``session_window`` merges rows exactly one gap apart, which is the rule wanted here.
+    In a sliced table it finds the sessions of each slice; of those only the first of a
+    slice can go on from an earlier slice, and the summary below tells which do.
     """
-    rows = df.select(key, ts)
-    count = slice_count(rows, slices)
-    if count == 1:
-        # session_window merges rows exactly one gap apart, which is the rule wanted here.
-        return (rows.groupBy(key, F.session_window(ts, interval(gap)).alias("w"))
-                .agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("events"))
-                .drop("w"))
-    started = session_starts(rows, key, ts, gap, count)
-    parts = started.groupBy(key, "session_start").agg(F.max(ts).alias("end"), F.count(F.lit(1)).alias("events"))
-    return parts.withColumnRenamed("session_start", "start")
-
-
-def session_starts(df: DataFrame, key: str, ts: str, gap: str, slices: int | None = None) -> DataFrame:
-    """Add ``session_start``, the time of the first row of the session a row is in."""
-    slices = slice_count(df, slices)
-    cut = slice_by(df, [ts], slices)
-    lagged = scan(cut, [key], [ts], previous={"__prev": F.col(ts)}, slices=slices)
-    opens = F.col("__prev").isNull() | (F.col(ts) - F.col("__prev") > F.expr(f"interval {interval(gap)}"))
-    marked = lagged.withColumn("__open", F.when(opens, F.col(ts))).drop("__prev")
-    out = scan(marked, [key], [ts], highs={"session_start": F.col("__open")}, slices=slices)
-    return unslice(out.drop("__open"))
+    cut = slice_by(df.select(key, ts), [ts], slices)
+    parts = cut.groupBy(*[c for c in cut.columns if c != ts], F.session_window(ts, interval(gap)).alias("w")).agg(
+        F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("events")).drop("w")
+    if SLICE not in parts.columns:
+        return parts
+    across = Window.partitionBy(key).orderBy(SLICE)
+    ends = parts.groupBy(key, SLICE).agg(
+        F.min("start").alias("first"), F.max("start").alias("last"), F.max("end").alias("end"),
+        F.count(F.lit(1)).alias("parts")).withColumn("before", F.lag("end").over(across))
+    goes_on = F.coalesce(F.col("first") - F.col("before") <= F.expr(f"interval {interval(gap)}"), F.lit(False))
+    opened = F.when(~goes_on | (F.col("parts") > 1), F.col("last"))
+    began = F.max(opened).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    links = ends.withColumn("began", began).where(goes_on).select(key, SLICE, F.col("first").alias("start"), "began")
+    linked = lookup_join(parts, links, [key, SLICE, "start"])
+    return linked.groupBy(key, F.coalesce("began", "start").alias("start")).agg(
+        F.max("end").alias("end"), F.sum("events").alias("events"))
 
 
 def pool_usage(df: DataFrame, key: str, ts: str = "ts", cooldown: str = "600s", most: int = 50, ready: int = 3,

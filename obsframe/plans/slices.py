@@ -23,11 +23,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SLICE = "__slice"
+EDGE = "__edge"
 PARTIAL = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 SLICE_BYTES = 128 * 1024 * 1024
+SAMPLED_BYTES = 8 * SLICE_BYTES
 MOST_SLICES = 4096
 UNKNOWN_BYTES = 2**60
+FIXED_ZONES = ("UTC", "Etc/UTC", "GMT", "Z")  # no clock changes, so a cast keeps the order
 
 
 def slice_count(df: DataFrame, slices: int | None = None) -> int:
@@ -36,15 +39,19 @@ def slice_count(df: DataFrame, slices: int | None = None) -> int:
     fixed = slices or spark.conf.get("spark.obsframe.slices", None)
     if fixed:
         return int(fixed)
-    plan = df._jdf.queryExecution().optimizedPlan()
-    leaves = plan.collectLeaves()
-    read = sum(_bytes(leaves.apply(i)) for i in range(leaves.size()))
-    size = min(_bytes(plan), read)
+    size = _size(df)
     if size >= UNKNOWN_BYTES:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(1, min(ceil(size / SLICE_BYTES), MOST_SLICES))
 
 
+def _size(df: DataFrame) -> int:
+    """Bytes the plan is thought to read; a join's estimate alone would be a product."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    return min(_bytes(plan), sum(_bytes(leaves.apply(i)) for i in range(leaves.size())))
+
+
 def _bytes(plan) -> int:
     return int(str(plan.stats().sizeInBytes()))
 
@@ -75,7 +82,13 @@ def slice_by(df: DataFrame, order: list[str], slices: int | None = None) -> Data
 
 
 def _quantiles(df: DataFrame, column: str, count: int) -> list[float]:
-    """Ascending cuts into ``count`` parts, a common value as often as it is hit."""
+    """Ascending cuts into ``count`` parts, a common value as often as it is hit.
+
+    Tables of many slices are sampled, as Spark does to range-partition them: only the
+    evenness of the cuts depends on it, never a result.
+    """
+    if SAMPLED_BYTES <= _size(df) < UNKNOWN_BYTES:
+        df = df.sample(0.01, seed=1)
     return sorted(df.where(F.abs(column) < inf).approxQuantile(
         column, [i / count for i in range(1, count)], 0.25 / count))
 
@@ -111,12 +124,9 @@ def scan(
     previous, following = previous or {}, following or {}
     sums, highs, totals = sums or {}, highs or {}, totals or {}
     cut = slice_by(df, order, slices)
-    sliced = SLICE in cut.columns
-    local = Window.partitionBy(*keys, *([SLICE] if sliced else [])).orderBy(*order)
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-
-    if not sliced:
+    if SLICE not in cut.columns:
+        local = Window.partitionBy(*keys).orderBy(*order)
+        upto, whole = local.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*keys)
         return cut.withColumns({
             **{n: F.lag(F.struct(c.alias("v"))).over(local)["v"] for n, c in previous.items()},
             **{n: F.lead(F.struct(c.alias("v"))).over(local)["v"] for n, c in following.items()},
@@ -134,34 +144,41 @@ def scan(
     parts |= {f"__high_{n}": F.max(c) for n, c in highs.items()}
     parts |= {f"__total_{n}": PARTIAL[kind](c) for n, (kind, c) in totals.items()}
     summary = cut.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in parts.items()])
-    across = Window.partitionBy(*keys).orderBy(SLICE)
+
+    # What reaches a slice from those before it (and, for ``following``, from those after)
+    # becomes an edge row that sorts before (after) the slice's own rows. The windows below
+    # then need no join: rows are shuffled once, together with the few edge rows.
+    across, whole = Window.partitionBy(*keys).orderBy(SLICE), Window.partitionBy(*keys)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(
-        *keys, SLICE,
+    edges = summary.select(
+        *keys, SLICE, F.lit(-1).alias(EDGE),
         *([F.lag(_pack({n: F.col(f"__tail_{n}") for n in previous})).over(across).alias("__tail")] if previous else []),
-        *([F.lead(_pack({n: F.col(f"__head_{n}") for n in following})).over(across).alias("__head")] if following else []),
         *[F.sum(f"__sum_{n}").over(before).alias(f"__sum_{n}") for n in sums],
         *[F.max(f"__high_{n}").over(before).alias(f"__high_{n}") for n in highs],
-        *[MERGE[kind](f"__total_{n}").over(whole).alias(f"__total_{n}") for n, (kind, _) in totals.items()],
-    )
-    if previous or following or sums or highs:
-        cut = cut.withColumns({
-            **({"__lag": F.lag(_pack(previous)).over(local)} if previous else {}),
-            **({"__lead": F.lead(_pack(following)).over(local)} if following else {}),
-            **{f"__run_{n}": F.sum(c).over(upto) for n, c in sums.items()},
-            **{f"__top_{n}": F.max(c).over(upto) for n, c in highs.items()},
-        })
-    joined = _match(cut, carried, [*keys, SLICE], bounded=not keys)
-    result = joined.select(
-        *[c for c in df.columns if c != SLICE],
-        *([SLICE] if SLICE in df.columns else []),
-        *[F.coalesce("__lag", "__tail")[n].alias(n) for n in previous],
-        *[F.coalesce("__lead", "__head")[n].alias(n) for n in following],
-        *[_plus(F.col(f"__run_{n}"), F.col(f"__sum_{n}")).alias(n) for n in sums],
-        *[F.greatest(f"__top_{n}", f"__high_{n}").alias(n) for n in highs],
-        *[F.col(f"__total_{n}").alias(n) for n in totals],
-    )
-    return result
+        *[MERGE[kind](f"__total_{n}").over(whole).alias(f"__total_{n}") for n, (kind, _) in totals.items()])
+    rows = cut.withColumn(EDGE, F.lit(0)).unionByName(edges, allowMissingColumns=True)
+    if following:
+        after = F.lead(_pack({n: F.col(f"__head_{n}") for n in following})).over(across)
+        rows = rows.unionByName(summary.select(*keys, SLICE, F.lit(1).alias(EDGE), after.alias("__head")),
+                                allowMissingColumns=True)
+
+    local = Window.partitionBy(*keys, SLICE).orderBy(EDGE, *order)
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.col(EDGE) == 0
+    found = rows.withColumns({
+        **({"__prev": F.lag(F.when(own, _pack(previous)).otherwise(F.col("__tail"))).over(local)} if previous else {}),
+        **({"__next": F.lead(F.when(own, _pack(following)).otherwise(F.col("__head"))).over(local)} if following else {}),
+        **{f"__run_{n}": F.sum(F.when(own, c).otherwise(F.col(f"__sum_{n}"))).over(upto) for n, c in sums.items()},
+        **{f"__top_{n}": F.max(F.when(own, c).otherwise(F.col(f"__high_{n}"))).over(upto) for n, c in highs.items()},
+        **{f"__all_{n}": F.first(f"__total_{n}").over(upto) for n in totals},
+    })
+    return found.where(own).select(
+        *df.columns,
+        *[F.col("__prev")[n].alias(n) for n in previous],
+        *[F.col("__next")[n].alias(n) for n in following],
+        *[F.col(f"__run_{n}").alias(n) for n in sums],
+        *[F.col(f"__top_{n}").alias(n) for n in highs],
+        *[F.col(f"__all_{n}").alias(n) for n in totals])
 
 
 def attach(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
@@ -192,24 +209,23 @@ def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int, value: C
               name: str, slices: int | None = None) -> DataFrame:
     """Add an array of ``value`` from up to ``n`` rows before each row, oldest first."""
     cut = slice_by(df, order, slices)
-    sliced = SLICE in cut.columns
-    local = Window.partitionBy(*keys, *([SLICE] if sliced else [])).orderBy(*order)
-    recent = F.collect_list(F.struct(value.alias("v"))).over(local.rowsBetween(-n, -1))
-    if not sliced:
-        return cut.withColumn(name, recent["v"])
+    if SLICE not in cut.columns:
+        local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
+        return cut.withColumn(name, F.collect_list(F.struct(value.alias("v"))).over(local)["v"])
     backwards = Window.partitionBy(*keys, SLICE).orderBy(*[F.desc(o) for o in order])
     ends = (
-        cut.withColumn("__back", F.row_number().over(backwards)).where(F.col("__back") <= n)
-        .groupBy(*keys, SLICE)
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("__back")).alias("b"), value.alias("v")))).alias("__end"))
-    )
+        cut.select(*keys, SLICE, value.alias("v"), F.row_number().over(backwards).alias("back")).where(F.col("back") <= n)
+        .groupBy(*keys, SLICE).agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("b"), "v"))).alias("end")))
     across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(-n, -1)
-    carried = ends.select(*keys, SLICE, F.flatten(F.collect_list("__end").over(across)).alias("__carry"))
-    joined = _match(cut.withColumn("__recent", recent["v"]), carried, [*keys, SLICE])
-    every = F.concat(F.col("__carry")["v"], F.col("__recent"))
-    tail = F.when(F.size(every) > n, F.slice(every, -n, n)).otherwise(every)
-    out = joined.withColumn(name, tail).drop("__carry", "__recent")
-    return out if SLICE in df.columns else unslice(out)
+    earlier = F.flatten(F.collect_list("end").over(across))
+    carried = ends.select(*keys, SLICE, earlier.alias("all")).select(
+        *keys, SLICE, F.posexplode(F.slice("all", F.greatest(F.size("all") - n, F.lit(0)) + 1, n)).alias("at", "e"))
+    edges = carried.select(*keys, SLICE, (F.col("at") - n).alias(EDGE), F.col("e.v").alias("__carried"))
+    rows = cut.withColumn(EDGE, F.lit(0)).unionByName(edges, allowMissingColumns=True)
+    local = Window.partitionBy(*keys, SLICE).orderBy(EDGE, *order).rowsBetween(-n, -1)
+    given = F.when(F.col(EDGE) == 0, value).otherwise(F.col("__carried"))
+    found = rows.withColumn(name, F.collect_list(F.struct(given.alias("v"))).over(local)["v"])
+    return found.where(F.col(EDGE) == 0).select(*df.columns, name)
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float],
@@ -270,14 +286,9 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return _match(left, right, keys, how)
 
 
-def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", bounded: bool = False) -> DataFrame:
-    """Null-safe equi-join that keeps the left key columns.
-
-    ``bounded`` marks a right side of at most one row per slice, which may be broadcast.
-    """
+def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Null-safe equi-join that keeps the left key columns."""
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
-    if bounded:
-        renamed = F.broadcast(renamed)
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
@@ -286,15 +297,13 @@ def _pack(columns: dict[str, Column]) -> Column:
     return F.struct(*[c.alias(n) for n, c in columns.items()])
 
 
-def _plus(here: Column, before: Column) -> Column:
-    return F.when(before.isNull(), here).when(here.isNull(), before).otherwise(here + before)
-
-
 def _place(df: DataFrame, name: str) -> Column:
     """A double that never falls as ``name`` rises; nulls come first."""
     kind, column = df.schema[name].dataType, F.col(name)
     if isinstance(kind, T.TimestampType):
         spot = F.unix_micros(column)
+    elif isinstance(kind, T.TimestampNTZType) and df.sparkSession.conf.get("spark.sql.session.timeZone") in FIXED_ZONES:
+        spot = F.unix_micros(column.cast("timestamp"))
     elif isinstance(kind, T.TimestampNTZType):
         day = F.unix_date(column.cast("date")) * 86400.0
         spot = day + F.hour(column) * 3600 + F.minute(column) * 60 + F.date_part(F.lit("SECOND"), column)

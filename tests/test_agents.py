@@ -54,10 +54,12 @@ def test_a_pause_of_exactly_the_gap_does_not_end_a_session(spark, slices):
     assert got == [("u", 1), ("u", 1), ("u", 2), ("v", 1)]
 
 
-def test_session_starts_carry_over_slices(spark):
-    df = minutes(spark, [("u", i) for i in range(100)] + [("u", 500 + i) for i in range(100)])
-    got = a.session_starts(df, "k", "ts", "30m", slices=9).groupBy("session_start").count().collect()
-    assert sorted((r.session_start, r["count"]) for r in got) == [(START, 100), (START + timedelta(minutes=500), 100)]
+def test_sessions_go_on_over_many_slices(spark):
+    df = minutes(spark, [("u", i) for i in range(100)] + [("u", 500 + i) for i in range(100)] + [("v", 31 * i) for i in range(30)]
+                 + [(None, i) for i in range(40)])
+    got = sorted(((r.k, r.start, r.events) for r in a.idle_sessions(df, "k", gap="30m", slices=11).collect()), key=repr)
+    assert got == sorted([("u", START, 100), ("u", START + timedelta(minutes=500), 100), (None, START, 40)]
+                         + [("v", START + timedelta(minutes=31 * i), 1) for i in range(30)], key=repr)
 
 
 def test_pool_usage_counts_live_sessions(spark, slices):
