@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from obsframe.functions.units import interval
-from obsframe.plans.slices import SLICE, last_rows, lookup_join, scan, slice_by, unslice
+from obsframe.plans.slices import SLICE, last_rows, lookup_join, scan, settle, slice_by, unslice
 
 CONTEXT_TURNS = 5  # fixed value: earlier turns given to the model
 
@@ -173,7 +173,7 @@ def pool_usage(df: DataFrame, key: str, ts: str = "ts", cooldown: str = "600s",
     steps = sessions.select(F.explode(F.array(
         F.struct(F.col("start").alias("ts"), F.lit(1).alias("step")),
         F.struct((F.col("end") + hold).alias("ts"), F.lit(-1).alias("step")))).alias("s")).select("s.*")
-    moments = steps.groupBy("ts").agg(F.sum("step").alias("step"))
+    moments = settle(steps.groupBy("ts").agg(F.sum("step").alias("step")), slices)
     out = scan(moments, [], ["ts"], sums={"live": F.col("step")}, slices=slices)
     return out.select("ts", "live", (F.col("live") > most).alias("over_limit"),
                       F.greatest(F.col("live") - ready, F.lit(0)).alias("beyond_ready"))

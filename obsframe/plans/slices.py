@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from obsframe.session import ready_checkpoints
+
 SLICE = "__slice"
 EDGE = "__edge"
 PARTIAL = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
@@ -98,6 +100,18 @@ def _bucket(df: DataFrame, column: str, edges: set[float], name: str) -> DataFra
     return cut.withColumn(name, F.col(name).cast("int"))
 
 
+def settle(df: DataFrame, slices: int | None = None) -> DataFrame:
+    """Write a costly intermediate table once, if it will be read in slices.
+
+    Finding cuts, summarizing and the final pass each read their input; a checkpoint in
+    the shared folder spares computing it again and survives lost executors.
+    """
+    if slice_count(df, slices) == 1:
+        return df
+    ready_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def unslice(df: DataFrame) -> DataFrame:
     return df.drop(SLICE)
 
