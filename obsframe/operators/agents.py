@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from obsframe.functions.units import interval
-from obsframe.plans.slices import SLICE, last_rows, lookup_join, scan, settle, slice_by, unslice
+from obsframe.plans.slices import SLICE, last_rows, lookup_join, scan, settle, slice_by, slice_once, unslice
 
 CONTEXT_TURNS = 5  # fixed value: earlier turns given to the model
 
@@ -111,7 +111,7 @@ def state_versions(states: DataFrame, key: str, order: list[str], slices: int |
 def catalog_versions(deploys: DataFrame, name: str, order: list[str], definition: str,
                      slices: int | None = None) -> DataFrame:
     """Per deploy: is the definition reused or new, and which version is it then."""
-    cut = slice_by(deploys, order, slices)
+    cut, slices = slice_once(deploys, [name], order, slices)
     seen = scan(cut, [name], order, previous={"__prev": F.col(definition), "__any": F.lit(True)}, slices=slices)
     changed = F.col("__any").isNull() | ~F.col(definition).eqNullSafe(F.col("__prev"))
     marked = seen.withColumn("is_new", changed).drop("__prev", "__any")
@@ -141,14 +141,15 @@ def idle_sessions(df: DataFrame, key: str, ts: str = "ts", gap: str = "30m", sli
     """Sessions of each key, ended by a pause longer than ``gap``: start, end, events.
 
     ``session_window`` merges rows exactly one gap apart, which is the rule wanted here.
-    In a sliced table it finds the sessions of each slice; of those only the first of a
-    slice can go on from an earlier slice, and the summary below tells which do.
+    Of a hot key it finds the sessions of each slice; of those only the first of a slice
+    can go on from an earlier slice, and the summary below tells which do.
     """
-    cut = slice_by(df.select(key, ts), [ts], slices)
+    cut = slice_by(df.select(key, ts), [key], [ts], slices)
     parts = cut.groupBy(*[c for c in cut.columns if c != ts], F.session_window(ts, interval(gap)).alias("w")).agg(
         F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("events")).drop("w")
     if SLICE not in parts.columns:
         return parts
+    others, parts = parts.where(F.col(SLICE) == 0), parts.where(F.col(SLICE) > 0)
     across = Window.partitionBy(key).orderBy(SLICE)
     ends = parts.groupBy(key, SLICE).agg(
         F.min("start").alias("first"), F.max("start").alias("last"), F.max("end").alias("end"),
@@ -158,8 +159,9 @@ def idle_sessions(df: DataFrame, key: str, ts: str = "ts", gap: str = "30m", sli
     began = F.max(opened).over(across.rowsBetween(Window.unboundedPreceding, -1))
     links = ends.withColumn("began", began).where(goes_on).select(key, SLICE, F.col("first").alias("start"), "began")
     linked = lookup_join(parts, links, [key, SLICE, "start"])
-    return linked.groupBy(key, F.coalesce("began", "start").alias("start")).agg(
+    whole = linked.groupBy(key, F.coalesce("began", "start").alias("start")).agg(
         F.max("end").alias("end"), F.sum("events").alias("events"))
+    return whole.unionByName(others.drop(SLICE))
 
 
 def pool_usage(df: DataFrame, key: str, ts: str = "ts", cooldown: str = "600s", most: int = 50, ready: int = 3,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from obsframe.functions.tokens import claim, token_payload
 from obsframe.functions.units import interval
-from obsframe.plans.slices import attach, lookup_join, scan, slice_by, unslice
+from obsframe.plans.slices import attach, lookup_join, scan, slice_once, unslice
 
 
 def audit_claims(df: DataFrame, issuers: list[str], audiences: list[str] | None = None,
@@ -74,7 +74,7 @@ def prompt_cache(calls: DataFrame, prompt: str, order: list[str], slices: int |
 def probe_state(probes: DataFrame, key: str, order: list[str], ok: str, fail_n: int, ok_n: int = 1,
                 slices: int | None = None) -> DataFrame:
     """Health after each probe: ``fail_n`` failures in a row make it unhealthy, ``ok_n`` successes healthy."""
-    cut = slice_by(probes, order, slices)
+    cut, slices = slice_once(probes, [key], order, slices)
     rows = scan(cut, [key], order, sums={"__rn": F.lit(1)}, slices=slices)
     good, spot = F.col(ok), F.col("__rn")
     rows = scan(rows, [key], order, slices=slices, highs={

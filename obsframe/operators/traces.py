@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsframe.plans.slices import attach, scan, slice_count, summarize
-from obsframe.session import ready_checkpoints
+from obsframe.session import write_once
 
 
 def sample_traces(spans: DataFrame, percent: float) -> DataFrame:
@@ -66,8 +66,6 @@ def _depth_below(spans: DataFrame, most_levels: int, slices: int | None) -> Data
     Only parents take part, which makes wide fans small. Each round every parent jumps
     to its jump target's target, so ``log2(levels)`` rounds are enough.
     """
-    spark = spans.sparkSession
-    ready_checkpoints(spark)
     parents = spans.where(F.col("parent_id").isNotNull()).select(
         "trace_id", F.col("parent_id").alias("span_id")).distinct()
     inner = spans.select("trace_id", "span_id", "parent_id").join(parents, ["trace_id", "span_id"])
@@ -77,13 +75,13 @@ def _depth_below(spans: DataFrame, most_levels: int, slices: int | None) -> Data
         F.when(F.col("linked"), F.col("parent_id")).alias("up"),
         F.when(F.col("linked"), 1).otherwise(0).alias("steps"))
     reached = 1
-    jumps = jumps.checkpoint()
+    jumps = write_once(jumps, "depth")
     while reached < most_levels and not jumps.where(F.col("up").isNotNull()).isEmpty():
         hop = jumps.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"),
                            F.col("steps").alias("steps2"))
-        jumps = attach(jumps, hop, ["trace_id", "up"], slices=slices).select(
+        jumps = write_once(attach(jumps, hop, ["trace_id", "up"], slices=slices).select(
             "trace_id", "span_id", F.col("up2").alias("up"),
-            (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")).checkpoint()
+            (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), "depth")
         reached *= 2
     return jumps.select("trace_id", "span_id", F.lit(True).alias("known"),
                         F.when(F.col("up").isNull(), F.col("steps") + 1).alias("below"))

@@ -1,14 +1,14 @@
 """Ordered work over groups of any size.
 
-A window such as ``lag`` or a running sum puts a whole key into one task. When one
-key holds a third of 100 TB that task never ends. The functions here cut the order
-column into slices of nearly equal row counts, work inside ``(key, slice)``, and
-carry a small summary from slice to slice. A ``(key, slice)`` group holds at most
-one slice, i.e. about rows / slices, however skewed the keys are.
-
-How many slices are used follows from the plan's own size estimate, so small inputs
-keep the ordinary single-window plan. ``spark.obsframe.slices`` or the ``slices``
-argument overrides the estimate.
+A window such as ``lag`` or a running sum puts a whole key into one task. When one key
+holds a third of 100 TB that task never ends. The functions here find the hot keys, cut
+their order column into slices of nearly equal row counts, work inside ``(key, slice)``,
+and carry a small summary from slice to slice. A group then holds at most about
+rows / slices, however skewed the keys are. Other keys stay whole, so a table without
+hot keys keeps the ordinary plan.
+
+How many slices are wanted follows from the plan's own size estimate; small inputs need
+none. ``spark.obsframe.slices`` or the ``slices`` argument overrides the estimate.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from functools import reduce
 from math import ceil, inf, nextafter
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from obsframe.session import ready_checkpoints
+from obsframe.session import write_once
 
 SLICE = "__slice"
 EDGE = "__edge"
@@ -58,58 +58,84 @@ def _bytes(plan) -> int:
     return int(str(plan.stats().sizeInBytes()))
 
 
-def slice_by(df: DataFrame, order: list[str], slices: int | None = None) -> DataFrame:
-    """Add the slice column, cut at quantiles of the first order column.
+def slice_by(df: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> DataFrame:
+    """Add the slice column if some key is hot: 0 for other keys, from 1 up for hot ones.
 
-    A value so common that it spans several slices is cut further at quantiles of the
-    second order column. One job finds the cuts, a second one only where there are such
-    values. The cuts become literals of the plan, so a re-run task sees the same slices.
+    Without keys the whole table is one hot group. Cuts are quantiles of the first order
+    column; a value so common that it spans several slices is cut further at quantiles
+    of the second one. Hot keys and cuts are few, found by small jobs, and become
+    constants of the plan, so a re-run task sees the same slices.
     """
     if SLICE in df.columns:
         return df
     count = slice_count(df, slices)
     if count == 1:
         return df
-    placed = df.withColumn("__place", _place(df, order[0]))
+    rows = df
+    if keys:
+        hot = _hot_keys(df, keys, count)
+        if hot is None:
+            return df
+        rows = _match(df, F.broadcast(hot), keys)
+    is_hot = F.col("__parts").isNotNull() if keys else F.lit(True)
+    placed = rows.withColumn("__place", F.when(is_hot, _place(df, order[0])))
     cuts = _quantiles(placed, "__place", count)
     common = sorted({c for c, after in zip(cuts, cuts[1:]) if c == after})
     edges = {*cuts, *[nextafter(c, inf) for c in common]}
     cut = _bucket(placed, "__place", edges, SLICE)
     if common and len(order) > 1:
         cut = cut.withColumn("__second", F.when(F.col("__place").isin(common), _place(df, order[1])))
-        inner = _quantiles(cut.where(F.col("__second").isNotNull()), "__second", count)
-        cut = _bucket(cut.fillna(-inf, "__second"), "__second", set(inner), "__part")
+        inner = _quantiles(cut, "__second", count)
+        cut = _bucket(cut, "__second", set(inner), "__part")
         cut = cut.withColumn(SLICE, F.col(SLICE) * (count + 1) + F.col("__part"))
-    return cut.drop("__place", "__second", "__part")
+    return cut.withColumn(SLICE, F.when(is_hot, F.col(SLICE) + 1).otherwise(0)).drop(
+        "__parts", "__place", "__second", "__part")
 
 
-def _quantiles(df: DataFrame, column: str, count: int) -> list[float]:
-    """Ascending cuts into ``count`` parts, a common value as often as it is hit.
+def slice_once(df: DataFrame, keys: list[str], order: list[str], slices: int | None) -> tuple[DataFrame, int | None]:
+    """``slice_by`` for several scans of one table: the second value goes to each scan."""
+    cut = slice_by(df, keys, order, slices)
+    return cut, (None if SLICE in cut.columns else 1)
 
-    Tables of many slices are sampled, as Spark does to range-partition them: only the
-    evenness of the cuts depends on it, never a result.
-    """
-    if SAMPLED_BYTES <= _size(df) < UNKNOWN_BYTES:
-        df = df.sample(0.01, seed=1)
-    return sorted(df.where(F.abs(column) < inf).approxQuantile(
+
+def _hot_keys(df: DataFrame, keys: list[str], count: int) -> DataFrame | None:
+    """Keys with more than ``1 / count`` of the rows, of which there are fewer than
+    ``count``, and in how many parts each should be cut."""
+    seen = Observation()
+    sizes = _sampled(df).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).observe(seen, F.sum("__n").alias("rows"))
+    top = sizes.orderBy(F.desc("__n")).limit(count).collect()
+    share = (seen.get["rows"] or 0) / count
+    hot = [(*row[:-1], ceil(row["__n"] / share)) for row in top if row["__n"] > share]
+    if not hot:
+        return None
+    schema = T.StructType([*df.select(*keys).schema.fields, T.StructField("__parts", T.IntegerType())])
+    return df.sparkSession.createDataFrame(hot, schema)
+
+
+def _sampled(df: DataFrame) -> DataFrame:
+    """Large tables are sampled, as Spark does to range-partition them: only the evenness
+    of slices depends on it, never a result."""
+    return df.sample(0.01, seed=1) if SAMPLED_BYTES <= _size(df) < UNKNOWN_BYTES else df
+
+
+def _quantiles(df: DataFrame, column: str, count: int) -> list[float]:
+    """Ascending cuts into ``count`` parts, a common value as often as it is hit."""
+    return sorted(_sampled(df.where(F.abs(column) < inf)).approxQuantile(
         column, [i / count for i in range(1, count)], 0.25 / count))
 
 
 def _bucket(df: DataFrame, column: str, edges: set[float], name: str) -> DataFrame:
-    cut = Bucketizer(splits=[-inf, *sorted(edges), inf], inputCol=column, outputCol=name).transform(df)
+    cut = Bucketizer(splits=[-inf, *sorted(edges), inf], inputCol=column, outputCol=name).transform(
+        df.fillna(-inf, column))
     return cut.withColumn(name, F.col(name).cast("int"))
 
 
 def settle(df: DataFrame, slices: int | None = None) -> DataFrame:
     """Write a costly intermediate table once, if it will be read in slices.
 
-    Finding cuts, summarizing and the final pass each read their input; a checkpoint in
-    the shared folder spares computing it again and survives lost executors.
+    Finding cuts, summarizing and the final pass each read their input.
     """
-    if slice_count(df, slices) == 1:
-        return df
-    ready_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    return df if slice_count(df, slices) == 1 else write_once(df, "settled")
 
 
 def unslice(df: DataFrame) -> DataFrame:
@@ -137,7 +163,7 @@ def scan(
     """
     previous, following = previous or {}, following or {}
     sums, highs, totals = sums or {}, highs or {}, totals or {}
-    cut = slice_by(df, order, slices)
+    cut = slice_by(df, keys, order, slices)
     if SLICE not in cut.columns:
         local = Window.partitionBy(*keys).orderBy(*order)
         upto, whole = local.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*keys)
@@ -149,7 +175,7 @@ def scan(
             **{n: PARTIAL[kind](c).over(whole) for n, (kind, c) in totals.items()},
         })
 
-    # One small row per (key, slice); partial aggregation happens before its shuffle.
+    # One small row per (hot key, slice); partial aggregation happens before its shuffle.
     # A single order column keeps it a hash aggregate.
     place = F.struct(*order) if len(order) > 1 else F.col(order[0])
     parts = {f"__tail_{n}": F.max_by(c, place) for n, c in previous.items()}
@@ -157,7 +183,7 @@ def scan(
     parts |= {f"__sum_{n}": F.sum(c) for n, c in sums.items()}
     parts |= {f"__high_{n}": F.max(c) for n, c in highs.items()}
     parts |= {f"__total_{n}": PARTIAL[kind](c) for n, (kind, c) in totals.items()}
-    summary = cut.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in parts.items()])
+    summary = cut.where(F.col(SLICE) > 0).groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in parts.items()])
 
     # What reaches a slice from those before it (and, for ``following``, from those after)
     # becomes an edge row that sorts before (after) the slice's own rows. The windows below
@@ -178,13 +204,15 @@ def scan(
 
     local = Window.partitionBy(*keys, SLICE).orderBy(EDGE, *order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*keys, SLICE)
     own = F.col(EDGE) == 0
     found = rows.withColumns({
         **({"__prev": F.lag(F.when(own, _pack(previous)).otherwise(F.col("__tail"))).over(local)} if previous else {}),
         **({"__next": F.lead(F.when(own, _pack(following)).otherwise(F.col("__head"))).over(local)} if following else {}),
         **{f"__run_{n}": F.sum(F.when(own, c).otherwise(F.col(f"__sum_{n}"))).over(upto) for n, c in sums.items()},
         **{f"__top_{n}": F.max(F.when(own, c).otherwise(F.col(f"__high_{n}"))).over(upto) for n, c in highs.items()},
-        **{f"__all_{n}": F.first(f"__total_{n}").over(upto) for n in totals},
+        **{f"__all_{n}": F.coalesce(F.max(f"__total_{n}").over(inside), PARTIAL[kind](F.when(own, c)).over(inside))
+           for n, (kind, c) in totals.items()},
     })
     return found.where(own).select(
         *df.columns,
@@ -200,17 +228,21 @@ def attach(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
     """Join ``lookup``, unique per key, onto ``df`` whose keys may be very skewed.
 
     A lookup that Spark's own size check lets it broadcast needs nothing else. Beyond
-    that, rows are salted by a hash of their content and the lookup row is given to each
-    ``(key, salt)`` that exists, so a hot key is read by many tasks and a rare key is
-    hardly copied.
+    that, rows of hot keys are salted by a hash of their content, and the lookup rows of
+    those keys, fewer than the slices wanted, are repeated once per salt.
     """
     count = slice_count(df, slices)
     if count == 1 or (slices is None and _broadcastable(lookup)):
         return _match(df, lookup, keys, how)
+    hot = _hot_keys(df, keys, count)
+    if hot is None:
+        return _match(df, lookup, keys, how)
     hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*hashable), F.lit(count)))
-    places = salted.select(*keys, "__salt").distinct()
-    given = _match(places, lookup, keys, "inner")
+    salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*hashable), F.col("__parts")).cast("int") + 1)
+    salted = _match(df, F.broadcast(hot), keys).withColumn("__salt", F.coalesce(salt, F.lit(0))).drop("__parts")
+    repeated = _match(lookup, F.broadcast(hot), keys, "inner").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(1), F.col("__parts")))).drop("__parts")
+    given = lookup.withColumn("__salt", F.lit(0)).unionByName(repeated)
     return _match(salted, given, [*keys, "__salt"], how).drop("__salt")
 
 
@@ -222,13 +254,13 @@ def _broadcastable(df: DataFrame) -> bool:
 def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int, value: Column,
               name: str, slices: int | None = None) -> DataFrame:
     """Add an array of ``value`` from up to ``n`` rows before each row, oldest first."""
-    cut = slice_by(df, order, slices)
+    cut = slice_by(df, keys, order, slices)
     if SLICE not in cut.columns:
         local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
         return cut.withColumn(name, F.collect_list(F.struct(value.alias("v"))).over(local)["v"])
     backwards = Window.partitionBy(*keys, SLICE).orderBy(*[F.desc(o) for o in order])
     ends = (
-        cut.select(*keys, SLICE, value.alias("v"), F.row_number().over(backwards).alias("back")).where(F.col("back") <= n)
+        cut.where(F.col(SLICE) > 0).select(*keys, SLICE, value.alias("v"), F.row_number().over(backwards).alias("back")).where(F.col("back") <= n)
         .groupBy(*keys, SLICE).agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("b"), "v"))).alias("end")))
     across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(-n, -1)
     earlier = F.flatten(F.collect_list("end").over(across))
@@ -246,14 +278,16 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
                 slices: int | None = None) -> DataFrame:
     """Exact interpolated percentiles per key, nulls left out.
 
-    The built-in exact aggregate holds every distinct value of a group in memory. With
-    slices, only counts travel first; then just the slices that contain a wanted rank
-    are ordered.
+    The built-in exact aggregate holds every distinct value of a group in memory, which
+    is fine for all but hot keys. Of those, only counts travel first; then just the
+    slices that contain a wanted rank are ordered.
     """
     known = df.select(*keys, value).where(F.col(value).isNotNull())
-    cut = slice_by(known, [value], slices)
+    cut = slice_by(known, keys, [value], slices)
+    built_in = [F.percentile(value, p).alias(n) for n, p in wanted.items()]
     if SLICE not in cut.columns:
-        return cut.groupBy(*keys).agg(*[F.percentile(value, p).alias(n) for n, p in wanted.items()])
+        return cut.groupBy(*keys).agg(*built_in)
+    others, cut = cut.where(F.col(SLICE) == 0), cut.where(F.col(SLICE) > 0)
 
     counts = cut.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("__n"))
     across = Window.partitionBy(*keys).orderBy(SLICE)
@@ -282,8 +316,9 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
         .agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.max("__hit.part").alias("part"))
         .withColumn("__value", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part"))
     )
-    return found.groupBy(*keys).agg(*[
+    hot = found.groupBy(*keys).agg(*[
         F.max(F.when(F.col("__name") == n, F.col("__value"))).alias(n) for n in wanted])
+    return hot.unionByName(others.groupBy(*keys).agg(*built_in)) if keys else hot
 
 
 def summarize(df: DataFrame, keys: list[str], figures: list[Column], value: str, wanted: dict[str, float],
@@ -325,6 +360,8 @@ def _place(df: DataFrame, name: str) -> Column:
         spot = F.unix_date(column)
     elif isinstance(kind, T.StringType):
         spot = F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0"), 16, 10)
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        spot = F.when(F.isnan(column), F.lit(inf)).otherwise(column)
     else:
         spot = column
     spot = spot.cast("double")

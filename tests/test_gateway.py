@@ -105,10 +105,11 @@ def test_contract(spark):
         "no platform": {k: v for k, v in good.items() if k != "platform"}, "null workload": {**good, "workload": None},
         "text count": {**good, "requests": "2"}, "fraction": {**good, "gpu_count": 1.5}, "enum": {**good, "billing_model": "free"},
         "sum": {**good, "requests": 5}}
-    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()] + [("broken", "{")], "id string, document string")
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()] + [("broken", "{"), ("list", json.dumps([good])), ("none", None)], "id string, document string")
     got = {(r.id, r.field, r.rule) for r in b.violations(df).collect()}
     assert got == {("no platform", "platform", "required"), ("null workload", "workload", "type"), ("text count", "requests", "type"),
-                   ("fraction", "gpu_count", "type"), ("enum", "billing_model", "enum"), ("sum", "requests", "warning"), ("broken", "", "unreadable")}
+                   ("fraction", "gpu_count", "type"), ("enum", "billing_model", "enum"), ("sum", "requests", "warning"), ("broken", "", "unreadable"),
+                   ("list", "", "unreadable"), ("none", "", "unreadable")}
 
 
 def test_comparison_and_ranks(spark):

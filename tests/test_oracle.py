@@ -17,7 +17,7 @@ def databases():
 @pytest.fixture(params=FOLDERS)
 def mode(request, spark):
     if request.param == "sliced":
-        spark.conf.set("spark.obsframe.slices", "5")
+        spark.conf.set("spark.obsframe.slices", "40")
     yield request.param
     spark.conf.unset("spark.obsframe.slices")
 

@@ -107,14 +107,16 @@ def test_no_slice_of_a_hot_key_is_large(spark):
     rows = spark.range(60_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 1000).cast("string"))).alias("k"),
         F.pow(F.col("id"), 3).alias("p"))
-    sizes = slice_by(rows, ["p"], 20).groupBy("k", SLICE).count()
+    cut = slice_by(rows, ["k"], ["p"], 20)
+    sizes = cut.groupBy("k", SLICE).count()
+    assert {r.k for r in cut.where(F.col(SLICE) > 0).select("k").distinct().collect()} == {"hot"}
     assert sizes.agg(F.max("count")).first()[0] < 60_000 / 20 * 1.6
 
 
 def test_common_order_values_are_cut_by_the_second_column(spark):
     rows = spark.range(40_000).select(
         F.lit("one").alias("k"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("p"), F.col("id").alias("q"))
-    cut = slice_by(rows, ["p", "q"], 20)
+    cut = slice_by(rows, ["k"], ["p", "q"], 20)
     assert cut.groupBy(SLICE).count().agg(F.max("count")).first()[0] < 40_000 / 20 * 1.6
     edges = cut.groupBy(SLICE).agg(F.min(F.struct("p", "q")).alias("lo"), F.max(F.struct("p", "q")).alias("hi")).orderBy(SLICE).collect()
     assert all(tuple(a.hi) < tuple(b.lo) for a, b in zip(edges, edges[1:]))
@@ -127,7 +129,7 @@ def test_slices_follow_the_order_of_every_type(spark, kind):
              "date": F.date_add(F.lit("2020-01-01").cast("date"), n.cast("int")), "string": F.md5(n.cast("string")),
              "double": n / 3 - 100}[kind]
     rows = spark.range(500).select(F.when(n != 250, value).alias("p"), n.alias("q"))
-    edges = (slice_by(rows, ["p", "q"], 8).groupBy(SLICE)
+    edges = (slice_by(rows, [], ["p", "q"], 8).groupBy(SLICE)
              .agg(F.min(F.struct("p", "q")).alias("lo"), F.max(F.struct("p", "q")).alias("hi"))
              .withColumn("after", F.lead("lo").over(Window.orderBy(SLICE))))
     assert edges.where(F.col("after") <= F.col("hi")).count() == 0
@@ -139,3 +141,26 @@ def test_slice_count_follows_size(spark, tmp_path):
     spark.range(1000).write.parquet(path)
     assert slice_count(spark.read.parquet(path)) == 1
     assert slice_count(spark.read.parquet(path), 6) == 6
+
+
+def test_without_hot_keys_the_plan_stays_plain(spark):
+    rows = spark.range(1000).selectExpr("id % 100 k", "id p")
+    assert SLICE not in slice_by(rows, ["k"], ["p"], 20).columns
+    plan = scan(rows, ["k"], ["p"], sums={"rn": F.lit(1)}, slices=20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Union" not in plan
+    assert "Union" not in attach(rows, rows.select("k").distinct(), ["k"], "left", 20)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sliced_scan_shuffles_rows_once_and_joins_nothing_large(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("if(id % 3 = 0, 0, id) k", "id p", "id v").write.parquet(path)
+    out = scan(spark.read.parquet(path), ["k"], ["p"], previous={"prev": F.col("v")}, sums={"rn": F.lit(1)}, slices=10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Union" in plan
+
+
+def test_nan_comes_last_and_null_first(spark):
+    values = [None, float("nan"), float("-inf"), -1.0, 2.0, 3.0, float("inf")]
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values * 3)], "p double, q int")
+    got = [scan(rows, [], ["p", "q"], sums={"rn": F.lit(1)}, slices=n).orderBy("q").select("rn").collect() for n in (1, 4)]
+    assert got[0] == got[1]
