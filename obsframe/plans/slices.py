@@ -108,8 +108,16 @@ def _hot_keys(df: DataFrame, keys: list[str], count: int) -> DataFrame | None:
     hot = [(*row[:-1], ceil(row["__n"] / share)) for row in top if row["__n"] > share]
     if not hot:
         return None
-    schema = T.StructType([*df.select(*keys).schema.fields, T.StructField("__parts", T.IntegerType())])
-    return df.sparkSession.createDataFrame(hot, schema)
+    kinds = [*[df.schema[k].dataType for k in keys], T.IntegerType()]
+    found = F.array(*[F.struct(*[_literal(v, kind).alias(n) for v, kind, n in zip(row, kinds, [*keys, "__parts"])])
+                      for row in hot])
+    return df.sparkSession.range(1).select(F.inline(found))
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampNTZType) and value is not None:
+        value = value.isoformat(sep=" ")
+    return F.lit(value).cast(kind)
 
 
 def _sampled(df: DataFrame) -> DataFrame:

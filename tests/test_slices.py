@@ -164,3 +164,15 @@ def test_nan_comes_last_and_null_first(spark):
     rows = spark.createDataFrame([(v, i) for i, v in enumerate(values * 3)], "p double, q int")
     got = [scan(rows, [], ["p", "q"], sums={"rn": F.lit(1)}, slices=n).orderBy("q").select("rn").collect() for n in (1, 4)]
     assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "decimal(10,2)", "boolean", "binary", "double"])
+def test_hot_keys_of_every_type_are_found(spark, kind):
+    value = {"boolean": "id % 2 = 0", "binary": "encode(if(id % 2 = 0, 'x', 'y' || id), 'utf-8')"}.get(
+        kind, f"cast(cast(if(id % 2 = 0, 0, id * 86400) as {'timestamp' if kind[0] in 'td' and kind[:3] in ('tim', 'dat') else kind}) as {kind})")
+    rows = spark.range(400).selectExpr(f"{value} k", "id p")
+    cut = slice_by(rows, ["k"], ["p"], 10)
+    hot = cut.where(F.col(SLICE) > 0).groupBy("k").count().collect()
+    assert [r["count"] for r in hot][:1] == [200]
+    assert cut.groupBy("k", SLICE).count().agg(F.max("count")).first()[0] <= 45
+    assert slice_count(cut) == 1 or slice_count(cut, 3) == 3
