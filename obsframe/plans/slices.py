@@ -29,8 +29,9 @@ EDGE = "__edge"
 PARTIAL = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 SLICE_BYTES = 128 * 1024 * 1024
-SAMPLED_BYTES = 8 * SLICE_BYTES
-MOST_SLICES = 4096
+MOST_SLICES = 16384
+SAMPLED_BYTES = 8 * SLICE_BYTES  # tables from this size on are sampled for their cuts
+SAMPLE_PER_SLICE = 640_000  # bytes of input
 UNKNOWN_BYTES = 2**60
 FIXED_ZONES = ("UTC", "Etc/UTC", "GMT", "Z")  # no clock changes, so a cast keeps the order
 
@@ -102,7 +103,7 @@ def _hot_keys(df: DataFrame, keys: list[str], count: int) -> DataFrame | None:
     """Keys with more than ``1 / count`` of the rows, of which there are fewer than
     ``count``, and in how many parts each should be cut."""
     seen = Observation()
-    sizes = _sampled(df).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).observe(seen, F.sum("__n").alias("rows"))
+    sizes = _sampled(df, count).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).observe(seen, F.sum("__n").alias("rows"))
     top = sizes.orderBy(F.desc("__n")).limit(count).collect()
     share = (seen.get["rows"] or 0) / count
     hot = [(*row[:-1], ceil(row["__n"] / share)) for row in top if row["__n"] > share]
@@ -120,15 +121,18 @@ def _literal(value, kind: T.DataType) -> Column:
     return F.lit(value).cast(kind)
 
 
-def _sampled(df: DataFrame) -> DataFrame:
+def _sampled(df: DataFrame, count: int) -> DataFrame:
     """Large tables are sampled, as Spark does to range-partition them: only the evenness
     of slices depends on it, never a result."""
-    return df.sample(0.01, seed=1) if SAMPLED_BYTES <= _size(df) < UNKNOWN_BYTES else df
+    size = _size(df)
+    if not SAMPLED_BYTES <= size < UNKNOWN_BYTES:
+        return df
+    return df.sample(min(1.0, count * SAMPLE_PER_SLICE / size), seed=1)
 
 
 def _quantiles(df: DataFrame, column: str, count: int) -> list[float]:
     """Ascending cuts into ``count`` parts, a common value as often as it is hit."""
-    return sorted(_sampled(df.where(F.abs(column) < inf)).approxQuantile(
+    return sorted(_sampled(df.where(F.abs(column) < inf), count).approxQuantile(
         column, [i / count for i in range(1, count)], 0.25 / count))
 
 
@@ -268,7 +272,8 @@ def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int, value: C
         return cut.withColumn(name, F.collect_list(F.struct(value.alias("v"))).over(local)["v"])
     backwards = Window.partitionBy(*keys, SLICE).orderBy(*[F.desc(o) for o in order])
     ends = (
-        cut.where(F.col(SLICE) > 0).select(*keys, SLICE, value.alias("v"), F.row_number().over(backwards).alias("back")).where(F.col("back") <= n)
+        cut.where(F.col(SLICE) > 0)
+        .select(*keys, SLICE, value.alias("v"), F.row_number().over(backwards).alias("back")).where(F.col("back") <= n)
         .groupBy(*keys, SLICE).agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("b"), "v"))).alias("end")))
     across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(-n, -1)
     earlier = F.flatten(F.collect_list("end").over(across))

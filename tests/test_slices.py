@@ -176,3 +176,16 @@ def test_hot_keys_of_every_type_are_found(spark, kind):
     assert [r["count"] for r in hot][:1] == [200]
     assert cut.groupBy("k", SLICE).count().agg(F.max("count")).first()[0] <= 45
     assert slice_count(cut) == 1 or slice_count(cut, 3) == 3
+
+
+def test_sampled_cuts_are_even_and_change_no_result(spark, data, monkeypatch):
+    from obsframe.plans import slices
+    rows = spark.range(200_000).selectExpr("if(id % 3 = 0, 0, id) k", "id p")
+    monkeypatch.setattr(slices, "SAMPLED_BYTES", 0)
+    monkeypatch.setattr(slices, "SAMPLE_PER_SLICE", 20_000)
+    cut = slice_by(rows, ["k"], ["p"], 10)
+    hot = cut.where(F.col(SLICE) > 0)
+    assert hot.select("k").distinct().count() == 1
+    assert hot.groupBy(SLICE).count().agg(F.max("count")).first()[0] < 66_667 / 10 * 1.5
+    wrong = scan(rows, ["k"], ["p"], sums={"rn": F.lit(1)}, slices=10).where("k = 0 and rn <> p div 3 + 1")
+    assert wrong.count() == 0

@@ -3,7 +3,6 @@ import re
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from obsframe import schemas
 from obsframe.operators import benchmarks, corpus, matrix
