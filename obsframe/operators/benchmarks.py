@@ -22,7 +22,7 @@ def benchmark_rollup(requests: DataFrame, by: tuple[str, ...] = ("platform", "wo
         F.avg("latency_ms").alias("average_latency_ms"), F.sum("tokens").alias("__tokens")]
     out = summarize(requests, list(by), figures, "latency_ms", {"p95_latency_ms": 0.95}, slices)
     rate = F.when(F.col("__tokens").isNotNull() & (F.col("duration_seconds") > 0),
-                  F.col("__tokens") / F.col("duration_seconds"))
+                  F.try_divide(F.col("__tokens"), F.col("duration_seconds")))
     return out.withColumn("tokens_per_second", rate).drop("__tokens")
 
 
@@ -54,7 +54,7 @@ def model_rank(responses: DataFrame, baseline: str, task: str = "task", model: s
     within = Window.partitionBy(task)
     base = F.max(F.when(F.col(model) == baseline, F.col(value))).over(within)
     return responses.withColumns({
-        "rank": F.rank().over(within.orderBy(value)), "ratio": F.col(value) / base})
+        "rank": F.rank().over(within.orderBy(value)), "ratio": F.try_divide(F.col(value), base)})
 
 
 def violations(raw: DataFrame, document: str = "document", key: str = "id") -> DataFrame:

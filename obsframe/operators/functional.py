@@ -6,20 +6,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType, StructType
 
 
 def map_rows(df: DataFrame, function: Callable[[dict], dict], schema: StructType | str) -> DataFrame:
-    """Apply a Python function to each row. Use column expressions instead where they can say it."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Apply a Python function to each row, a dict in and a dict out. Use column expressions
+    instead where they can say it."""
+    shape = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([function(row) for row in batch.to_dict("records")], columns=names)
+            yield pa.RecordBatch.from_pylist([function(row) for row in batch.to_pylist()], schema=arrow)
 
-    names = StructType.fromDDL(schema).names if isinstance(schema, str) else schema.names
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, shape)
 
 
 def map_batches(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str) -> DataFrame:

@@ -159,8 +159,9 @@ def _stretched(steps: DataFrame, series: list[str], start: Column, end: Column)
     gap = sampled / (F.col("n") - 1)
     spans = spans.withColumns({"sampled": sampled, "gap": gap, "lead": F.col("t0") - start, "tail": end - F.col("t1")})
     far = F.col("gap") * 1.1
-    to_zero = F.col("sampled") * F.col("first_value") / F.col("grown")
+    to_zero = F.try_divide(F.col("sampled") * F.col("first_value"), F.col("grown"))
     lead = F.when(F.col("lead") >= far, F.col("gap") / 2).otherwise(F.col("lead"))
     lead = F.when((F.col("grown") > 0) & (F.col("first_value") >= 0) & (to_zero < lead), to_zero).otherwise(lead)
     tail = F.when(F.col("tail") >= far, F.col("gap") / 2).otherwise(F.col("tail"))
-    return spans.select(*series, (F.col("grown") * (F.col("sampled") + lead + tail) / F.col("sampled")).alias("increase"))
+    stretched = F.try_divide(F.col("grown") * (F.col("sampled") + lead + tail), F.col("sampled"))
+    return spans.select(*series, stretched.alias("increase"))

@@ -90,11 +90,13 @@ def parse_exposition(lines: DataFrame, value: str = "value") -> DataFrame:
     number = F.regexp_extract(text, line, 3)
     parsed = F.when(F.lower(number).isin("+inf", "inf"), F.lit(float("inf"))).when(
         F.lower(number) == "-inf", F.lit(float("-inf"))).otherwise(number.try_cast("double"))
+    single = F.size(F.array_distinct(keys)) == F.size(keys)
     others = [c for c in lines.columns if c != value]
     return rows.select(
-        *others, _nonempty(F.regexp_extract(text, line, 1)).alias("name"), F.map_from_arrays(keys, values).alias("labels"),
+        *others, _nonempty(F.regexp_extract(text, line, 1)).alias("name"),
+        F.when(single, F.map_from_arrays(keys, values)).alias("labels"),
         parsed.alias("value"), F.timestamp_millis(F.regexp_extract(text, line, 4).try_cast("long")).alias("ts"),
-        F.when(~text.rlike(line) | parsed.isNull(), F.col(value)).alias("parse_error"))
+        F.when(~text.rlike(line) | parsed.isNull() | ~single, F.col(value)).alias("parse_error"))
 
 
 def _unescape(text: Column) -> Column:

@@ -117,6 +117,11 @@ def stream_to_files(rows: DataFrame, path: str, checkpoint: str, **trigger) -> S
             .trigger(**(trigger or {"availableNow": True})).start(path))
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the watermark has dropped, over the progress the query still remembers."""
+    return sum(state["numRowsDroppedByWatermark"] for step in query.recentProgress for state in step["stateOperators"])
+
+
 def _use_rocksdb(spark: SparkSession) -> None:
     """Keyed processors need the RocksDB state store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

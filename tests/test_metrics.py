@@ -56,6 +56,12 @@ def test_extrapolated_increase_needs_two_samples_and_ignores_the_one_before(spar
     assert [x.pod for x in got.collect()] == ["b"]
 
 
+def test_extrapolated_increase_of_flat_and_of_doubled_samples(spark):
+    df = samples(spark, [("flat", at(10 * i), 5) for i in range(4)] + [("twice", at(10), 1), ("twice", at(10), 1)])
+    got = {x.pod: x.increase for x in m.increase(df, SERIES, at(40), "40s", "extrapolated").collect()}
+    assert got == {"flat": 0.0, "twice": None}
+
+
 def test_unknown_mode_is_refused(spark):
     with pytest.raises(ValueError):
         m.increase(samples(spark, [("a", at(0), 1)]), SERIES, at(1), "1m", "guess")

@@ -122,7 +122,7 @@ def test_markdown_tables_become_cells(spark, tmp_path, rows):
 
 def test_exposition(spark):
     lines = ['# HELP x y', '', 'up 1', 'http_total{code="200",path="a,b}\\"c\\""} 1.5e3 1700000000123',
-             'inf_metric{} +Inf', 'broken{', 'word abc']
+             'inf_metric{} +Inf', 'broken{', 'word abc', 'double{a="1",a="2"} 1']
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     got = {r.name or r.parse_error: r for r in texts.parse_exposition(df).collect()}
     assert got["up"].value == 1 and got["up"].labels == {} and got["up"].ts is None
@@ -130,7 +130,8 @@ def test_exposition(spark):
     assert got["inf_metric"].value == float("inf")
     assert got["broken{"].value is None
     assert got["word"].parse_error == "word abc"
-    assert len(got) == 5
+    assert got["double"].labels is None and got["double"].parse_error
+    assert len(got) == 6
 
 
 def test_traffic_lines(spark):

@@ -134,3 +134,14 @@ def test_upsert_keeps_the_latest_per_key(spark, tmp_path, folder):
     got = read_latest(spark, f"{base}/state", "k", ["ts"])
     want = batch(spark, folder).groupBy("k").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
     assert got.count() == 4 and same(want, got)
+
+
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    path = str(tmp_path / "behind")
+    for rows in ([("a", START + timedelta(hours=5), 1.0, 0)], [("a", START + timedelta(hours=9), 1.0, 0)],
+                 [("a", START, 1.0, 0), ("a", START + timedelta(hours=9), 2.0, 0)]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    rollup = s.stream_rollup(stream(spark, path), ["k"], "PT15M", "10m")
+    query = s.stream_to_files(rollup, str(tmp_path / "o"), str(tmp_path / "c"))
+    query.awaitTermination()
+    assert s.late_rows(query) == 1

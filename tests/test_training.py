@@ -68,6 +68,8 @@ def test_user_functions(spark):
     df = spark.range(5, numPartitions=2)
     assert sorted(r.y for r in f.map_rows(df, lambda row: {"y": row["id"] + 1}, "y long").collect()) == [1, 2, 3, 4, 5]
     assert sorted(r.y for r in f.map_batches(df, lambda b: b.rename(columns={"id": "y"}) * 2, "y long").collect()) == [0, 2, 4, 6, 8]
+    nulls = spark.sql("select explode(array(1, null)) x")
+    assert [r.y for r in f.map_rows(nulls, lambda row: {"y": str(row["x"])}, "y string").collect()] == ["1", "None"]
     model = lambda: lambda x: x * 10.0
     out = f.predict_batches(df.select(F.col("id").cast("double").alias("x")), model, ["x"], "y", DoubleType(), 2)
     assert sorted(r.y for r in out.collect()) == [0, 10, 20, 30, 40]
