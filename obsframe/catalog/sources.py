@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from obsframe import schemas
 from obsframe.catalog.registry import query
 from obsframe.operators import agents, matrix
+from obsframe.plans.slices import scan
 from obsframe.session import work_dir
 from obsframe.sources import files, sinks, texts
 from obsframe.views import Lake
@@ -24,18 +25,20 @@ def _(lake: Lake) -> DataFrame:
 
 
 @query("src_chat_jsonl", """
-    SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, role, text AS content FROM conversations
+    SELECT CAST(conv_id AS VARCHAR) AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
+           role, text AS content FROM conversations
 """)
 def _(lake: Lake) -> DataFrame:
     path, size = work_dir(lake.spark, "chat"), 1000
-    message = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
-    chats = lake.conversations.groupBy("conv_id", F.floor(F.col("turn") / size).alias("part")).agg(
+    numbered = scan(lake.conversations, ["conv_id"], ["turn"], sums={"rn": F.lit(1)})
+    message = F.struct("rn", F.struct("role", F.col("text").alias("content")).alias("m"))
+    chats = numbered.groupBy("conv_id", F.floor((F.col("rn") - 1) / size).alias("part")).agg(
         F.sort_array(F.collect_list(message))["m"].alias("messages"))
     chats.select(F.concat_ws(":", "conv_id", "part").alias("key"), "messages").write.json(path)
     out = files.read_chat_jsonl(lake.spark, path, key="key")
     key = F.split("key", ":")
-    turn = key[1].cast("long") * size + F.col("position")
-    return out.select(key[0].alias("conv_id"), turn.alias("turn"), "role", "content")
+    position = key[1].cast("long") * size + F.col("position")
+    return out.select(key[0].alias("conv_id"), position.alias("position"), "role", "content")
 
 
 @query("src_state_docs", """

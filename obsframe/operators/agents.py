@@ -204,11 +204,11 @@ def latest_inventory(records: DataFrame, computer: str, ts: list[str], columns:
 def assemble_deltas(deltas: DataFrame, segment: int = 10_000) -> DataFrame:
     """Ordered chunks of a reply to its reasoning text and its answer text.
 
-    ``seq`` counts chunks from 0. A reply longer than ``segment`` chunks comes as
+    ``seq`` counts chunks from 0; a chunk that came twice counts once. A reply longer than ``segment`` chunks comes as
     several numbered segments, to be read one after the other.
     """
     piece = F.struct("seq", F.coalesce("reasoning", F.lit("")).alias("r"), F.coalesce("content", F.lit("")).alias("c"))
     return (deltas.groupBy("response_id", F.floor(F.col("seq") / segment).alias("segment_no"))
-            .agg(F.sort_array(F.collect_list(piece)).alias("p"))
+            .agg(F.sort_array(F.collect_set(piece)).alias("p"))
             .select("response_id", "segment_no", F.array_join(F.col("p")["r"], "").alias("reasoning"),
                     F.array_join(F.col("p")["c"], "").alias("answer")))
