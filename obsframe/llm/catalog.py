@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsframe.llm import exact_dedup
+from obsframe.llm import exact_dedup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,3 +28,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op10_exact_dedup", exact_dedup.GROUPS_SQL)
 def _(spark, folder):
     return exact_dedup.duplicate_groups(table(spark, folder, "documents"))
+
+
+@query("op2_toxicity")
+def _(spark, folder):
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_quality")
+def _(spark, folder):
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
