@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsframe.llm import exact_dedup, quality, toxicity
+from obsframe.llm import bpe, exact_dedup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,3 +38,8 @@ def _(spark, folder):
 @query("op8_quality")
 def _(spark, folder):
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_byte_bpe")
+def _(spark, folder):
+    return bpe.token_digests(table(spark, folder, "documents"))
