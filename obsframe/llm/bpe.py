@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from obsframe.llm.columns import own, spare
 from obsframe.session import write_once
 
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 OVERLAP = 1 << 10
 HELD = 300_000       # pieces whose ids a task remembers
 ENOUGH = 200         # bytes from which a piece is merged with a heap
@@ -174,26 +174,26 @@ def _long(texts: DataFrame, pattern: str, ranks, size: int, overlap: int) -> Dat
     def scanned(batches):
         compiled = regex.compile(pattern)
         for batch in batches:
-            yield batch.assign(ends=[np.array(scan(t, compiled), np.int32) for t in batch["text"]])
+            yield batch.assign(sizes=[np.diff(scan(t, compiled), prepend=0).astype(np.int32) for t in batch["text"]])
 
     def stitched(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("offset")
-        found = list(stitch([(o, t, list(e)) for o, t, e in zip(group["offset"], group["text"], group["ends"])], regex.compile(pattern)))
+        found = list(stitch([(o, t, np.cumsum(s).tolist()) for o, t, s in zip(group["offset"], group["text"], group["sizes"])], regex.compile(pattern)))
         return pd.DataFrame({"row": group["row"].iloc[0], "part": range(len(found)), "text": [t for t, _ in found],
-                             "ends": [np.array(e, np.int32) for _, e in found]})
+                             "sizes": [np.diff(e, prepend=0).astype(np.int32) for _, e in found]})
 
     def encoded(batches):
         packed = Ids(ranks.value)
         for batch in batches:
             yield pd.DataFrame({"row": batch["row"], "part": batch["part"], "ids": [
-                packed.pack([t[a:b] for a, b in zip([0, *e[:-1]], e)]) for t, e in zip(batch["text"], batch["ends"])]})
+                packed.pack([t[b - s:b] for s, b in zip(sizes, np.cumsum(sizes))]) for t, sizes in zip(batch["text"], batch["sizes"])]})
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"row": [group["row"].iloc[0]], "ids": [b"".join(group.sort_values("part")["ids"])]})
 
     cuts = texts.select("row", "text").mapInPandas(cut, "row long, offset long, text string")
-    ends = cuts.repartition("row", "offset").mapInPandas(scanned, "row long, offset long, text string, ends array<int>")
-    whole = ends.groupBy("row").applyInPandas(stitched, "row long, part long, text string, ends array<int>")
+    ends = cuts.repartition("row", "offset").mapInPandas(scanned, "row long, offset long, text string, sizes array<int>")
+    whole = ends.groupBy("row").applyInPandas(stitched, "row long, part long, text string, sizes array<int>")
     ids = whole.repartition("row", "part").mapInPandas(encoded, "row long, part long, ids binary")
     return ids.groupBy("row").applyInPandas(joined, "row long, ids binary")
 
