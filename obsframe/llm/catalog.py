@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsframe.llm import bpe, exact_dedup, quality, toxicity
+from obsframe.llm import bpe, exact_dedup, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,3 +43,8 @@ def _(spark, folder):
 @query("op6_byte_bpe")
 def _(spark, folder):
     return bpe.token_digests(table(spark, folder, "documents"))
+
+
+@query("op4_pii")
+def _(spark, folder):
+    return pii.span_digests(table(spark, folder, "documents"))
