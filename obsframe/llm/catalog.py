@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsframe.llm import bpe, exact_dedup, pii, quality, toxicity
+from obsframe.llm import bpe, exact_dedup, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +48,8 @@ def _(spark, folder):
 @query("op4_pii")
 def _(spark, folder):
     return pii.span_digests(table(spark, folder, "documents"))
+
+
+@query("op3_warc", warc.ROUND_TRIP_SQL)
+def _(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages"))
