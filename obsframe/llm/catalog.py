@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsframe.llm import bpe, exact_dedup, pii, quality, toxicity, warc
+from obsframe.llm import bpe, decontaminate, exact_dedup, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +53,8 @@ def _(spark, folder):
 @query("op3_warc", warc.ROUND_TRIP_SQL)
 def _(spark, folder):
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query("op1_decontaminate", decontaminate.OVERLAPS_SQL)
+def _(spark, folder):
+    return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
