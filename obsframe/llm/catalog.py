@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsframe.llm import bpe, decontaminate, exact_dedup, pii, quality, toxicity, warc
+from obsframe.llm import bpe, decontaminate, exact_dedup, near_dup, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +58,8 @@ def _(spark, folder):
 @query("op1_decontaminate", decontaminate.OVERLAPS_SQL)
 def _(spark, folder):
     return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_near_dup")
+def _(spark, folder):
+    return near_dup.near_duplicates(table(spark, folder, "documents"))
