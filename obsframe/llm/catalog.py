@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsframe.llm import bpe, decontaminate, exact_dedup, near_dup, pii, quality, toxicity, warc
+from obsframe.llm import bpe, decontaminate, exact_dedup, language, near_dup, pii, quality, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,3 +63,14 @@ def _(spark, folder):
 @query("op9_near_dup")
 def _(spark, folder):
     return near_dup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_language")
+def _(spark, folder):
+    return language.languages_of(table(spark, folder, "documents"), table(spark, folder, "pages"))
+
+
+@query("op7_token_counts")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs).select("doc_id", "n_tokens", "token_score")
