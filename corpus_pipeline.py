@@ -4,16 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsframe.llm import exact_dedup
+from obsframe.llm import bpe, decontaminate, exact_dedup, near_dup, quality
 from obsframe.session import write_once
 
 
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels, predicts good."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact_dedup.drop_duplicates(docs)
 
 
-STAGES = [("exact_dedup", _exact)]
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
+    return bpe.token_digests(docs)
+
+
+STAGES = [
+    ("quality_classifier", _quality),
+    ("exact_dedup", _exact),
+    ("minhash_near_dedup", _near),
+    ("benchmark_decontamination", _clean),
+    ("byte_bpe", _tokens),
+]
 
+#: The classifier is trained, so SQL cannot say which documents stay.
 ORACLE_SQL = None
 
 
