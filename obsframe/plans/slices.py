@@ -33,6 +33,7 @@ MOST_SLICES = 16384
 SAMPLED_BYTES = 8 * SLICE_BYTES  # tables from this size on are sampled for their cuts
 SAMPLE_PER_SLICE = 640_000  # bytes of input
 UNKNOWN_BYTES = 2**60
+TEXT_BYTES = 6  # bytes of a text that fit a double beside their number
 FIXED_ZONES = ("UTC", "Etc/UTC", "GMT", "Z")  # no clock changes, so a cast keeps the order
 
 
@@ -63,9 +64,10 @@ def slice_by(df: DataFrame, keys: list[str], order: list[str], slices: int | Non
     """Add the slice column if some key is hot: 0 for other keys, from 1 up for hot ones.
 
     Without keys the whole table is one hot group. Cuts are quantiles of the first order
-    column; a value so common that it spans several slices is cut further at quantiles
-    of the second one. Hot keys and cuts are few, found by small jobs, and become
-    constants of the plan, so a re-run task sees the same slices.
+    column, as a double. Rows that tie there, so many that they span several slices, are
+    cut further by what the double left out: the rest of a whole number, the next bytes of
+    a text. Only rows whose values are equal are cut by the next order column. Hot keys and cuts are few, found
+    by small jobs, and become constants of the plan, so a re-run task sees the same slices.
     """
     if SLICE in df.columns:
         return df
@@ -79,18 +81,30 @@ def slice_by(df: DataFrame, keys: list[str], order: list[str], slices: int | Non
             return df
         rows = _match(df, F.broadcast(hot), keys)
     is_hot = F.col("__parts").isNotNull() if keys else F.lit(True)
-    placed = rows.withColumn("__place", F.when(is_hot, _place(df, order[0])))
-    cuts = _quantiles(placed, "__place", count)
-    common = sorted({c for c, after in zip(cuts, cuts[1:]) if c == after})
-    edges = {*cuts, *[nextafter(c, inf) for c in common]}
-    cut = _bucket(placed, "__place", edges, SLICE)
-    if common and len(order) > 1:
-        cut = cut.withColumn("__second", F.when(F.col("__place").isin(common), _place(df, order[1])))
-        inner = _quantiles(cut, "__second", count)
-        cut = _bucket(cut, "__second", set(inner), "__part")
-        cut = cut.withColumn(SLICE, F.col(SLICE) * (count + 1) + F.col("__part"))
-    return cut.withColumn(SLICE, F.when(is_hot, F.col(SLICE) + 1).otherwise(0)).drop(
-        "__parts", "__place", "__second", "__part")
+    cut, tied, stride = rows.withColumn(SLICE, F.lit(0).cast("long")), is_hot, 1
+    for column in order:
+        level = 0
+        while True:
+            place = F.when(tied, _place(df, column, level))
+            cut = cut.withColumn("__place", place)
+            cuts = _quantiles(cut, "__place", count)
+            common = sorted({c for c, after in zip(cuts, cuts[1:]) if c == after})
+            edges = {*cuts, *[nextafter(c, inf) for c in common]}
+            if stride * (len(edges) + 1) >= 2**62:
+                break  # what is tied by now stays together
+            stride *= len(edges) + 1
+            cut = _bucket(cut, "__place", edges, "__part")
+            part = F.when(tied, F.col("__part")).otherwise(0)
+            cut = cut.withColumn(SLICE, F.col(SLICE) * (len(edges) + 1) + part).drop("__part")
+            if not common:
+                break
+            tied = tied & place.isin(common)
+            level += 1
+            if level >= _levels(cut.where(tied), column):
+                break  # rows that are tied now have equal values in this column
+        if not common or stride >= 2**61:
+            break
+    return cut.withColumn(SLICE, F.when(is_hot, F.col(SLICE) + 1).otherwise(0)).drop("__parts", "__place")
 
 
 def slice_once(df: DataFrame, keys: list[str], order: list[str], slices: int | None) -> tuple[DataFrame, int | None]:
@@ -359,8 +373,8 @@ def _pack(columns: dict[str, Column]) -> Column:
     return F.struct(*[c.alias(n) for n, c in columns.items()])
 
 
-def _place(df: DataFrame, name: str) -> Column:
-    """A double that never falls as ``name`` rises; nulls come first."""
+def _place(df: DataFrame, name: str, level: int = 0) -> Column:
+    """A double that never falls as ``name`` rises among rows that are equal in all lower levels; nulls come first."""
     kind, column = df.schema[name].dataType, F.col(name)
     if isinstance(kind, T.TimestampType):
         spot = F.unix_micros(column)
@@ -372,10 +386,25 @@ def _place(df: DataFrame, name: str) -> Column:
     elif isinstance(kind, T.DateType):
         spot = F.unix_date(column)
     elif isinstance(kind, T.StringType):
-        spot = F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0"), 16, 10)
+        part = F.substring(F.encode(column, "UTF-8"), level * TEXT_BYTES + 1, TEXT_BYTES)
+        # a byte more than its value, so that an end comes before any byte
+        spot = F.conv(F.rpad(F.hex(part), 2 * TEXT_BYTES, "0"), 16, 10).cast("double") * 8 + F.octet_length(part)
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
         spot = F.when(F.isnan(column), F.lit(inf)).otherwise(column)
+    elif level:  # what the nearest double leaves of the whole part, then the fraction, then what its double leaves
+        part, exact = (F.floor(column), "decimal(38,0)") if level == 1 else (F.pmod(column, F.lit(1)), kind.simpleString())
+        whole = part.cast(exact)
+        spot = whole if level == 2 else F.try_subtract(whole, (column if level == 1 else part).cast("double").try_cast(exact))
     else:
         spot = column
     spot = spot.cast("double")
     return F.when(column.isNull(), F.lit(-inf)).otherwise(spot)
+
+
+def _levels(tied: DataFrame, name: str) -> int:
+    """Levels after which rows that still tie are equal."""
+    kind = tied.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        longest = tied.agg(F.max(F.octet_length(name))).first()[0] or 0
+        return max(1, ceil(longest / TEXT_BYTES))
+    return 4 if isinstance(kind, T.DecimalType) else 2 if isinstance(kind, T.LongType) else 1

@@ -189,3 +189,31 @@ def test_sampled_cuts_are_even_and_change_no_result(spark, data, monkeypatch):
     assert hot.groupBy(SLICE).count().agg(F.max("count")).first()[0] < 66_667 / 10 * 1.5
     wrong = scan(rows, ["k"], ["p"], sums={"rn": F.lit(1)}, slices=10).where("k = 0 and rn <> p div 3 + 1")
     assert wrong.count() == 0
+
+
+def _orders():
+    """Values that a double cannot tell apart, as (type, values in ascending order)."""
+    big = 2**53
+    return {
+        "prefix": ("string", [f"service-{c}{d}" for c in "abc" for d in ("", "x", "y")]),
+        "ends": ("string", ["", "a", "a\x00", "aaaaaa", "aaaaaaa", "aaaaaab", "é", "漢字漢字漢字", "漢字漢字漢字漢"]),
+        "wide": ("bigint", [-big - 1, -big, 0, big, big + 1, big + 2, big + 3, 2**62, 2**62 + 1]),
+        "decimal": ("decimal(38,10)", [f"12345678901234567890.{d:010d}" for d in range(9)]),
+    }
+
+
+@pytest.mark.parametrize("kind", sorted(_orders()))
+@pytest.mark.parametrize("slices", [4, 12, 40])
+def test_order_that_a_double_cannot_hold(spark, kind, slices):
+    sql, values = _orders()[kind]
+    rng = random.Random(slices)
+    rows = [("hot" if rng.random() < 0.9 else f"k{i % 7}", str(v), i) for i, v in enumerate(rng.choices(values, k=700))]
+    df = spark.createDataFrame(rows, "k string, s string, id long").withColumn("o", F.col("s").cast(sql))
+    got = {r.id: r.rn for r in scan(df, ["k"], ["o", "id"], sums={"rn": F.lit(1)}, slices=slices).collect()}
+    place = {str(v): n for n, v in enumerate(values)}
+    counts, want = {}, {}
+    for k, s, i in sorted(rows, key=lambda r: (r[0], place[r[1]], r[2])):
+        counts[k] = want[i] = counts.get(k, 0) + 1
+    assert got == want
+    sizes = [r["count"] for r in slice_by(df, ["k"], ["o", "id"], slices).where(F.col(SLICE) > 0).groupBy(SLICE).count().collect()]
+    assert max(sizes) <= 4 * 700 / slices + 20
