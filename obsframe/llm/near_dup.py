@@ -5,7 +5,9 @@ copies never meet as pairs. The k-mers of a text are its windows of ``K`` words,
 its occurrence number. For each of ``SKETCHES`` permutations the ``PICKED`` smallest labelled k-mers are
 taken and kept in the order they have in the text; their hash is a bucket. Texts in one
 bucket are candidates. Two texts are linked if the edit distance of their words is at most ``1 - SIMILARITY`` of
-the longer one, found by a bit-parallel alignment inside the band that this bound allows. Classes are the connected
+the longer one, found by a bit-parallel alignment inside the band that this bound allows. Before texts are fetched for it,
+pairs that cannot be that close are ruled out by their lengths and by the counts of their words in ``BAG`` hashed
+cells, of which an edit changes two by one at most. Classes are the connected
 components of the links; the smallest ``doc_id`` names a class.
 
 Buckets of any size are worked off without pairing all of their members:
@@ -39,10 +41,11 @@ from obsframe.llm.windows import Hasher, blocks
 from obsframe.session import write_once
 
 K = 5
-SKETCHES = 24
-PICKED = 2
+SKETCHES = 48
+PICKED = 3
 SIMILARITY = 0.8
-LEADERS = 16
+LEADERS = 256
+BAG = 128
 SEED = 0x5DEECE66D
 
 
@@ -144,35 +147,54 @@ def _plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
-def _bucket_rows(base: DataFrame, texts: DataFrame) -> DataFrame:
-    """bucket, text: the buckets of every distinct text."""
+def _signs(base: DataFrame, texts: DataFrame) -> DataFrame:
+    """text, buckets, size, bag: the sketches, number of words and counts of words of every distinct text."""
     def sketched(batches):
         for batch in batches:
-            made = [sketches(w).view(np.int64) for w in word_hashes(batch["plain"].tolist())]
-            yield pd.DataFrame({"digest": batch["digest"], "buckets": made})
+            words = list(word_hashes(batch["plain"].tolist()))
+            bags = [np.minimum(np.bincount((w % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes() for w in words]
+            yield pd.DataFrame({"digest": batch["digest"], "buckets": [sketches(w).view(np.int64) for w in words],
+                                "size": [len(w) for w in words], "bag": bags})
 
-    found = base.select("digest", "plain").mapInPandas(sketched, "digest string, buckets array<long>")
-    once = found.groupBy("digest").agg(F.any_value("buckets").alias("buckets"))
-    return once.join(texts, "digest").select(F.explode("buckets").alias("bucket"), "text")
+    found = base.select("digest", "plain").mapInPandas(sketched, "digest string, buckets array<long>, size int, bag binary")
+    once = found.groupBy("digest").agg(*(F.any_value(c).alias(c) for c in ("buckets", "size", "bag")))
+    return once.join(texts, "digest").select("text", "buckets", "size", "bag")
 
 
-def _links(pairs: DataFrame, words: DataFrame) -> DataFrame:
+def _bucket_rows(signs: DataFrame) -> DataFrame:
+    return signs.select(F.explode("buckets").alias("bucket"), "text")
+
+
+def _both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with the columns of both texts, named with ``_a`` and ``_b``."""
+    for end in ("b", "a"):
+        pairs = pairs.join(table.select(F.col("text").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+    return pairs
+
+
+def _links(pairs: DataFrame, signs: DataFrame, words: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose texts are similar."""
+    def possible(batches):
+        for batch in batches:
+            if len(batch):
+                longer = batch[["size_a", "size_b"]].max(axis=1).to_numpy()
+                most = (longer * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+                one, other = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, BAG).astype(np.int64) for c in ("bag_a", "bag_b"))
+                apart = np.abs(one - other).sum(axis=1)
+                near = (longer - batch[["size_a", "size_b"]].min(axis=1).to_numpy() <= most) & (apart <= 2 * most)
+                yield batch.loc[near, ["a", "b"]]
+
     def aligned(batches):
         for batch in batches:
             kept = []
-            for a, b, one, other in batch[["a", "b", "one", "other"]].itertuples(index=False, name=None):
+            for a, b, one, other in batch[["a", "b", "plain_a", "plain_b"]].itertuples(index=False, name=None):
                 first, second = one.split(), other.split()
                 if distance(first, second, allowed(max(len(first), len(second)))) is not None:
                     kept.append((a, b))
             yield pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
 
-    size = F.size(F.split("plain", " ")).alias("size")
-    sized = words.select("text", "plain", size)
-    left = sized.select(F.col("text").alias("a"), F.col("plain").alias("one"), F.col("size").alias("n"))
-    right = sized.select(F.col("text").alias("b"), F.col("plain").alias("other"), F.col("size").alias("m"))
-    near = F.least("n", "m") >= F.greatest("n", "m") - F.floor(F.greatest("n", "m") * (1 - SIMILARITY) + 1e-9)
-    return pairs.join(right, "b").join(left, "a").where(near).mapInPandas(aligned, "a long, b long")
+    close = _both(pairs, signs, "size", "bag").mapInPandas(possible, "a long, b long")
+    return _both(close, words, "plain").mapInPandas(aligned, "a long, b long")
 
 
 def _leftover(buckets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -185,14 +207,15 @@ def _leftover(buckets: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _classes(base: DataFrame, texts: DataFrame) -> DataFrame:
     """node, label of the distinct texts that are linked to another."""
-    rows = write_once(_bucket_rows(base, texts.select("digest", "text")), "buckets")
+    signs = write_once(_signs(base, texts.select("digest", "text")), "sketches")
+    rows = _bucket_rows(signs)
     led = rows.groupBy("bucket").agg(F.min("text").alias("a"), F.count("*").alias("n")).where("n > 1")
     shared = write_once(rows.join(led, "bucket").select("bucket", "text", "a"), "shared")
     pairs = shared.where("text != a").select("a", F.col("text").alias("b")).distinct()
     involved = texts.join(shared.select("text").distinct(), "text", "left_semi").select("digest", F.col("keep_id").alias("doc_id"), "text")
     words = write_once(base.join(involved, (base["digest"] == involved["digest"]) & base["doc_id"].eqNullSafe(involved["doc_id"])).groupBy(
         "text").agg(F.any_value("plain").alias("plain")), "words")
-    links = write_once(_links(pairs, words), "links")
+    links = write_once(_links(pairs, signs, words), "links")
     classes = components(links)
     rest = write_once(_leftover(shared.where("text != a").select("bucket", "text"), classes), "leftover")
     while not rest.isEmpty():
@@ -200,7 +223,7 @@ def _classes(base: DataFrame, texts: DataFrame) -> DataFrame:
         leaders = rest.withColumn("place", F.row_number().over(place)).where(F.col("place") <= LEADERS).select(
             "bucket", F.col("text").alias("a"), F.col("label").alias("label_a"))
         pairs = rest.join(leaders, "bucket").where("a < text and label != label_a").select("a", F.col("text").alias("b")).distinct()
-        links = write_once(links.union(_links(pairs, words)), "links")
+        links = write_once(links.union(_links(pairs, signs, words)), "links")
         classes = components(links)
         past = leaders.groupBy("bucket").agg(F.max("a").alias("past"))
         rest = write_once(_leftover(rest.join(past, "bucket").where("text > past").select("bucket", "text"), classes), "leftover")

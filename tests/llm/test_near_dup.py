@@ -107,7 +107,7 @@ def test_classes(documents, rows, monkeypatch):
 def test_mixed_buckets_are_worked_off(documents, rows, monkeypatch):
     """Every text in the same buckets: classes must still be those of all pairs."""
     monkeypatch.setattr(nd, "LEADERS", 2)
-    monkeypatch.setattr(nd, "_bucket_rows", lambda base, texts: texts.selectExpr("1L as bucket", "text"))
+    monkeypatch.setattr(nd, "_bucket_rows", lambda signs: signs.selectExpr("1L as bucket", "text"))
     docs = corpus(seed=8, bases=7, copies=5)
     assert rows(nd.near_duplicates(documents(docs))) == brute(docs)
 
