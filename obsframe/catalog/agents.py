@@ -23,12 +23,11 @@ def _(lake: Lake) -> DataFrame:
 
 @query("context_last5", """
     SELECT agent_id, position, len(recent) AS turns, coalesce(list_aggregate(recent, 'string_agg', '|'), '') AS recent
-    FROM (SELECT agent_id, position, list(substr(query, 1, 20) || '>' || coalesce(substr(response, 1, 20), '')) OVER (
+    FROM (SELECT agent_id, position, list(query || '>' || coalesce(response, '')) OVER (
               PARTITION BY agent_id ORDER BY position ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS recent FROM agent_turns)
 """, "agent_turns")
 def _(lake: Lake) -> DataFrame:
-    brief = F.transform("context", lambda t: F.concat(
-        F.substring(t["query"], 1, 20), F.lit(">"), F.coalesce(F.substring(t["response"], 1, 20), F.lit(""))))
+    brief = F.transform("context", lambda t: F.concat(t["query"], F.lit(">"), F.coalesce(t["response"], F.lit(""))))
     out = a.context(lake.agent_turns)
     size = F.when(F.size("context") > 0, F.size("context").cast("long"))
     return out.select("agent_id", "position", size.alias("turns"), F.array_join(brief, "|").alias("recent"))
@@ -66,20 +65,23 @@ def _(lake: Lake) -> DataFrame:
 
 
 @query("agent_state_fold", """
-    SELECT agent_id, min(ts) AS created_at, max(ts) AS last_updated, count(*) AS reflection_count,
+    WITH numbered AS (SELECT *, (row_number() OVER (PARTITION BY agent_id ORDER BY position) - 1) // 1000 AS chunk_no,
+            min(ts) OVER w AS created_at, max(ts) OVER w AS last_updated, count(*) OVER w AS reflection_count
+        FROM agent_turns WINDOW w AS (PARTITION BY agent_id))
+    SELECT agent_id, chunk_no, created_at, last_updated, reflection_count,
            string_agg(query || '>' || coalesce(response, ''), chr(10) ORDER BY position) AS history
-    FROM agent_turns GROUP BY agent_id
+    FROM numbered GROUP BY agent_id, chunk_no, created_at, last_updated, reflection_count
 """, "agent_turns")
 def _(lake: Lake) -> DataFrame:
     lines = F.transform("history", lambda h: F.concat(h["query"], F.lit(">"), F.coalesce(h["response"], F.lit(""))))
     return a.fold_state(lake.agent_turns).select(
-        "agent_id", "created_at", "last_updated", "reflection_count", F.array_join(lines, "\n").alias("history"))
+        "agent_id", "chunk_no", "created_at", "last_updated", "reflection_count", F.array_join(lines, "\n").alias("history"))
 
 
 @query("history_messages", """
     WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY position) - 1 AS n FROM agent_turns)
-    SELECT agent_id, CAST(2 * n AS INTEGER) AS pos, 'user' AS role, query AS text FROM numbered
-    UNION ALL SELECT agent_id, CAST(2 * n + 1 AS INTEGER), 'bot', response FROM numbered
+    SELECT agent_id, 2 * n AS pos, 'user' AS role, query AS text FROM numbered
+    UNION ALL SELECT agent_id, 2 * n + 1, 'bot', response FROM numbered
 """, "agent_turns")
 def _(lake: Lake) -> DataFrame:
     return a.history_messages(a.fold_state(lake.agent_turns)).select("agent_id", "pos", "role", "text")

@@ -14,7 +14,6 @@ WORDS = r"list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')
 VOCAB = f"""
     vocab AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) + 1 AS id FROM (
         SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY word))"""
-MODELS = ["model-0", "model-1", "model-2", "model-9"]
 
 
 def _prompts(lake: Lake) -> DataFrame:
@@ -53,12 +52,14 @@ def _(lake: Lake) -> DataFrame:
 
 @query("corpus_coverage", f"""
     WITH {RESPONSES}, grid AS (SELECT task, model FROM (SELECT DISTINCT conv_id AS task FROM conversations),
-                               (SELECT unnest({MODELS}) AS model))
+                               (SELECT DISTINCT model FROM responses UNION SELECT 'model-none'))
     SELECT g.task, g.model, CASE WHEN r.task IS NULL THEN 0 ELSE 1 END AS present
     FROM grid g LEFT JOIN (SELECT DISTINCT task, model FROM responses) r ON r.task = g.task AND r.model = g.model
 """)
 def _(lake: Lake) -> DataFrame:
-    return c.coverage(_responses(lake), lake.conversations.select(F.col("conv_id").alias("task")), MODELS)
+    responses = _responses(lake)
+    models = sorted(r["model"] for r in responses.select("model").distinct().collect())  # one per turn number
+    return c.coverage(responses, lake.conversations.select(F.col("conv_id").alias("task")), [*models, "model-none"])
 
 
 @query("prompt_id_audit", """

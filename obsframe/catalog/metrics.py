@@ -127,6 +127,18 @@ def _(lake: Lake) -> DataFrame:
     return m.target_up(events, events, "user_id", "6h", "2024-01-01 00:00:00", "2024-01-30 00:00:00")
 
 
+@query("target_up_off_grid", """
+    WITH grid AS (SELECT user_id, slot FROM (SELECT DISTINCT user_id FROM events),
+                  generate_series(TIMESTAMP '2024-01-02 00:07:00', TIMESTAMP '2024-01-05', INTERVAL 45 MINUTE) AS g(slot)),
+    seen AS (SELECT DISTINCT user_id, time_bucket(INTERVAL 45 MINUTE, ts, TIMESTAMP '2024-01-02 00:07:00') AS slot FROM events)
+    SELECT grid.user_id, grid.slot, CASE WHEN seen.slot IS NULL THEN 0 ELSE 1 END AS up
+    FROM grid LEFT JOIN seen ON grid.user_id = seen.user_id AND grid.slot = seen.slot
+""")
+def _(lake: Lake) -> DataFrame:
+    events = lake.events
+    return m.target_up(events, events, "user_id", "45m", "2024-01-02 00:07:00", "2024-01-05 00:00:00")
+
+
 @query("attach_labels", """
     SELECT 'gateway' AS job, 'shop' AS app, pod, response_code, ts, value FROM counter_samples
 """, "counter_samples")

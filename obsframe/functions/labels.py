@@ -16,6 +16,12 @@ def label(df: DataFrame, name: str) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def label_is(df: DataFrame, name: str, value: str) -> Column:
+    """Whether a label has a value; on a promoted column this reaches the scan unless the value is empty."""
+    column = F.col(f"`{name}`") if name in df.columns else F.col("labels")[name]
+    return column == value if value else label(df, name) == ""
+
+
 def promote(df: DataFrame, *names: str) -> DataFrame:
     """Turn map entries into columns."""
     return df.withColumns({n: F.col("labels")[n] for n in names})

@@ -40,8 +40,8 @@ def contains_ci(column: Column | str, part: str) -> Column:
 
 
 def full_match(column: Column | str, pattern: str) -> Column:
-    """Regular expression match of the whole text."""
-    return _col(column).rlike(f"^(?:{pattern})$")
+    """Regular expression match of the whole text, a trailing line end included."""
+    return _col(column).rlike(rf"\A(?:{pattern})\z")
 
 
 def strip(column: Column | str) -> Column:

@@ -71,6 +71,7 @@ def fold_state(turns: DataFrame, chunk: int = 1000, slices: int | None = None) -
 
     A document holds at most ``chunk`` history entries; an agent with more turns has
     further documents, numbered by ``chunk_no``, so no history has to fit one row.
+    ``first_turn`` counts the turns in the documents before.
     """
     numbered = scan(turns, ["agent_id"], ["position"], sums={"rn": F.lit(1)}, slices=slices,
                     totals={
@@ -79,14 +80,15 @@ def fold_state(turns: DataFrame, chunk: int = 1000, slices: int | None = None) -
     entry = F.struct("rn", F.struct("query", "response", F.col("ts").alias("timestamp")).alias("e"))
     return (numbered.withColumn("chunk_no", F.floor((F.col("rn") - 1) / chunk))
             .groupBy("agent_id", "created_at", "last_updated", "reflection_count", "chunk_no")
-            .agg(F.sort_array(F.collect_list(entry))["e"].alias("history")))
+            .agg((F.min("rn") - 1).alias("first_turn"), F.sort_array(F.collect_list(entry))["e"].alias("history")))
 
 
 def history_messages(state: DataFrame) -> DataFrame:
-    """Saved history as alternating role messages in order."""
+    """Saved history as alternating role messages; ``pos`` counts on over all documents of an agent."""
     both = F.flatten(F.transform("history", lambda h: F.array(_message("user", h["query"]), _message("bot", h["response"]))))
-    return state.select(*[c for c in state.columns if c != "history"], F.posexplode(both).alias("pos", "m")).select(
-        "*", F.col("m.role").alias("role"), F.col("m.content").alias("text")).drop("m")
+    return state.select(*[c for c in state.columns if c != "history"], F.posexplode(both).alias("__at", "m")).select(
+        "*", (F.col("__at") + 2 * F.col("first_turn")).alias("pos"),
+        F.col("m.role").alias("role"), F.col("m.content").alias("text")).drop("m", "__at")
 
 
 def state_or_default(ids: DataFrame, state: DataFrame, now: str, key: str = "agent_id") -> DataFrame:

@@ -19,14 +19,19 @@ def flag_counts(cells: DataFrame) -> DataFrame:
 
 
 def labelled_numbers(cells: DataFrame) -> DataFrame:
-    """Numbers that follow a label, as in ``AUC 0.95`` or ``accuracy: 79.1%``: one row each."""
-    pattern = r"([A-Za-z][A-Za-z0-9-]*)[^0-9A-Za-z%.|-]{1,6}(\d+\.\d+|\d+(?=\s*%))(\s*%)?"
+    """Numbers that follow a label, as in ``AUC 0.95``, ``loss -0.5``, ``AUC: 1`` or ``accuracy: 79.1%``: one row each.
+
+    Labels may be in any script. A whole number counts after a colon or equals sign, or as a percentage,
+    since others are mostly part of a name.
+    """
+    gap = r"[^\p{L}\p{N}%.|+-]"
+    pattern = (rf"(\p{{L}}[\p{{L}}\p{{N}}-]*)(?:{gap}{{1,6}}?([+-]?\d+\.\d+|[+-]?\d+(?=\s*%))|\s*[:=：＝]\s*([+-]?\d+(?![\p{{L}}\p{{N}}.])))(\s*%)?")
     every = F.regexp_extract_all("value", F.lit(pattern), F.lit(0))
     found = cells.withColumn("hit", F.explode(every))
     return found.select(
         *[c for c in cells.columns if c != "value"],
         F.regexp_extract("hit", pattern, 1).alias("label"),
-        F.regexp_extract("hit", pattern, 2).cast("double").alias("number"),
+        F.concat(F.regexp_extract("hit", pattern, 2), F.regexp_extract("hit", pattern, 3)).cast("double").alias("number"),
         F.col("hit").endswith("%").alias("is_percent"))
 
 

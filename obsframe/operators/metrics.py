@@ -118,12 +118,19 @@ def status_counts(probes: DataFrame, status: str = "status") -> DataFrame:
 
 
 def target_up(scrapes: DataFrame, targets: DataFrame, key: str, every: str, first: str, last: str) -> DataFrame:
-    """1 where a target reported within a scrape slot, else 0, for every slot and target."""
+    """1 where a target reported within a scrape slot, else 0, for every slot and target.
+
+    Slots start at ``first`` and follow each other by ``every``; the one that starts last starts at ``last`` at most.
+    """
     width = F.expr(f"interval {interval(every)}")
     kind = scrapes.schema["ts"].dataType
-    slots = F.sequence(F.lit(first).cast(kind), F.lit(last).cast(kind), width)
-    grid = targets.select(key).distinct().withColumn("slot", F.explode(slots))
-    seen = (scrapes.groupBy(key, F.window("ts", interval(every)).start.alias("slot")).agg(F.lit(1).alias("seen")))
+    begin, end = F.lit(first).cast(kind), F.lit(last).cast(kind)
+    grid = targets.select(key).distinct().withColumn("slot", F.explode(F.sequence(begin, end, width)))
+    millis = round(parse_duration(every).total_seconds() * 1000)
+    offset = round(datetime.fromisoformat(first).replace(tzinfo=timezone.utc).timestamp() * 1000) % millis
+    inside = scrapes.where((F.col("ts") >= begin) & (F.col("ts") < end + width))
+    slot = F.window("ts", interval(every), interval(every), f"{offset} milliseconds").start
+    seen = inside.groupBy(key, slot.alias("slot")).agg(F.lit(1).alias("seen"))
     return lookup_join(grid, seen, [key, "slot"]).select(key, "slot", F.coalesce("seen", F.lit(0)).alias("up"))
 
 

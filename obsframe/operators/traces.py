@@ -47,24 +47,25 @@ def span_performance(spans: DataFrame, by: tuple[str, ...] = ("service", "operat
     return summarize(spans, list(by), figures, "duration_us", {"p95_us": 0.95}, slices)
 
 
-def trace_timeline(spans: DataFrame, most_levels: int = 1024, slices: int | None = None) -> DataFrame:
+def trace_timeline(spans: DataFrame, slices: int | None = None) -> DataFrame:
     """Each span with its offset from the trace's start and its depth.
 
-    Depth is null where a span hangs below a cycle or more than ``most_levels`` deep.
+    Depth is null where a span hangs below a cycle.
     """
     slices = slice_count(spans, slices)
     timed = scan(spans, ["trace_id"], ["span_id"], totals={"trace_start": ("min", F.col("start_us"))}, slices=slices)
-    depths = _depth_below(spans, most_levels, slices).withColumnRenamed("span_id", "parent_id")
+    depths = _depth_below(spans, slices).withColumnRenamed("span_id", "parent_id")
     out = attach(timed, depths, ["trace_id", "parent_id"], slices=slices)
     return out.withColumn("offset_us", F.col("start_us") - F.col("trace_start")).withColumn(
         "depth", F.when(F.col("known").isNull(), F.lit(0)).otherwise(F.col("below"))).drop("known", "below", "trace_start")
 
 
-def _depth_below(spans: DataFrame, most_levels: int, slices: int | None) -> DataFrame:
+def _depth_below(spans: DataFrame, slices: int | None) -> DataFrame:
     """For each span that has children, the depth of those children.
 
     Only parents take part, which makes wide fans small. Each round every parent jumps
-    to its jump target's target, so ``log2(levels)`` rounds are enough.
+    to its jump target's target. No chain is longer than the parents of its trace, so
+    ``log2`` of their largest number bounds the rounds; what still jumps then is in or below a cycle.
     """
     parents = spans.where(F.col("parent_id").isNotNull()).select(
         "trace_id", F.col("parent_id").alias("span_id")).distinct()
@@ -76,7 +77,8 @@ def _depth_below(spans: DataFrame, most_levels: int, slices: int | None) -> Data
         F.when(F.col("linked"), 1).otherwise(0).alias("steps"))
     reached = 1
     jumps = write_once(jumps, "depth")
-    while reached < most_levels and not jumps.where(F.col("up").isNotNull()).isEmpty():
+    longest = jumps.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+    while reached <= longest and not jumps.where(F.col("up").isNotNull()).isEmpty():
         hop = jumps.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"),
                            F.col("steps").alias("steps2"))
         jumps = write_once(attach(jumps, hop, ["trace_id", "up"], slices=slices).select(

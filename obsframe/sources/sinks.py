@@ -1,7 +1,8 @@
 """Writing state: latest per key, and every version.
 
-Both only ever add folders, named by batch. A repeated batch replaces its own folder,
-so a retry after a failure changes nothing, and older data is never at risk.
+Both only ever add folders, named by run and batch. A batch that one run repeats replaces
+its own folder, so a retry after a failure changes nothing; another run, such as a
+stream with a new checkpoint on an old path, writes beside it, so older data is never at risk.
 """
 
 from __future__ import annotations
@@ -11,27 +12,27 @@ from pyspark.sql import functions as F
 
 from obsframe.operators.agents import state_versions
 
-BATCH = "batch"
+RUN, BATCH = "run", "batch"
 
 
-def upsert_latest(df: DataFrame, key: str, order: list[str], path: str, batch: int) -> None:
-    """Write the latest row of each key of one batch."""
-    _latest(df, key, order).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
+def upsert_latest(df: DataFrame, key: str, order: list[str], path: str, batch: int, run: str = "single") -> None:
+    """Write the latest row of each key of one batch of a run."""
+    _latest(df, key, order).write.mode("overwrite").parquet(f"{path}/{RUN}={run}/{BATCH}={batch}")
 
 
 def read_latest(spark: SparkSession, path: str, key: str, order: list[str]) -> DataFrame:
     """The latest row of each key, by event order rather than by time of writing."""
-    return _latest(spark.read.parquet(path), key, [*order, BATCH]).drop(BATCH)
+    return _latest(spark.read.parquet(path), key, [*order, BATCH, RUN]).drop(BATCH, RUN)
 
 
-def append_versions(df: DataFrame, path: str, batch: int) -> None:
-    """Write every version of one batch."""
-    df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
+def append_versions(df: DataFrame, path: str, batch: int, run: str = "single") -> None:
+    """Write every version of one batch of a run."""
+    df.write.mode("overwrite").parquet(f"{path}/{RUN}={run}/{BATCH}={batch}")
 
 
 def read_versions(spark: SparkSession, path: str, key: str, order: list[str], slices: int | None = None) -> DataFrame:
     """All versions, numbered from 1 per key, with the latest flagged."""
-    return state_versions(spark.read.parquet(path).drop(BATCH), key, order, slices)
+    return state_versions(spark.read.parquet(path).drop(BATCH, RUN), key, order, slices)
 
 
 def _latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -23,17 +23,19 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_responses(files: DataFrame) -> DataFrame:
-    """Model and task from the file name, duration from line 1, the rest after the marker.
+    """Model and task from the file name, duration from line 1, the rest after either marker.
 
-    A body may hold lines that look like the first one; they are left alone.
+    A body may hold lines that look like the first ones; they are left alone. Without a
+    duration or a marker the whole text is the body and ``parse_error`` is true.
     """
     text = F.col("value")
     seconds = F.regexp_extract(text, r"^Duration: (\d+(?:\.\d+)?) seconds\.", 1).try_cast("double")
-    body = F.regexp_extract(text, r"(?s)^[^\n]*\n\s*Code generated:\r?\n?(.*)$", 1)
+    form = r"(?s)\A[^\n]*\n\s*(?:Code generated|Output):\r?\n?(.*)\z"
+    known = seconds.isNotNull() & text.rlike(form)
     model, task = _nonempty(F.regexp_extract("path", RESPONSE_NAME, 1)), _nonempty(F.regexp_extract("path", RESPONSE_NAME, 2))
     return files.select(model.alias("model"), task.alias("task"), seconds.alias("duration"),
-                        F.when(seconds.isNull(), text).otherwise(body).alias("body"),
-                        (model.isNull() | seconds.isNull()).alias("parse_error"))
+                        F.when(known, F.regexp_extract(text, form, 1)).otherwise(text).alias("body"),
+                        (model.isNull() | ~F.coalesce(known, F.lit(False))).alias("parse_error"))
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
@@ -41,12 +43,16 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_prompts(files: DataFrame) -> DataFrame:
-    """Task from the file name, own id from the ``id:`` line, block text whether indented or not."""
+    """Task from the file name, own id from the ``id:`` line, block text whether indented or not.
+
+    Without a block the prompt is empty and ``parse_error`` is true.
+    """
     task = _nonempty(F.regexp_extract("path", PROMPT_NAME, 1))
     own = _nonempty(F.regexp_extract("value", r"^\s*id:[ \t]*([^\r\n]*)", 1))
-    body = F.regexp_extract("value", r"(?s)\nprompt:[ \t]*\|[^\n]*\n(.*)$", 1)
+    block = r"(?s)\nprompt:[ \t]*\|[^\n]*\n(.*)\z"
+    body = F.regexp_extract("value", block, 1)
     return files.select(task.alias("task"), F.trim(own).alias("id"), body.alias("prompt"),
-                        (task.isNull() | own.isNull()).alias("parse_error"))
+                        (task.isNull() | own.isNull() | ~F.col("value").rlike(block)).alias("parse_error"))
 
 
 def read_matrices(spark: SparkSession, path: str) -> DataFrame:
@@ -59,9 +65,9 @@ def parse_matrices(files: DataFrame) -> DataFrame:
     tables = files.select(F.element_at(F.split("path", "/"), -1).alias("doc"), F.posexplode(blocks).alias("table_no", "block"))
     lines = F.filter(F.split("block", r"\r?\n"), lambda line: F.trim(line) != "")
     ruled = r"^[\s|:-]+$"
-    tables = tables.withColumn("lines", F.filter(lines, lambda line: ~line.rlike(ruled)))
+    tables = tables.withColumn("lines", F.filter(lines, lambda line, i: ~((i == 1) & line.rlike(ruled))))
     rows = tables.withColumn("header", _cells(F.get("lines", F.lit(0)))).select(
-        "doc", "table_no", "header", F.posexplode(F.slice("lines", 2, 1_000_000_000)).alias("row_no", "line"))
+        "doc", "table_no", "header", F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("row_no", "line"))
     rows = rows.withColumn("cells", _cells(F.col("line")))
     return rows.select("doc", "table_no", "row_no", F.get("cells", F.lit(0)).alias("entity"),
                        F.posexplode("header").alias("column_no", "attribute"), "cells").where(

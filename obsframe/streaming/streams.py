@@ -103,9 +103,14 @@ def stream_delta_assembly(deltas: DataFrame, watermark: str, timeout: str = "90s
 
 
 def stream_upsert(states: DataFrame, key: str, order: list[str], path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write the latest state of each key on every change."""
+    """Write the latest state of each key on every change.
+
+    The run is the query's id, which belongs to the checkpoint: a restart repeats its own batches, a
+    new checkpoint starts beside them.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        upsert_latest(batch, key, order, path, number)
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        upsert_latest(batch, key, order, path, number, run)
 
     return (states.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
