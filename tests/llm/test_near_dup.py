@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -154,3 +155,51 @@ def test_recall_on_edited_texts():
             b[at] = draw.getrandbits(60)
         met += bool((nd.sketches(a) == nd.sketches(b)).any())
     assert met / n >= 0.95
+
+
+@pytest.mark.parametrize("size", [25, 40, 200])
+@pytest.mark.parametrize("share", [0.15, 0.2])
+def test_recall_up_to_the_bound(size, share):
+    """Texts with as many words changed, or taken out and put in, as a link allows share a bucket nearly always."""
+    draw, met, n = random.Random(size), 0, 300
+    for i in range(n):
+        a = [draw.getrandbits(60) for _ in range(size)]
+        b = list(a)
+        edits = int(size * share + 1e-9)
+        for j, at in enumerate(draw.sample(range(size), edits)):
+            if i % 2 or j == edits - 1 and edits % 2:
+                b[at] = draw.getrandbits(60)
+            elif j % 2:
+                b.insert(draw.randrange(len(b) + 1), draw.getrandbits(60))
+            else:
+                del b[draw.randrange(len(b))]
+        met += bool(set(nd.buckets(np.array(a, np.uint64))) & set(nd.buckets(np.array(b, np.uint64))))
+    assert met / n >= 0.99
+
+
+def test_short_texts_always_meet():
+    """Every pair within the bound of which one text is short shares a bucket, wherever the edits are."""
+    draw, linked = random.Random(6), 0
+    for _ in range(6000):
+        a = [draw.randrange(1, 7) for _ in range(draw.randint(4, 31))]
+        b = list(a)
+        for _ in range(draw.randint(0, nd.allowed(len(a)))):
+            at, kind = draw.randrange(len(b)), draw.randrange(3)
+            b[at:at + (kind != 1)] = [draw.randrange(1, 7)] * (kind != 2)
+        if a != b and min(len(a), len(b)) <= nd.SHORT and nd.distance(a, b, nd.allowed(max(len(a), len(b)))) is not None:
+            linked += 1
+            assert set(nd.buckets(np.array(a, np.uint64))) & set(nd.buckets(np.array(b, np.uint64))), (a, b)
+    assert linked > 2500
+
+
+def test_classes_of_short_texts(documents, rows):
+    draw, docs = random.Random(9), []
+    for base in range(30):
+        text = [f"w{draw.randrange(5000)}" for _ in range(draw.randint(5, 24))]
+        docs.append((len(docs), " ".join(text)))
+        for at in draw.sample(range(len(text)), nd.allowed(len(text))):
+            text[at] = f"x{draw.randrange(5000)}"
+        docs.append((len(docs), " ".join(text)))
+    wanted = brute(docs)
+    assert len({w[1] for w in wanted}) == 30
+    assert rows(nd.near_duplicates(documents(docs))) == wanted
