@@ -28,6 +28,7 @@ from obsframe.llm.columns import own, spare
 # Offsets of the tokens that each mask selects.
 MASKS = [(0, 1, 2, 3, 5), (0, 2, 3, 6, 7), (0, 3, 5, 6, 7)]
 SPAN = 8
+LEAST = min(max(m) for m in MASKS) + 1    # tokens that the shortest mask spans
 LONGEST, SHORTEST = 20, 10
 BLOCK_WORDS = 1_000_000    # about 100 MB of seeds and words in a broadcast
 
@@ -47,8 +48,8 @@ def word_list(text: Column) -> Column:
 
 def _seeds(df: DataFrame, words: str, carried: list[str]) -> DataFrame:
     """One row (carried columns, ``at``, ``seed``) per position and mask; the position is where the window starts."""
-    size, least = F.size(words), min(max(m) for m in MASKS) + 1
-    positions = F.explode(F.when(size >= SPAN, F.sequence(F.lit(0), size - least))).alias("at")
+    size = F.size(words)
+    positions = F.explode(F.when(size >= SPAN, F.sequence(F.lit(0), size - LEAST))).alias("at")
 
     def seed(number: int, mask: tuple[int, ...]) -> Column:
         picked = [F.get(words, F.col("at") + offset) for offset in mask]
@@ -72,7 +73,7 @@ def _best(doc: Column, doc_at: Column, item: Column, item_at: Column, doc_first:
     size = F.least(F.lit(LONGEST), F.size(item))
     need = size - F.when(size >= SHORTEST, F.floor(size / 5)).otherwise(0)
     shift = doc_at - item_at
-    first = F.greatest(item_at + SPAN - size, -shift, F.lit(0))
+    first = F.greatest(item_at + LEAST - size, -shift, F.lit(0))
     last = F.least(item_at + size, F.size(item), doc_size - shift) - 1
 
     def equal(j: Column) -> Column:

@@ -97,3 +97,15 @@ def test_one_word_repeated(spark, documents, rows):
 def test_no_python_in_the_plan(spark, documents):
     plan = dc.overlaps(documents([(1, "a")], extra=False), table(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_allowed_substitution_is_found(spark, documents, rows):
+    """Items of 10 to 15 words, alone in a document, with each set of changes that is allowed."""
+    items, docs, wanted = [], [], []
+    for size in range(10, 16):
+        words = [f"i{size}w{j}" for j in range(size)]
+        items.append((size, " ".join(words)))
+        for bad in itertools.combinations(range(size), dc.allowed(size)):
+            wanted.append((len(docs), size, size - len(bad), size))
+            docs.append((len(docs), " ".join("changed" if j in bad else w for j, w in enumerate(words))))
+    assert rows(dc.overlaps(documents(docs, extra=False), table(spark, items))) == sorted(wanted, key=repr)
