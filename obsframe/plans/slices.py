@@ -34,6 +34,7 @@ SAMPLED_BYTES = 8 * SLICE_BYTES  # tables from this size on are sampled for thei
 SAMPLE_PER_SLICE = 640_000  # bytes of input
 UNKNOWN_BYTES = 2**60
 TEXT_BYTES = 6  # bytes of a text that fit a double beside their number
+FIRST, LAST = -1e308, 1e308  # places of null and of NaN; infinite values lie right inside
 FIXED_ZONES = ("UTC", "Etc/UTC", "GMT", "Z")  # no clock changes, so a cast keeps the order
 
 
@@ -146,7 +147,7 @@ def _sampled(df: DataFrame, count: int) -> DataFrame:
 
 def _quantiles(df: DataFrame, column: str, count: int) -> list[float]:
     """Ascending cuts into ``count`` parts, a common value as often as it is hit."""
-    return sorted(_sampled(df.where(F.abs(column) < inf), count).approxQuantile(
+    return sorted(_sampled(df.where(F.col(column).isNotNull()), count).approxQuantile(
         column, [i / count for i in range(1, count)], 0.25 / count))
 
 
@@ -374,7 +375,7 @@ def _pack(columns: dict[str, Column]) -> Column:
 
 
 def _place(df: DataFrame, name: str, level: int = 0) -> Column:
-    """A double that never falls as ``name`` rises among rows that are equal in all lower levels; nulls come first."""
+    """A finite double that never falls as ``name`` rises among rows that are equal in all lower levels; nulls come first."""
     kind, column = df.schema[name].dataType, F.col(name)
     if isinstance(kind, T.TimestampType):
         spot = F.unix_micros(column)
@@ -390,7 +391,9 @@ def _place(df: DataFrame, name: str, level: int = 0) -> Column:
         # a byte more than its value, so that an end comes before any byte
         spot = F.conv(F.rpad(F.hex(part), 2 * TEXT_BYTES, "0"), 16, 10).cast("double") * 8 + F.octet_length(part)
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        spot = F.when(F.isnan(column), F.lit(inf)).otherwise(column)
+        finite = F.when(F.abs(column) < inf, column.cast("double") + 0.0)  # no negative zero
+        edge = F.when(F.isnan(column), LAST).when(column > 0, LAST * 0.95).otherwise(FIRST * 0.95)
+        spot = F.coalesce(finite if level else finite / 2, F.lit(0.0) if level else edge)
     elif level:  # what the nearest double leaves of the whole part, then the fraction, then what its double leaves
         part, exact = (F.floor(column), "decimal(38,0)") if level == 1 else (F.pmod(column, F.lit(1)), kind.simpleString())
         whole = part.cast(exact)
@@ -398,7 +401,7 @@ def _place(df: DataFrame, name: str, level: int = 0) -> Column:
     else:
         spot = column
     spot = spot.cast("double")
-    return F.when(column.isNull(), F.lit(-inf)).otherwise(spot)
+    return F.when(column.isNull(), F.lit(FIRST)).otherwise(spot)
 
 
 def _levels(tied: DataFrame, name: str) -> int:
@@ -407,4 +410,4 @@ def _levels(tied: DataFrame, name: str) -> int:
     if isinstance(kind, T.StringType):
         longest = tied.agg(F.max(F.octet_length(name))).first()[0] or 0
         return max(1, ceil(longest / TEXT_BYTES))
-    return 4 if isinstance(kind, T.DecimalType) else 2 if isinstance(kind, T.LongType) else 1
+    return 4 if isinstance(kind, T.DecimalType) else 2 if isinstance(kind, (T.LongType, T.DoubleType, T.FloatType)) else 1

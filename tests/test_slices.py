@@ -217,3 +217,30 @@ def test_order_that_a_double_cannot_hold(spark, kind, slices):
     assert got == want
     sizes = [r["count"] for r in slice_by(df, ["k"], ["o", "id"], slices).where(F.col(SLICE) > 0).groupBy(SLICE).count().collect()]
     assert max(sizes) <= 4 * 700 / slices + 20
+
+
+@pytest.mark.parametrize("slices", [4, 40])
+@pytest.mark.parametrize("places", [
+    [None], [float("nan")], [0.0, -0.0, 5e-324, 1e-323],
+    [None, float("-inf"), -1.7e308, -1.2e308, 0.0, 1.2e308, 1.7e308, float("inf"), float("nan")]])
+def test_order_values_without_a_finite_place(spark, slices, places):
+    rows = [("hot" if i % 4 else "cold", places[i % len(places)], None if i % 7 == 0 else i % 5, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, p double, q long, id long")
+    got = scan(df, ["k"], ["p", "q", "id"], sums={"rn": F.lit(1)}, previous={"before": F.col("id")}, slices=slices)
+    plain = Window.partitionBy("k").orderBy("p", "q", "id")
+    want = df.select("id", F.row_number().over(plain).alias("rn"), F.lag("id").over(plain).alias("before"))
+    assert {r.id: (r.rn, r.before) for r in got.collect()} == {r.id: (r.rn, r.before) for r in want.collect()}
+    sizes = [r["count"] for r in slice_by(df, ["k"], ["p", "q", "id"], slices).where(f"{SLICE} > 0").groupBy("k", SLICE).count().collect()]
+    assert max(sizes) <= 3 * 400 / slices
+
+
+@pytest.mark.parametrize("slices", [4, 12])
+def test_versions_at_one_moment_and_null_orders(spark, slices):
+    from obsframe.operators.agents import state_as_of, state_versions
+    moment = F.lit("2024-01-01").cast("timestamp")
+    asked = spark.range(60).select(F.lit("u").alias("k"), moment.alias("ts"), "id")
+    saved = spark.range(1).select(F.lit("u").alias("k"), moment.alias("ts"), F.lit(7).alias("v"))
+    got = state_as_of(asked, saved, "k", "ts", ["v"], "id", slices).collect()
+    assert len(got) == 60 and {r.v for r in got} == {7}
+    rows = spark.range(80).select(F.lit("u").alias("k"), F.lit(None).cast("timestamp").alias("ts"), "id")
+    assert sorted((r.version, r.id) for r in state_versions(rows, "k", ["ts", "id"], slices).collect()) == [(i + 1, i) for i in range(80)]
