@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsframe.llm import bpe, decontaminate, exact_dedup, language, near_dup, pii, quality, token_counts, toxicity, warc
+from obsframe.llm import bpe, decontaminate, exact_dedup, language, near_dup, packing, pii, quality, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +74,8 @@ def _(spark, folder):
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs).select("doc_id", "n_tokens", "token_score")
+
+
+@query("op12_best_fit_packing")
+def _(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), ids=False)
