@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsframe.llm import alignment, bpe, decontaminate, exact_dedup, language, near_dup, packing, pii, quality, token_counts, toxicity, warc
+from obsframe.llm import alignment, bpe, decontaminate, exact_dedup, language, near_dup, packing, pii, prefix_trie, quality, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,8 @@ def _(spark, folder):
 @query("op11_alignment")
 def _(spark, folder):
     return alignment.align(table(spark, folder, "documents"), written=False)
+
+
+@query("op13_prefix_trie")
+def _(spark, folder):
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
