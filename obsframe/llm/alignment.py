@@ -40,6 +40,7 @@ from obsframe.session import write_once
 CHUNK = 1 << 16      # characters of a text that one task encodes, up to the next unit
 RANGE = 1 << 14      # bytes of a leaf
 FAN = 32             # fragments that are reduced at a time
+LINKS = 1_000_000    # links of texts that are counted at once
 MANY = 4096          # links of a group beyond which equal ids are counted first
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MARK = "▁"           # fixed value: the character that stands for a blank in pieces
@@ -155,28 +156,19 @@ def _rows(block: pa.RecordBatch, left, right, names, number: int, written: bool)
     for name in totals:
         totals[name][bad] = 0
 
-    at, starts = by_unit.take(parts.codes)
-    rows = np.repeat(np.arange(block.num_rows), np.diff(starts[parts.offsets]))
-    keep = ~bad[rows]
-    keys = rows[keep] * max(1, len(known)) + places[at][keep]
-    order = np.argsort(keys, kind="stable")
-    keys, weights = keys[order], times[at][keep][order]
-    heads = np.flatnonzero(np.diff(keys, prepend=-1))
-    weights = np.add.reduceat(weights, heads) if len(heads) else weights
-    keys = keys[heads]
-    row, place = keys // max(1, len(known)), keys % max(1, len(known))
-    documents = np.bincount(place, minlength=len(known))
-    cut = np.searchsorted(row, np.arange(block.num_rows + 1))
-    steps = np.diff(place, prepend=0)
-    steps[cut[:-1][cut[:-1] < len(steps)]] = place[cut[:-1][cut[:-1] < len(steps)]]
-    packed, numbers = memoryview(steps.astype("<i4").tobytes()), memoryview(weights.astype("<i8").tobytes())
+    documents, pairs, often = np.zeros(len(known), np.int64), [], []
+    upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(by_unit.sizes()[parts.codes])])[parts.offsets]
+    for low, high in _slices(upto, LINKS):
+        places, numbers, cut, seen = _linked(parts, by_unit, times, bad, low, high, len(known))
+        documents += seen
+        packed, weights = memoryview(places.astype("<i4").tobytes()), memoryview(numbers.astype("<i8").tobytes())
+        pairs += [bytes(packed[4 * i:4 * j]) for i, j in pairwise(cut)]
+        often += [bytes(weights[8 * i:8 * j]) for i, j in pairwise(cut)]
 
-    digests, written_groups, pairs, often = [], [], [], []
+    digests, written_groups = [], []
     for i, (begin, end) in enumerate(pairwise(parts.offsets.tolist())):
         text = "" if bad[i] else "".join([spelled[c] for c in parts.codes[begin:end].tolist()])[:-1]
         digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-        pairs.append(bytes(packed[4 * cut[i]:4 * cut[i + 1]]))
-        often.append(bytes(numbers[8 * cut[i]:8 * cut[i + 1]]))
         if written:
             written_groups.append(text)
 
@@ -194,6 +186,38 @@ def _rows(block: pa.RecordBatch, left, right, names, number: int, written: bool)
                                      schema=made.schema)
 
 
+def _slices(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have about ``most`` links together; ``upto`` counts those before each row."""
+    low = 0
+    while low < len(upto) - 1:
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] + most, "right")) - 1)
+        yield low, high
+        low = high
+
+
+def _linked(parts: units.Units, by_unit: units.Rows, times: np.ndarray, bad: np.ndarray, low: int, high: int,
+            known: int) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """Of the texts from ``low`` to ``high``: their pairs in order, each less the one before, the numbers of links, where
+    each text's pairs start, and in how many texts each pair is."""
+    first = parts.offsets[low]
+    at, starts = by_unit.take(parts.codes[first:parts.offsets[high]])
+    rows = np.repeat(np.arange(high - low), np.diff(starts[parts.offsets[low:high + 1] - first]))
+    keys = rows * max(1, known) + by_unit.values[at]
+    if bad[low:high].any():
+        keep = ~bad[low:high][rows]
+        keys, at = keys[keep], at[keep]
+    order = np.argsort(keys, kind="stable")
+    keys, weights = keys[order], times[at[order]]
+    heads = np.flatnonzero(np.diff(keys, prepend=-1))
+    row, place = np.divmod(keys[heads], max(1, known))
+    weights = np.add.reduceat(weights, heads) if len(heads) else weights
+    cut = np.searchsorted(row, np.arange(high - low + 1))
+    steps = np.diff(place, prepend=0)
+    opens = cut[:-1][np.diff(cut) > 0]
+    steps[opens] = place[opens]
+    return steps, weights, cut.tolist(), np.bincount(place, minlength=known)
+
+
 def _without(rows: units.Rows, wrong: np.ndarray) -> units.Rows:
     sizes = np.where(wrong, 0, rows.sizes())
     return units.Rows(rows.values[np.repeat(~wrong, rows.sizes())], np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]))

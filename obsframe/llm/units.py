@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ import pyarrow.compute as pc
 import sentencepiece
 from tokenizers import Tokenizer
 
-BLOCK = 12_000_000   # characters of a block of texts
+BLOCK = 8_000_000    # characters of a block of texts
 PART = 1 << 15       # bytes that are encoded as one string
+TOGETHER = 16        # strings that a library is given at once: its own records are much larger than the ids
 SOLID = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]"
 SEPARATORS = [chr(c) for c in range(0xFDD0, 0xFDF0)]  # characters that Unicode sets aside for such use
 JOINT = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \n])")
@@ -74,7 +76,7 @@ class Units:
         fine = pc.and_(pc.match_substring_regex(units, "^[ \\n]"), pc.match_substring_regex(units, f"{SOLID}$")).to_numpy(zero_copy_only=False)
         place = np.empty(len(units), np.int64)
         place[fine], place[~fine] = np.arange(fine.sum()), np.arange(fine.sum(), len(units))
-        self.codes = place[found.indices.to_numpy()]
+        self.codes = place[found.indices.to_numpy()].astype(np.int32)
         self.fine = units.filter(pa.array(fine))
         self.odd = units.filter(pa.array(~fine)).to_pylist()
 
@@ -157,8 +159,7 @@ def _byte_characters() -> dict[str, int]:
 def encode(units: Units, coder: ByteTokens | PieceTokens) -> tuple[Rows, np.ndarray]:
     """The ids of each unit, and which units the tokens do not give back; those have no ids."""
     ids, counts, wrong = [], [], []
-    pending = [(part, ends, part.decode()) for part, ends in units.parts()]
-    for (part, ends, _), found in zip(pending, coder.encode([t for _, _, t in pending])):
+    for part, ends, found in _together(units, coder):
         found = np.array(found, np.int64)
         at = np.cumsum(coder.lengths[found])
         upto = np.searchsorted(at, ends, "right")
@@ -174,6 +175,12 @@ def encode(units: Units, coder: ByteTokens | PieceTokens) -> tuple[Rows, np.ndar
     return Rows(np.concatenate([np.zeros(0, np.int64), *ids]), np.cumsum(sizes)), np.concatenate([np.zeros(0, bool), *wrong])
 
 
+def _together(units: Units, coder) -> Iterator[tuple[bytes, np.ndarray, list[int]]]:
+    for group in batched(units.parts(), TOGETHER):
+        found = coder.encode([part.decode() for part, _ in group])
+        yield from ((part, ends, ids) for (part, ends), ids in zip(group, found))
+
+
 def _alone(texts: list[str], coder, ids: list, counts: list, wrong: list) -> None:
     for text, found in zip(texts, coder.encode(texts) if texts else []):
         right = b"".join(map(coder.tokens.__getitem__, found)) == text.encode()
