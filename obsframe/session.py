@@ -37,14 +37,14 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def write_once(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+def write_once(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write a table to the shared folder and read it back; ``options`` go to the writer.
 
     This cuts lineage as a checkpoint does, but computes the table once, not twice, and
     tells the planner its true size. Nothing is lost with an executor.
     """
     path = work_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
