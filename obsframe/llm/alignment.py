@@ -40,7 +40,10 @@ from obsframe.session import write_once
 CHUNK = 1 << 16      # characters of a text that one task encodes, up to the next unit
 RANGE = 1 << 14      # bytes of a leaf
 FAN = 32             # fragments that are reduced at a time
-LINKS = 1_000_000    # links of texts that are counted at once
+BLOCK = 3_000_000    # characters of a block
+LINKS = 500_000      # links of texts that are counted at once
+PAIRS = 50_000       # id pairs that leave a block at once
+GROUP = 16 << 20     # bytes that a writer of blocks holds
 MANY = 4096          # links of a group beyond which equal ids are counted first
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MARK = "▁"           # fixed value: the character that stands for a blank in pieces
@@ -118,7 +121,8 @@ SHORT = ("block long, row long, n_a long, n_b long, n_groups long, n_links long,
 def _short(docs: DataFrame, first: str, second: str, written: bool) -> DataFrame:
     """Rows of short texts and rows of id pairs, both by block.
 
-    A text's ``pairs`` are places in its block's list of pairs, each less the one before, and ``times`` their numbers of links.
+    A text's ``pairs`` are places in its block's list of pairs, each less the one before, and ``times`` their numbers of links, in
+    four bytes each where they fit.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, {SHORT}" + (", groups string" if written else "")
@@ -126,7 +130,7 @@ def _short(docs: DataFrame, first: str, second: str, written: bool) -> DataFrame
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = units.ByteTokens(first), units.PieceTokens(second)
         names = _names(max(len(left.tokens), len(right.tokens)))
-        for number, block in enumerate(units.blocks(batches, "text")):
+        for number, block in enumerate(units.blocks(batches, "text", BLOCK)):
             yield from _rows(block, left, right, names, TaskContext.get().partitionId() << 32 | number, written)
 
     return docs.mapInArrow(aligned, fields)
@@ -156,43 +160,32 @@ def _rows(block: pa.RecordBatch, left, right, names, number: int, written: bool)
     for name in totals:
         totals[name][bad] = 0
 
-    documents, pairs, often = np.zeros(len(known), np.int64), [], []
+    documents = np.zeros(len(known), np.int64)
     upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(by_unit.sizes()[parts.codes])])[parts.offsets]
-    for low, high in _slices(upto, LINKS):
+    made = None
+    for low, high in units.slices(upto, LINKS):
         places, numbers, cut, seen = _linked(parts, by_unit, times, bad, low, high, len(known))
         documents += seen
-        packed, weights = memoryview(places.astype("<i4").tobytes()), memoryview(numbers.astype("<i8").tobytes())
-        pairs += [bytes(packed[4 * i:4 * j]) for i, j in pairwise(cut)]
-        often += [bytes(weights[8 * i:8 * j]) for i, j in pairwise(cut)]
-
-    digests, written_groups = [], []
-    for i, (begin, end) in enumerate(pairwise(parts.offsets.tolist())):
-        text = "" if bad[i] else "".join([spelled[c] for c in parts.codes[begin:end].tolist()])[:-1]
-        digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+        wide = "<i8" if len(numbers) and numbers.max() >= 1 << 31 else "<i4"
+        packed, weights = places.astype("<i4").tobytes(), numbers.astype(wide).tobytes()
+        size = np.dtype(wide).itemsize
+        texts = ["" if bad[i] else "".join([spelled[c] for c in parts.codes[parts.offsets[i]:parts.offsets[i + 1]].tolist()])[:-1] for i in range(low, high)]
+        columns = {"doc_id": block.column("doc_id").slice(low, high - low), "block": np.full(high - low, number), "row": np.arange(low, high),
+                   **{name: of[low:high] for name, of in totals.items()},
+                   "groups_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts], pa.string()),
+                   "pairs": pa.array([packed[4 * i:4 * j] for i, j in pairwise(cut)], pa.binary()),
+                   "times": pa.array([weights[size * i:size * j] for i, j in pairwise(cut)], pa.binary()),
+                   **{name: pa.nulls(high - low, pa.int32()) for name in ("a", "b", "place")}, "documents": pa.nulls(high - low, pa.int64())}
         if written:
-            written_groups.append(text)
-
-    size = block.num_rows
-    columns = {"doc_id": block.column("doc_id"), "block": np.full(size, number), "row": np.arange(size), **totals,
-               "groups_sha256": pa.array(digests, pa.string()), "pairs": pa.array(pairs, pa.binary()), "times": pa.array(often, pa.binary()),
-               "a": pa.nulls(size, pa.int32()), "b": pa.nulls(size, pa.int32()), "place": pa.nulls(size, pa.int32()), "documents": pa.nulls(size, pa.int64())}
-    if written:
-        columns["groups"] = pa.array(written_groups, pa.string())
-    made = pa.RecordBatch.from_pydict(columns)
-    yield made
-    size = len(known)
-    own = {"block": np.full(size, number), "a": known >> 32, "b": known & 0xFFFFFFFF, "place": np.arange(size), "documents": documents}
-    yield pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(size, f.type) for f in made.schema],
-                                     schema=made.schema)
-
-
-def _slices(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that have about ``most`` links together; ``upto`` counts those before each row."""
-    low = 0
-    while low < len(upto) - 1:
-        high = max(low + 1, int(np.searchsorted(upto, upto[low] + most, "right")) - 1)
-        yield low, high
-        low = high
+            columns["groups"] = pa.array(texts, pa.string())
+        made = pa.RecordBatch.from_pydict(columns)
+        yield made
+    for low in range(0, len(known), PAIRS):
+        some = known[low:low + PAIRS]
+        own = {"block": np.full(len(some), number), "a": some >> 32, "b": some & 0xFFFFFFFF, "place": np.arange(low, low + len(some)),
+               "documents": documents[low:low + PAIRS]}
+        yield pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(len(some), f.type) for f in made.schema],
+                                         schema=made.schema)
 
 
 def _linked(parts: units.Units, by_unit: units.Rows, times: np.ndarray, bad: np.ndarray, low: int, high: int,
@@ -408,7 +401,7 @@ def align(docs: DataFrame, first: str | None = None, second: str | None = None,
     numbers = [*TOTALS, "n_best", "count_sum"]
     usable = all_rows.where(~empty)
     short = usable.where(F.length("text") <= chunk).select("doc_id", F.concat(F.lit(" "), "text").alias("text"))
-    blocks = write_once(_short(short, first, second, written), "blocks")
+    blocks = write_once(_short(short, first, second, written), "blocks", **{"parquet.block.size": str(GROUP), "compression": "zstd"})
     found = blocks.where("row is not null").select("doc_id", "block", *TOTALS, "pairs", "times", *extra)
     pairs = blocks.where("row is null").select(F.col("block").alias("owner"), "place", "a", "b", "documents")
     long = write_once(usable.where(F.length("text") > chunk).select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "long")
@@ -430,7 +423,8 @@ def align(docs: DataFrame, first: str | None = None, second: str | None = None,
         count[rates["place"]], best[rates["place"]] = rates["count"], rates["best"]
         sums, bests = [], []
         for packed, numbers in zip(rows["pairs"], rows["times"]):
-            at, times = np.cumsum(np.frombuffer(packed, "<i4")), np.frombuffer(numbers, "<i8")
+            at = np.cumsum(np.frombuffer(packed, "<i4"))
+            times = np.frombuffer(numbers, "<i4" if len(numbers) == len(packed) else "<i8").astype(np.int64)
             sums.append(int(count[at] @ times))
             bests.append(int(best[at] @ times))
         return rows.assign(count_sum=sums, n_best=bests)[["doc_id", *TOTALS, "n_best", "count_sum", *extra]]

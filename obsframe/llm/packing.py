@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,7 @@ from obsframe.session import write_once
 SIZE = 2048
 END = 0
 CHUNK = 1 << 16
+TOKENS = 500_000     # ids that are dealt into pieces at once
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -94,23 +96,25 @@ def _short(docs: DataFrame, path: str, plain: bool, size: int, end: int, ids: bo
             rows, wrong = units.encode(parts, coder)
             if wrong.any():
                 raise ValueError("the vocabulary does not cover all bytes")
-            places, starts = rows.take(parts.codes)
-            raw = memoryview(rows.values[places].astype("<u4").tobytes())
-            bounds = starts[parts.offsets]
-            out: list[list] = [[], [], [], [], []]
-            for row, (begin, until) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                whole = bytes(raw[4 * begin:4 * until]) + last
-                count = until - begin + 1
-                at, number = 0, 0
-                while at < count:
-                    after = at + ((count - at) % size or size)
-                    piece = whole[4 * at:4 * after]
-                    for column, value in zip(out, (row, number, at, after - at, piece if ids else zlib.crc32(piece))):
-                        column.append(value)
-                    at, number = after, number + 1
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id").take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()),
-                 pa.array(out[3], pa.int64()), pa.array(out[4], made[1])], ["doc_id", "piece", "start", "length", made[0]])
+            tokens = np.concatenate([np.zeros(1, np.int64), np.cumsum(rows.sizes()[parts.codes])])[parts.offsets]
+            for low, high in units.slices(tokens, TOKENS):
+                places, starts = rows.take(parts.codes[parts.offsets[low]:parts.offsets[high]])
+                raw = memoryview(rows.values[places].astype("<u4").tobytes())
+                bounds = (tokens[low:high + 1] - tokens[low]).tolist()
+                out: list[list] = [[], [], [], [], []]
+                for row, (begin, until) in enumerate(pairwise(bounds), low):
+                    whole = bytes(raw[4 * begin:4 * until]) + last
+                    count = until - begin + 1
+                    at, number = 0, 0
+                    while at < count:
+                        after = at + ((count - at) % size or size)
+                        piece = whole[4 * at:4 * after]
+                        for column, value in zip(out, (row, number, at, after - at, piece if ids else zlib.crc32(piece))):
+                            column.append(value)
+                        at, number = after, number + 1
+                yield pa.RecordBatch.from_arrays(
+                    [block.column("doc_id").take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()),
+                     pa.array(out[3], pa.int64()), pa.array(out[4], made[1])], ["doc_id", "piece", "start", "length", made[0]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, {made[0]} {'binary' if ids else 'long'}")
