@@ -156,6 +156,20 @@ def _(lake: Lake) -> DataFrame:
     return a.replica_demand(lake.events, "1h")
 
 
+@query("replica_demand_in_flight", """
+    WITH req AS (SELECT ts AS s, ts + to_minutes(event_id % 97) AS e FROM events WHERE event_id % 97 > 0),
+    hours AS (SELECT unnest(generate_series((SELECT date_trunc('hour', min(s)) FROM req), (SELECT max(e) FROM req), INTERVAL 1 HOUR)) AS start),
+    moments AS (SELECT start AS m FROM hours UNION SELECT s FROM req),
+    live AS (SELECT m, (SELECT count(*) FROM req WHERE s <= m) - (SELECT count(*) FROM req WHERE e <= m) AS n FROM moments)
+    SELECT date_trunc('hour', m) AS start, max(n) AS concurrent,
+           CAST(greatest(least(ceil(max(n) / 10), 10), 0) AS BIGINT) AS replicas FROM live GROUP BY ALL
+""")
+def _(lake: Lake) -> DataFrame:
+    lasts = F.expr("make_dt_interval(0, 0, cast(event_id % 97 as int), 0)")
+    requests = lake.events.select(F.col("ts").alias("start"), (F.col("ts") + lasts).alias("end"))
+    return a.in_flight(requests, "1h")
+
+
 @query("state_tiering", f"""
     SELECT user_id, max(ts) AS last_updated, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-01') AS age_days,
            CASE WHEN date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-01') >= 5 THEN 'expire'

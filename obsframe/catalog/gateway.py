@@ -218,10 +218,12 @@ def _(lake: Lake) -> DataFrame:
     return b.violations(_documents(lake))
 
 
-@query("matrix_pivot", """
-    SELECT p_brand, max(p_size) FILTER (p_type = 'ECONOMY') AS "ECONOMY", max(p_size) FILTER (p_type = 'SMALL') AS "SMALL"
-    FROM part GROUP BY p_brand
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]  # all there are
+
+
+@query("matrix_pivot", f"""
+    SELECT p_brand, {", ".join(f"max(p_size) FILTER (p_type = '{kind}') AS \"{kind}\"" for kind in PART_TYPES)} FROM part GROUP BY p_brand
 """)
 def _(lake: Lake) -> DataFrame:
     cells = lake.table("part").groupBy("p_brand", "p_type").agg(F.max("p_size").alias("value"))
-    return matrix.pivot_cells(cells, ["p_brand"], "p_type", ["ECONOMY", "SMALL"])
+    return matrix.pivot_cells(cells, ["p_brand"], "p_type", PART_TYPES)

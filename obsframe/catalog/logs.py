@@ -7,7 +7,7 @@ from obsframe.catalog.registry import query
 from obsframe.functions import text as t
 from obsframe.operators import logs
 from obsframe.operators.corpus import normalize_prompts, response_text
-from obsframe.operators.gateway import Route, match_routes
+from obsframe.operators.gateway import Route, match_route_table, match_routes
 from obsframe.views import Lake
 
 TERM = r"(^|[^0-9A-Za-z]){}($|[^0-9A-Za-z])"
@@ -105,6 +105,24 @@ def _(lake: Lake) -> DataFrame:
     return match_routes(paths, rules)
 
 
+@query("route_match_table", """
+    WITH paths AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) AS path FROM pages),
+    rules AS (SELECT c_custkey AS rule_no, CASE WHEN c_custkey % 3 = 0 THEN 'exact' ELSE 'prefix' END AS kind, c_mktsegment AS destination,
+                     '/' || CASE c_custkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END || '/' || (c_custkey % 200) AS uri
+              FROM customer WHERE c_custkey % 10 < 7),
+    hits AS (SELECT page_id, min(rule_no) AS rule_no FROM paths JOIN rules ON path = uri OR (kind = 'prefix' AND starts_with(path, uri)) GROUP BY page_id)
+    SELECT p.page_id, p.path, h.rule_no, r.destination FROM paths p LEFT JOIN hits h USING (page_id) LEFT JOIN rules r USING (rule_no)
+""")
+def _(lake: Lake) -> DataFrame:
+    key = F.col("c_custkey")
+    tongue = F.when(key % 4 == 0, "en").when(key % 4 == 1, "fr").when(key % 4 == 2, "de").otherwise("es")
+    rules = lake.table("customer").where(key % 10 < 7).select(
+        key.alias("rule_no"), F.when(key % 3 == 0, "exact").otherwise("prefix").alias("kind"), F.col("c_mktsegment").alias("destination"),
+        F.concat(F.lit("/"), tongue, F.lit("/"), (key % 200).cast("string")).alias("uri"))
+    paths = lake.table("pages").select("page_id", F.regexp_extract("url", r"^https?://[^/]+([^?#]*)", 1).alias("path"))
+    return match_route_table(paths, rules)
+
+
 @query("contains_ci", "SELECT doc_id FROM documents WHERE contains(lower(text), 'there')")
 def _(lake: Lake) -> DataFrame:
     return lake.documents.where(t.contains_ci("text", "THERE")).select("doc_id")

@@ -91,6 +91,15 @@ def _(lake: Lake) -> DataFrame:
     return out.withColumn("increase", F.round("increase", 6))
 
 
+@query("increase_sliding", f"""
+    WITH {DELTAS.strip()},
+    placed AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) AS start FROM deltas, range(24) AS r(k))
+    SELECT start, name, pod, response_code, round(coalesce(sum(delta), 0), 6) AS increase FROM placed GROUP BY ALL
+""", "counter_samples")
+def _(lake: Lake) -> DataFrame:
+    return m.increase_grid(lake.counter_samples, SERIES, "15m", "6h").withColumn("increase", F.round("increase", 6))
+
+
 @query("interval_rollup", """
     SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS start, event_type, round(avg(value), 6) AS average,
            min(value) AS minimum, max(value) AS maximum, round(sum(value), 6) AS total, count(*) AS count
@@ -191,6 +200,26 @@ def _(lake: Lake) -> DataFrame:
     return r.match_selector(lake.targets, monitors).select("target_id", "monitor")
 
 
+@query("selector_match_table", """
+    WITH monitors AS (
+        SELECT 'nation-' || n_nationkey AS monitor, n_nationkey AS k, CASE WHEN n_nationkey % 3 < 2 THEN CASE n_nationkey % 2 WHEN 0 THEN 'control' ELSE 'worker' END END AS app,
+               CASE n_nationkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN '' END AS scrape,
+               CASE WHEN n_nationkey % 5 > 0 THEN ['ns-' || (n_nationkey % 5), 'ns-' || (n_nationkey % 7)] END AS namespaces FROM nation)
+    SELECT target_id, monitor FROM targets t JOIN monitors m ON (m.app IS NULL OR m.app = t.app)
+        AND (m.scrape IS NULL OR m.scrape = coalesce(t.scrape, '')) AND (m.namespaces IS NULL OR list_contains(m.namespaces, t.namespace))
+""", "targets")
+def _(lake: Lake) -> DataFrame:
+    key = F.col("n_nationkey")
+    name = lambda n: F.concat(F.lit("ns-"), (key % n).cast("string"))
+    pairs = F.map_from_entries(F.array(
+        F.struct(F.lit("app"), F.when(key % 3 < 2, F.when(key % 2 == 0, "control").otherwise("worker"))),
+        F.struct(F.lit("scrape"), F.when(key % 4 == 0, "true").when(key % 4 == 1, ""))))
+    monitors = lake.table("nation").select(
+        F.concat(F.lit("nation-"), key.cast("string")).alias("monitor"), F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("match_labels"),
+        F.when(key % 5 > 0, F.array(name(5), name(7))).alias("namespaces"))
+    return r.match_monitors(lake.targets, monitors, ["app", "scrape", "namespace"]).select("target_id", "monitor")
+
+
 @query("target_settings_join", """
     SELECT s.name, s.pod, s.ts, s.value, c.scrape_interval
     FROM gauge_samples s JOIN (SELECT 'pod-' || n_nationkey AS target, n_nationkey % 2 = 0 AS enabled,

@@ -185,7 +185,7 @@ def _(lake: Lake) -> DataFrame:
     states = lake.events.select("user_id", "ts", "event_id", "event_type")
     # Two batches, the later one with older rows among its own; the first is then repeated.
     for number, odd in ((0, 1), (1, 0), (0, 1)):
-        sinks.upsert_latest(states.where(F.col("event_id") % 2 == odd), "user_id", ["ts"], path, number)
+        sinks.upsert_latest(states.where(F.col("event_id") % 2 == odd), "user_id", ["ts"], path, number, "first")
     return sinks.read_latest(lake.spark, path, "user_id", ["ts"])
 
 
@@ -197,6 +197,20 @@ def _(lake: Lake) -> DataFrame:
     path = work_dir(lake.spark, "versions")
     turns = lake.agent_turns.select("agent_id", "position")
     for number in (0, 1):
-        sinks.append_versions(turns.where(F.col("agent_id") % 2 == number), path, number)
+        sinks.append_versions(turns.where(F.col("agent_id") % 2 == number), path, number, "first")
     return sinks.read_versions(lake.spark, path, "agent_id", ["position"])
 
+
+
+@query("sink_snapshot", """
+    SELECT user_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id
+""")
+def _(lake: Lake) -> DataFrame:
+    path, states = work_dir(lake.spark, "snapshot"), lake.events.select("user_id", "ts", "event_id", "event_type")
+    # Two compactions, a batch after them, and a batch that comes again after it was folded in.
+    for number in range(4):
+        sinks.upsert_latest(states.where(F.col("event_id") % 4 == number), "user_id", ["ts"], path, number, "first")
+        if number in (1, 2):
+            sinks.compact(lake.spark, path, "user_id", ["ts"], buckets=4)
+    sinks.upsert_latest(states.where(F.col("event_id") % 4 == 0), "user_id", ["ts"], path, 0, "first")
+    return sinks.read_latest(lake.spark, path, "user_id", ["ts"])

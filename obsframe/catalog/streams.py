@@ -94,6 +94,38 @@ def _(lake: Lake) -> DataFrame:
     return _result(lake, s.stream_agent_state(turns), "agent").drop("ts")
 
 
+@query("stream_agent_lives", f"""
+    WITH marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS opens
+                    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    lives AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS life FROM marked),
+    turns AS (SELECT *, row_number() OVER w AS n, min(ts) OVER w AS born FROM lives WINDOW w AS (PARTITION BY user_id, life ORDER BY ts))
+    SELECT CAST(user_id AS VARCHAR) AS agent_id, event_id AS position, ts, event_type AS query, props AS response, n AS reflection_count,
+           CAST(least(n - 1, 5) AS INTEGER) AS recent_turns, born AS created_at, false AS evicted FROM turns WHERE ts <= {CLOSED}
+    UNION ALL SELECT CAST(user_id AS VARCHAR), NULL, max(ts) + INTERVAL 30 MINUTE, NULL, NULL, count(*), CAST(least(count(*), 5) AS INTEGER),
+           min(ts), true FROM turns GROUP BY user_id, life HAVING max(ts) + INTERVAL 30 MINUTE < {CLOSED}
+""")
+def _(lake: Lake) -> DataFrame:
+    turns = _events(lake).select(F.col("user_id").alias("agent_id"), F.col("event_id").alias("position"), "ts",
+                                 F.col("event_type").alias("query"), F.col("props").alias("response"))
+    return _result(lake, s.stream_agent_lives(turns, "10m", idle="30m"), "lives")
+
+
+@query("stream_replies", f"""
+    SELECT event_id AS response_id, props AS reasoning, event_type || '/' || user_id AS answer, CAST(4 AS BIGINT) AS chunks,
+           ts + INTERVAL 360 SECOND AS ended_at, true AS complete FROM events WHERE ts + INTERVAL 360 SECOND <= {CLOSED} + INTERVAL 360 SECOND
+""")
+def _(lake: Lake) -> DataFrame:
+    # Four chunks two minutes apart, which is longer than a request may be silent elsewhere; the second is sent twice.
+    piece = lambda seq, reasoning, content, at: F.struct(
+        F.lit(seq).alias("seq"), reasoning.cast("string").alias("reasoning"), content.cast("string").alias("content"), F.lit(at).alias("at"))
+    none = F.lit(None)
+    pieces = F.array(piece(3, none, F.col("user_id"), 3), piece(1, none, F.col("event_type"), 1), piece(0, F.col("props"), none, 0),
+                     piece(2, none, F.lit("/"), 2), piece(1, none, F.lit("late"), 2))
+    deltas = _events(lake).select(F.col("event_id").alias("response_id"), "ts", F.explode(pieces).alias("p")).select(
+        "response_id", (F.col("ts") + F.expr("make_dt_interval(0, 0, 2 * p.at, 0)")).alias("ts"), "p.*", (F.col("p.seq") == 3).alias("is_last"))
+    return _result(lake, s.stream_replies(deltas, "10m"), "replies")
+
+
 @query("stream_delta_assembly", f"""
     SELECT event_id AS response_id, CAST(0 AS BIGINT) AS segment_no, props AS reasoning,
            event_type || '/' || user_id AS answer, true AS complete FROM events WHERE ts + INTERVAL 90 SECOND <= {CLOSED}

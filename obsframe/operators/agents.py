@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from obsframe.functions.units import interval
+from obsframe.functions.units import interval, parse_duration
 from obsframe.plans.slices import SLICE, last_rows, lookup_join, scan, settle, slice_by, slice_once, unslice
 
 CONTEXT_TURNS = 5  # fixed value: earlier turns given to the model
@@ -190,6 +190,28 @@ def replica_demand(df: DataFrame, every: str, per_replica: int = 10, least: int
     return load.withColumn("replicas", F.greatest(F.least(wanted, F.lit(most)), F.lit(least)).cast("long"))
 
 
+def in_flight(requests: DataFrame, every: str, start: str = "start", end: str = "end", per_replica: int = 10, least: int = 0,
+              most: int = 10, slices: int | None = None) -> DataFrame:
+    """The most requests in flight at once in each window, and the replicas they want; windows without any have a row too.
+
+    A request is in flight from its start up to, not including, its end; one that has not ended (null) stays in flight.
+    Windows run from that of the first start to that of the last moment at which something starts or ends.
+    """
+    width = round(parse_duration(every).total_seconds() * 1_000_000)
+    epoch = F.lit("1970-01-01 00:00:00").cast(requests.schema[start].dataType)
+    micros = lambda c: F.timestamp_diff("MICROSECOND", epoch, F.col(c))
+    known = requests.where(F.col(start).isNotNull()).select(micros(start).alias("from"), micros(end).alias("to")).where("to is null or to > from")
+    moves = known.select(F.explode(F.array(
+        F.struct(F.col("from").alias("at"), F.lit(1).alias("step")), F.struct(F.col("to").alias("at"), F.lit(-1).alias("step")))).alias("m")).select("m.*")
+    steps = settle(moves.where("at is not null").groupBy("at").agg(F.sum("step").alias("step")), slices)
+    held = scan(steps, [], ["at"], sums={"live": F.col("step")}, following={"until": F.col("at")}, slices=slices)
+    window = lambda c: F.floor(c / F.lit(width))
+    spans = held.select("live", F.explode(F.sequence(window(F.col("at")), window(F.coalesce(F.col("until") - 1, F.col("at"))))).alias("w"))
+    load = spans.groupBy("w").agg(F.max("live").alias("concurrent"))
+    wanted = F.greatest(F.least(F.ceil(F.col("concurrent") / per_replica), F.lit(most)), F.lit(least)).cast("long")
+    return load.select(F.timestamp_add("MICROSECOND", F.col("w") * width, epoch).alias("start"), "concurrent", wanted.alias("replicas"))
+
+
 def tier_state(states: DataFrame, now: str, cool_after: int, expire_after: int, updated: str = "last_updated") -> DataFrame:
     """``hot``, ``cool`` or ``expire`` by whole days since the last update."""
     age = F.datediff(F.lit(now).cast("date"), F.col(updated).cast("date"))

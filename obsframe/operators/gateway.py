@@ -112,6 +112,26 @@ def match_routes(requests: DataFrame, rules: list[Route], path: str = "path") ->
     return requests.withColumns({"rule_no": number, "destination": destination})
 
 
+def match_route_table(requests: DataFrame, rules: DataFrame, path: str = "path", slices: int | None = None) -> DataFrame:
+    """``match_routes`` for a table of rules: ``rule_no`` (the least wins), ``kind``, ``uri``, ``destination``.
+
+    Every different path is looked up once, as a whole and by its beginnings of those lengths that rules have: equality alone
+    joins, and a path asked for by very many requests is one row. The lengths are numbers up to that of the longest rule.
+    """
+    filed = rules.where(F.col("kind").isin("exact", "prefix") & F.col("uri").isNotNull()).groupBy("kind", "uri").agg(
+        F.min(F.struct("rule_no", "destination")).alias("__rule"))
+    lengths = sorted(r[0] for r in rules.where("kind = 'prefix'").select(F.length("uri")).where("uri is not null").distinct().collect())
+    known = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    beginnings = F.transform(F.filter(known, lambda n: n <= F.length("__path")),
+                             lambda n: F.struct(F.lit("prefix").alias("kind"), F.substring(F.col("__path"), F.lit(1), n).alias("uri")))
+    whole = F.array(F.struct(F.lit("exact").alias("kind"), F.col("__path").alias("uri")))
+    paths = requests.select(F.col(path).alias("__path")).where("__path is not null").distinct()
+    asked = paths.select("__path", F.explode(F.concat(whole, beginnings)).alias("k")).select("__path", "k.*")
+    found = attach(asked, filed, ["kind", "uri"], "inner", slices).groupBy("__path").agg(F.min("__rule").alias("__rule"))
+    lookup = found.select(F.col("__path").alias(path), F.col("__rule.rule_no").alias("rule_no"), F.col("__rule.destination").alias("destination"))
+    return attach(requests, lookup, [path], "left", slices)
+
+
 def quota_headroom(usage: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     """Used, limit and what remains, per resource. Usage is summed before the join."""
     used = usage.groupBy(key).agg(F.sum("used").alias("used"))

@@ -7,21 +7,22 @@ columns which together identify one series.
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsframe.functions.labels import label
+from obsframe.functions.labels import label, label_is
 from obsframe.functions.text import full_match
 from obsframe.functions.units import interval, parse_duration
-from obsframe.plans.slices import lookup_join, scan
+from obsframe.plans.slices import lookup_join, scan, settle
 
 
 def select_series(samples: DataFrame, name: str, **equal: str) -> DataFrame:
     """Samples of one metric whose labels have the given values."""
     out = samples.where(F.col("name") == name)
     for key, value in equal.items():
-        out = out.where(label(samples, key) == value)
+        out = out.where(label_is(samples, key, value))
     return out
 
 
@@ -83,12 +84,35 @@ def increase(samples: DataFrame, series: list[str], at: str, range_: str, mode:
 
 def increase_grid(samples: DataFrame, series: list[str], every: str, range_: str | None = None,
                   slices: int | None = None) -> DataFrame:
-    """Raw growth in every window ``[start, start + range)``, one window per ``every``."""
-    width = interval(range_ or every)
+    """Raw growth in every window ``[start, start + range)`` that holds a sample, one window per ``every``.
+
+    Where windows overlap, steps are first summed into panes, and a window's growth follows from running sums over the moments
+    at which a pane enters the sliding range and leaves it. So rows are not copied into each window they lie in.
+    """
     steps = with_deltas(samples.select(*series, "ts", "value"), series, slices)
-    return (steps.groupBy(F.window("ts", width, interval(every)).alias("w"), *series)
-            .agg(F.coalesce(F.sum("delta"), F.lit(0.0)).alias("increase"))
-            .select(F.col("w.start").alias("start"), *series, "increase"))
+    width, stride = (round(parse_duration(d).total_seconds() * 1_000_000) for d in (range_ or every, every))
+    if width == stride:
+        return (steps.groupBy(F.window("ts", interval(range_ or every), interval(every)).alias("w"), *series)
+                .agg(F.coalesce(F.sum("delta"), F.lit(0.0)).alias("increase"))
+                .select(F.col("w.start").alias("start"), *series, "increase"))
+    pane = gcd(width, stride)
+    epoch = F.lit("1970-01-01 00:00:00").cast(samples.schema["ts"].dataType)
+    at = F.floor(F.timestamp_diff("MICROSECOND", epoch, F.col("ts")) / F.lit(pane))
+    panes = steps.groupBy(*series, at.alias("pane")).agg(
+        F.coalesce(F.sum("delta"), F.lit(0.0)).alias("grown"), F.count(F.lit(1)).alias("n"))
+    inside, apart = width // pane, stride // pane
+    enters = F.ceil((F.col("pane") - (inside - 1)) / F.lit(apart)) * apart
+    leaves = (F.floor(F.col("pane") / F.lit(apart)) + 1) * apart
+    edges = F.array(F.struct(enters.alias("first"), F.col("grown"), F.col("n")),
+                    F.struct(leaves.alias("first"), (-F.col("grown")).alias("grown"), (-F.col("n")).alias("n")))
+    moves = panes.select(*series, F.explode(edges).alias("e")).groupBy(*series, F.col("e.first").alias("first")).agg(
+        F.sum("e.grown").alias("grown"), F.sum("e.n").alias("n"))
+    moves = settle(moves, slices)
+    held = scan(moves, series, ["first"], sums={"increase": F.col("grown"), "samples": F.col("n")},
+                following={"until": F.col("first")}, slices=slices).where("samples > 0")
+    starts = F.explode(F.sequence("first", F.col("until") - apart, F.lit(apart).cast("long")))
+    return held.select(*series, "increase", starts.alias("at")).select(
+        F.timestamp_add("MICROSECOND", F.col("at") * pane, epoch).alias("start"), *series, "increase")
 
 
 def sum_by(df: DataFrame, value: str, *by: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from obsframe.functions.text import mask_for, pad_to
 from obsframe.plans.slices import attach, lookup_join, scan, settle
@@ -85,6 +89,23 @@ def encode_fixed(df: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str
     return ids.select(key, pad_to("ids", length, pad).alias("input_ids"), mask_for("ids", length).alias("attention_mask"))
 
 
+def encode_with(df: DataFrame, make: Callable[[], Callable[[list[str]], list[list[int]]]], key: str = "doc_id", text: str = "text",
+                length: int = SEQUENCE_LENGTH, pad: int = PAD_ID) -> DataFrame:
+    """``encode_fixed`` by any tokenizer: ``make`` is called once in each task and gives a function from texts to lists of ids.
+
+    Texts come in Arrow batches; nothing is shuffled. A null text is empty; ids beyond ``length`` are cut.
+    """
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenize = make()
+        for batch in batches:
+            ids = [list(found)[:length] for found in tokenize(batch[text].fillna("").tolist())]
+            yield pd.DataFrame({key: batch[key], "ids": ids})
+
+    ids = df.select(key, text).mapInPandas(encoded, T.StructType([
+        T.StructField(key, df.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return ids.select(key, pad_to("ids", length, pad).alias("input_ids"), mask_for("ids", length).alias("attention_mask"))
+
+
 def resume_epoch(saved: DataFrame, epoch: str = "epoch") -> DataFrame:
     """The epoch to go on with: the last saved one plus 1, or 0."""
     return saved.agg(F.coalesce(F.max(epoch) + 1, F.lit(0)).alias("next_epoch"))

@@ -54,3 +54,10 @@ BENCHMARK_FIELDS = (
 _SPARK_TYPES = {"string": StringType(), "integer": LongType(), "number": DoubleType()}
 BENCHMARK_RESULT = StructType([
     StructField(name, _SPARK_TYPES[kind], not required) for name, kind, required in BENCHMARK_FIELDS])
+
+
+def benchmark_schema() -> dict:
+    """The JSON Schema of a benchmark record."""
+    properties = {name: {"type": kind if required else [kind, "null"]} for name, kind, required in BENCHMARK_FIELDS}
+    properties["billing_model"]["enum"] = [*BILLING_MODELS, None]
+    return {"type": "object", "properties": properties, "required": [name for name, _, required in BENCHMARK_FIELDS if required]}

@@ -3,13 +3,17 @@ does not parse stays in ``_corrupt_record``."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StringType, StructField, StructType
 
 from obsframe import schemas
+from obsframe.sources.manifests import names
 from obsframe.sources.texts import whole_files
 
 
@@ -35,9 +39,25 @@ def explode_messages(chats: DataFrame) -> DataFrame:
         *others, "position", "m.role", "m.content", *broken)
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON state document per file; the agent is the file's stem."""
-    return parse_state(whole_files(spark, path))
+def read_state(spark: SparkSession, path: str, ids: Iterable[str] | None = None, now: str | None = None) -> DataFrame:
+    """One JSON state document per file; the agent is the file's stem.
+
+    With ``ids`` only the files of these agents are opened. An id without a file gets the default record: created ``now``, no
+    turns, no history. ``restored`` tells the two apart.
+    """
+    if ids is None:
+        return parse_state(whole_files(spark, path))
+    wanted = sorted(set(ids))
+    there = {n.removesuffix(".json") for n in names(spark, path) if n.endswith(".json")}
+    paths = [f"{path}/{i}.json" for i in wanted if i in there]
+    moment = now or datetime.now(timezone.utc).isoformat()
+    history = T.ArrayType(schemas.HISTORY_ENTRY)
+    fresh = spark.createDataFrame([(i,) for i in wanted if i not in there], "agent_id string").select(
+        "agent_id", F.lit(moment).alias("created_at"), F.lit(None).cast("string").alias("last_updated"), F.lit(0).alias("reflection_count"),
+        F.array().cast(history).alias("history"), F.lit(None).cast("string").alias(schemas.CORRUPT), F.lit(False).alias("restored"))
+    if not paths:
+        return fresh
+    return parse_state(whole_files(spark, paths)).withColumn("restored", F.lit(True)).unionByName(fresh)
 
 
 def parse_state(files: DataFrame) -> DataFrame:

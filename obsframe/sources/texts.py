@@ -13,7 +13,7 @@ RESPONSE_NAME = r"response-(.+)-([^-/]+)\.[A-Za-z]+$"
 PROMPT_NAME = r"prompts-([^/]+)\.ya?ml$"
 
 
-def whole_files(spark: SparkSession, path: str) -> DataFrame:
+def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per file: ``path`` and the whole ``value``."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 

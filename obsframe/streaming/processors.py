@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -96,3 +98,189 @@ class AgentTurns(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class OrderedTurns(StatefulProcessor):
+    """An agent's turns in order of event time, whatever batch they come in, until it has been idle too long.
+
+    Turns wait until the watermark has passed them. Kept are their number, the first and last moment and the last few
+    turns. After a pause longer than ``idle`` microseconds the agent's state goes out as one last row and is dropped.
+    """
+
+    def __init__(self, recent: int, idle: int | None):
+        self.recent, self.idle = recent, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n long, created_us long, last_us long")
+        self.turns = handle.getListState("turns", "query string, response string")
+        self.waiting = handle.getListState("waiting", "us long, position long, query string, response string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.seen.update((int(row.n), int(row.created_us), int(row.last_us)))
+        held = [(t["query"], t["response"]) for t in row.turns][-self.recent:]
+        if held:
+            self.turns.put(held)
+        self._wake_when_idle(int(row.last_us))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            texts = [[None if pd.isna(v) else v for v in batch[c]] for c in ("query", "response")]
+            self.waiting.appendList(list(zip(batch.us.tolist(), batch.position.tolist(), *texts)))
+            first = min(int(batch.us.min()), first or int(batch.us.min()))
+        self.handle.registerTimer(first // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, later = [], []
+        for turn in self.waiting.get():
+            (ready if turn[0] <= mark else later).append(tuple(turn))
+        state = tuple(self.seen.get()) if self.seen.exists() else None
+        held = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
+        out = []
+        for us, position, query, response in sorted(ready, key=lambda t: t[:2]):
+            if state and self.idle is not None and us - state[2] > self.idle:
+                out.append(self._last(state, held))
+                state, held = None, []
+            state = (1, us, us) if state is None else (state[0] + 1, state[1], us)
+            out.append((position, us, query, response, state[0], len(held), state[1], False))
+            held = [*held, (query, response)][-self.recent:]
+        if state and self.idle is not None and mark > state[2] + self.idle:
+            out.append(self._last(state, held))
+            state = None
+        self.waiting.put(later) if later else self.waiting.clear()
+        if state is None:
+            self.seen.clear()
+            self.turns.clear()
+        else:
+            self.seen.update(state)
+            self.turns.put(held)
+            if ready:
+                self._wake_when_idle(state[2])
+        if later and ready:
+            self.handle.registerTimer(min(t[0] for t in later) // 1000 + 1)
+        if out:
+            position, us, query, response, count, before, created, evicted = zip(*out)
+            yield pd.DataFrame({
+                "agent_id": key[0], "position": pd.array(position, dtype="Int64"), "ts": _moments(list(us)), "query": query, "response": response,
+                "reflection_count": count, "recent_turns": pd.array(before, dtype="int32"), "created_at": _moments(list(created)), "evicted": evicted})
+
+    def _last(self, state: tuple[int, int, int], held: list) -> tuple:
+        return None, state[2] + self.idle, None, None, state[0], len(held), state[1], True
+
+    def _wake_when_idle(self, us: int) -> None:
+        if self.idle is not None:
+            self.handle.registerTimer((us + self.idle) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+class SlidingSums(StatefulProcessor):
+    """Sums over a sliding range from one closed pane per step. The state is the panes of one range."""
+
+    def __init__(self, by: tuple[str, ...], width: int, step: int):
+        self.by, self.width, self.step = by, width, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sent = handle.getValueState("sent", "start long")
+        self.panes = handle.getListState("panes", "start long, value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        starts = []
+        for batch in rows:
+            self.panes.appendList(list(zip(batch.pane.tolist(), batch.value.tolist())))
+            starts.append(int(batch.pane.min()))
+        self._wake(min(starts))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = timerValues.getCurrentWatermarkInMs() * 1000 - self.width  # the last start whose range is closed
+        sent = self.sent.get()[0] if self.sent.exists() else None
+        panes = sorted(tuple(p) for p in self.panes.get()) if self.panes.exists() else []
+        if not panes:
+            return
+        at, values = np.array([p for p, _ in panes], np.int64), np.array([v for _, v in panes])
+        inside = self.width // self.step
+        starts = np.unique((at[:, None] - self.step * np.arange(inside)[None, :]).ravel())
+        starts = starts[(starts <= upto) & (starts > sent if sent is not None else True)]
+        if not len(starts):
+            self._wake(panes[0][0])
+            return
+        low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + self.width)
+        sums = [math.fsum(values[i:j]) for i, j in zip(low.tolist(), high.tolist())]
+        last = int(starts[-1])
+        self.sent.update((last,))
+        left = [p for p in panes if p[0] > last]
+        if left:
+            self.panes.put(left)
+            self._wake(left[0][0])
+        else:
+            self.panes.clear()
+        out = pd.DataFrame({"start": _moments(starts.tolist()), "increase": sums})
+        for i, name in enumerate(self.by):
+            out.insert(1 + i, name, key[i])
+        yield out
+
+    def _wake(self, pane: int) -> None:
+        """Ask to be called when the first range that holds a pane and is not sent is closed."""
+        first = pane - self.width + self.step
+        if self.sent.exists():
+            first = max(first, self.sent.get()[0] + self.step)
+        self.handle.registerTimer((first + self.width) // 1000)
+
+    def close(self) -> None:
+        pass
+
+
+class ReplyChunks(StatefulProcessor):
+    """The chunks of one reply until its last chunk and all before it are there, or until it has been silent for ``silence`` microseconds.
+
+    Of a chunk sent twice the one with the earlier moment counts; at one moment the one with the smaller text.
+    """
+
+    def __init__(self, silence: int):
+        self.silence = silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chunks = handle.getMapState("chunks", "seq long", "us long, reasoning string, content string")
+        self.seen = handle.getValueState("seen", "last_us long, count long, ends long")  # ends: chunks of a whole reply, or -1
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, count, ends = self.seen.get() if self.seen.exists() else (0, 0, -1)
+        for batch in rows:
+            for seq, us, reasoning, content, is_last in zip(batch.seq.tolist(), batch.us.tolist(), batch.reasoning, batch.content, batch.is_last):
+                found = (us, reasoning or "", content or "")
+                held = tuple(self.chunks.getValue((seq,))) if self.chunks.containsKey((seq,)) else None
+                if held is None or found < held:
+                    self.chunks.updateValue((seq,), found)
+                count += held is None
+                last = max(last, us)
+                ends = max(ends, seq + 1) if is_last else ends
+        self.seen.update((last, count, ends))
+        self._wake(last, count, ends)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.seen.exists():
+            return
+        last, count, ends = self.seen.get()
+        mark, complete = timerValues.getCurrentWatermarkInMs() * 1000, count == ends
+        if mark < (last if complete else last + self.silence):
+            return  # chunks came since; they asked for a later call
+        chunks = sorted((k[0], *v[1:]) for k, v in self.chunks.iterator())
+        self.chunks.clear()
+        self.seen.clear()
+        yield pd.DataFrame({"response_id": [key[0]], "reasoning": ["".join(c[1] for c in chunks)], "answer": ["".join(c[2] for c in chunks)],
+                            "chunks": [count], "ended_at": _moments([last]), "complete": [complete]})
+
+    def _wake(self, last: int, count: int, ends: int) -> None:
+        self.handle.registerTimer((last if count == ends else last + self.silence) // 1000 + 1)
+
+    def close(self) -> None:
+        pass

@@ -7,13 +7,16 @@ query's progress (``numRowsDroppedByWatermark``).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from obsframe.functions.units import interval
-from obsframe.sources.sinks import upsert_latest
-from obsframe.streaming.processors import AgentTurns, CounterDeltas
+from obsframe.functions.units import interval, parse_duration
+from obsframe.sources.manifests import get_text, put_text
+from obsframe.sources.sinks import compact, upsert_latest
+from obsframe.streaming.processors import AgentTurns, CounterDeltas, OrderedTurns, ReplyChunks, SlidingSums
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -61,11 +64,23 @@ def stream_deltas(samples: DataFrame, series: list[str], watermark: str) -> Data
 
 def stream_increase(samples: DataFrame, series: list[str], by: list[str], range_: str, step: str,
                     watermark: str) -> DataFrame:
-    """Growth of counters over a sliding range, once per ``step``, summed by labels."""
-    return (stream_deltas(samples, series, watermark)
-            .groupBy(F.window("ts", interval(range_), interval(step)).alias("w"), *by)
-            .agg(F.coalesce(F.sum("delta"), F.lit(0.0)).alias("increase"))
-            .select(F.col("w.start").alias("start"), *by, "increase"))
+    """Growth of counters over a sliding range, once per ``step``, summed by labels.
+
+    Deltas are summed once per step and label; a range adds up the panes inside it. So rows are not copied into every
+    range they lie in. A range that is no multiple of the step is left to Spark's own sliding windows.
+    """
+    deltas = stream_deltas(samples, series, watermark)
+    width, every = (round(parse_duration(d).total_seconds() * 1_000_000) for d in (range_, step))
+    if width % every or width == every:
+        return (deltas.groupBy(F.window("ts", interval(range_), interval(step)).alias("w"), *by)
+                .agg(F.coalesce(F.sum("delta"), F.lit(0.0)).alias("increase"))
+                .select(F.col("w.start").alias("start"), *by, "increase"))
+    panes = deltas.groupBy(F.window("ts", interval(step)).alias("w"), *by).agg(F.coalesce(F.sum("delta"), F.lit(0.0)).alias("value"))
+    keyed = panes.select(*by, F.window_time("w").alias("ts"), F.unix_micros("w.start").alias("pane"), "value")
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*by).schema)
+    return keyed.groupBy(*by).transformWithStateInPandas(
+        SlidingSums(tuple(by), width, every), outputStructType=f"start timestamp{kinds}, increase double", outputMode="Append",
+        timeMode="EventTime")
 
 
 def stream_agent_state(turns: DataFrame, recent: int = 5) -> DataFrame:
@@ -82,6 +97,52 @@ def stream_agent_state(turns: DataFrame, recent: int = 5) -> DataFrame:
         AgentTurns(recent), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
+def stream_agent_lives(turns: DataFrame, watermark: str, recent: int = 5, idle: str | None = None,
+                       saved: DataFrame | None = None) -> DataFrame:
+    """``stream_agent_state`` in order of event time: the same rows however the turns are dealt over files and batches.
+
+    After a pause longer than ``idle`` the agent's state leaves with a last row, which has no turn: ``evicted``, its ``ts`` the moment
+    of leaving, its ``reflection_count`` the turns of that life. Without ``idle`` agents stay. ``saved`` is the result of ``fold_state``; agents in it go on counting.
+    """
+    _use_rocksdb(turns.sparkSession)
+    rows = turns.select(F.col("agent_id").cast("string").alias("agent_id"), F.col("position").cast("long").alias("position"),
+                        "ts", F.unix_micros("ts").alias("us"), "query", "response").withWatermark("ts", interval(watermark))
+    schema = "agent_id string, position long, ts timestamp, query string, response string, reflection_count long, " \
+             "recent_turns int, created_at timestamp, evicted boolean"
+    limit = None if idle is None else round(parse_duration(idle).total_seconds() * 1_000_000)
+    start = None if saved is None else _last_turns(saved, recent).groupBy("agent_id")
+    return rows.groupBy("agent_id").transformWithStateInPandas(
+        OrderedTurns(recent, limit), outputStructType=schema, outputMode="Append", timeMode="EventTime", initialState=start)
+
+
+def _last_turns(saved: DataFrame, recent: int) -> DataFrame:
+    """Per agent of the state documents: count, first and last moment, the last turns."""
+    turns = F.transform("history", lambda t: F.struct(t["query"].alias("query"), t["response"].alias("response")))
+    tail = F.slice(turns, -F.least(F.size(turns), F.lit(recent)), F.lit(recent))
+    docs = saved.where(F.size("history") > 0).select(
+        F.col("agent_id").cast("string").alias("agent_id"), "reflection_count", "chunk_no",
+        *(F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("created_at", "last_updated")), tail.alias("tail"))
+    found = docs.groupBy("agent_id").agg(
+        F.max("reflection_count").alias("n"), F.min("created_at").alias("created_us"), F.max("last_updated").alias("last_us"),
+        F.flatten(F.sort_array(F.collect_list(F.struct("chunk_no", "tail")))["tail"]).alias("turns"))
+    return found.withColumn("turns", F.slice("turns", -F.least(F.size("turns"), F.lit(recent)), F.lit(recent)))
+
+
+def stream_replies(deltas: DataFrame, watermark: str, silence: str = "10m") -> DataFrame:
+    """One row per reply, once its last chunk and all before it are there and the watermark has passed them.
+
+    A reply may pause for as long as ``silence``; one that stays silent longer goes out as it is, not ``complete``. Of a chunk that came
+    twice with different text the one with the earlier ``ts`` counts, at one moment the smaller text. A reply's state is gone once it is out.
+    """
+    _use_rocksdb(deltas.sparkSession)
+    kind = deltas.schema["response_id"].dataType.simpleString()
+    rows = deltas.select("response_id", F.col("seq").cast("long").alias("seq"), "ts", F.unix_micros("ts").alias("us"), "reasoning", "content",
+                         F.coalesce("is_last", F.lit(False)).alias("is_last")).withWatermark("ts", interval(watermark))
+    schema = f"response_id {kind}, reasoning string, answer string, chunks long, ended_at timestamp, complete boolean"
+    return rows.groupBy("response_id").transformWithStateInPandas(
+        ReplyChunks(round(parse_duration(silence).total_seconds() * 1_000_000)), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
 def stream_delta_assembly(deltas: DataFrame, watermark: str, timeout: str = "90s", segment: int = 10_000) -> DataFrame:
     """Reasoning and answer text of each reply segment, once no further chunk can come.
 
@@ -102,8 +163,9 @@ def stream_delta_assembly(deltas: DataFrame, watermark: str, timeout: str = "90s
         (whole & (F.col("ended") | (F.size("p") == segment))).alias("complete"))
 
 
-def stream_upsert(states: DataFrame, key: str, order: list[str], path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write the latest state of each key on every change.
+def stream_upsert(states: DataFrame, key: str, order: list[str], path: str, checkpoint: str, compact_every: int | None = None,
+                  **trigger) -> StreamingQuery:
+    """Write the latest state of each key on every change, and fold the batches into a snapshot every so many of them.
 
     The run is the query's id, which belongs to the checkpoint: a restart repeats its own batches, a
     new checkpoint starts beside them.
@@ -111,6 +173,8 @@ def stream_upsert(states: DataFrame, key: str, order: list[str], path: str, chec
     def write(batch: DataFrame, number: int) -> None:
         run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         upsert_latest(batch, key, order, path, number, run)
+        if compact_every and (number + 1) % compact_every == 0:
+            compact(batch.sparkSession, path, key, order)
 
     return (states.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -122,8 +186,48 @@ def stream_to_files(rows: DataFrame, path: str, checkpoint: str, **trigger) -> S
             .trigger(**(trigger or {"availableNow": True})).start(path))
 
 
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks have dropped, of all batches of all queries of a session.
+
+    ``spark.streams.addListener(LateRows(spark, folder))``. The totals of each query are kept under its id, which belongs to the
+    checkpoint, in a small file below ``folder``: a restarted query, also of a new session, goes on from there, and a batch that is run again counts once.
+    What is counted are rows as they reach the state, where those of one batch, window and key may already be one.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.totals = spark, folder.rstrip("/"), {}
+
+    def onQueryStarted(self, event) -> None:
+        self._known(str(event.id))
+
+    def onQueryProgress(self, event) -> None:
+        step, name = event.progress, str(event.progress.id)
+        last, total = self._known(name)
+        dropped = sum(state.numRowsDroppedByWatermark for state in step.stateOperators)
+        if step.batchId > last:
+            self.totals[name] = (step.batchId, total + dropped)
+            if dropped:
+                put_text(self.spark, f"{self.folder}/{name}.json", json.dumps(self.totals[name]))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def _known(self, name: str) -> tuple[int, int]:
+        if name not in self.totals:
+            text = get_text(self.spark, f"{self.folder}/{name}.json")
+            self.totals[name] = tuple(json.loads(text)) if text else (-1, 0)
+        return self.totals[name]
+
+    def total(self, query: StreamingQuery) -> int:
+        """Rows of this query that were dropped, over all its runs, up to the last batch that was reported."""
+        return self._known(str(query.id))[1]
+
+
 def late_rows(query: StreamingQuery) -> int:
-    """Rows the watermark has dropped, over the progress the query still remembers."""
+    """Rows the watermark has dropped, over the progress the query still remembers; ``LateRows`` remembers all."""
     return sum(state["numRowsDroppedByWatermark"] for step in query.recentProgress for state in step["stateOperators"])
 
 

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -114,3 +115,16 @@ def test_replies_come_in_segments(spark):
 def test_outcomes(spark):
     df = spark.createDataFrame([("[Error] x",), ("[Simulated] y",), ("see [Error] z",)], "r string")
     assert [r[0] for r in df.select(a.turn_outcome("r")).collect()] == ["error", "simulated", "ok"]
+
+
+def test_requests_in_flight(spark, slices):
+    rng = random.Random(1)
+    rows = [(rng.randrange(600), rng.choice([0, 1, 5, 40])) for _ in range(80)] + [(900, 0), (1300, 1)]
+    at = lambda x: START + timedelta(minutes=x)
+    df = spark.createDataFrame([(at(s), at(s + n)) for s, n in rows] + [(None, at(3)), (at(1200), None)], "start timestamp, end timestamp")
+    live = lambda m: sum(s <= m < s + n for s, n in rows) + (m >= 1200)
+    begin = min(s for s, n in rows if n) // 10
+    want = [(at(10 * w), max(live(m) for m in range(10 * w, 10 * w + 10))) for w in range(begin, 1301 // 10 + 1)]
+    got = a.in_flight(df, "10m", per_replica=2, least=1, most=3, slices=slices).orderBy("start").collect()
+    assert [(r.start, r.concurrent) for r in got] == want
+    assert all(r.replicas == max(1, min(3, -(-r.concurrent // 2))) for r in got)

@@ -1,11 +1,13 @@
 import base64
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from obsframe.operators import benchmarks as b
 from obsframe.operators import gateway as g
+from obsframe.operators import relabel
 
 
 @pytest.fixture(params=[1, 4])
@@ -121,3 +123,50 @@ def test_comparison_and_ranks(spark):
     rank = spark.createDataFrame([("t", "base", 2.0), ("t", "m", 4.0), ("u", "m", 1.0)], "task string, model string, duration double")
     got = {(r.task, r.model): (r["rank"], r.ratio) for r in b.model_rank(rank, "base").collect()}
     assert got == {("t", "base"): (1, 1.0), ("t", "m"): (2, 2.0), ("u", "m"): (1, None)}
+
+
+@pytest.mark.parametrize("slices", [1, 9])
+def test_route_table_equals_rules_in_the_plan(spark, slices):
+    rng = random.Random(2)
+    uri = lambda: "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(5)))
+    rules = [g.Route(rng.choice(["exact", "prefix"]), uri(), f"d{i}") for i in range(25)] + [g.Route("prefix", "/b", "again"), g.Route("prefix", "", "rest")][:rng.randrange(3)]
+    paths = [(i, "/hot" if i % 3 else uri()) for i in range(400)] + [(400, None), (401, "")]
+    requests = spark.createDataFrame(paths, "id int, path string")
+    table = spark.createDataFrame([(i, r.kind, r.uri, r.destination) for i, r in enumerate(rules, 1)], "rule_no int, kind string, uri string, destination string")
+    got = g.match_route_table(requests, table, slices=slices)
+    want = g.match_routes(requests, rules)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("slices", [1, 9])
+def test_monitor_table_equals_selectors_in_the_plan(spark, slices):
+    rng = random.Random(4)
+    names, values = ["app", "tier", "namespace"], ["a", "b", ""]
+    monitors = [relabel.Monitor(f"m{i}", {n: rng.choice(values) for n in rng.sample(names, rng.randrange(3))},
+                                None if rng.random() < 0.5 else tuple(rng.choices(["a", "b", "c"], k=2))) for i in range(40)]
+    monitors += [relabel.Monitor("all"), relabel.Monitor("none", {}, ()), relabel.Monitor("never", {"app": "zzz"}), relabel.Monitor("extra", {"x": "1"})]
+    targets = [(i, {n: rng.choice(["a", "b"]) for n in rng.sample([*names, "x"], rng.randrange(5))} if i else None) for i in range(200)]
+    df = spark.createDataFrame(targets, "id int, labels map<string,string>")
+    table = spark.createDataFrame([(x.name, x.match_labels, None if x.namespaces is None else list(x.namespaces)) for x in monitors],
+                                  "monitor string, match_labels map<string,string>, namespaces array<string>")
+    got = relabel.match_monitors(df, table, slices=slices)
+    want = relabel.match_selector(df, monitors)
+    assert sorted((r.id, r.monitor) for r in got.collect()) == sorted((r.id, r.monitor) for r in want.collect())
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_any_schema_is_compiled(spark, tmp_path):
+    schema = {"properties": {"n": {"type": ["integer", "null"], "minimum": 1, "maximum": 9}, "s": {"type": "string", "pattern": "^a", "maxLength": 3},
+                             "b": {"type": "boolean"}, "e": {"enum": ["x", 2, True]}, "o": {"type": "object"}, "l": {"type": "array"}, "odd name.": {"type": "number"}},
+              "required": ["s", "free"]}
+    (tmp_path / "schema.json").write_text(json.dumps(schema))
+    good = {"n": 3, "s": "abc", "b": True, "e": "x", "o": {"k": 1}, "l": [1], "odd name.": 1.5, "free": None}
+    cases = {"good": {}, "null n": {"n": None}, "low": {"n": 0}, "high": {"n": 10}, "text n": {"n": "3"}, "pattern": {"s": "ba"}, "long": {"s": "aaaa"},
+             "b": {"b": 1}, "two": {"e": 2}, "true": {"e": True}, "other": {"e": "y"}, "null e": {"e": None}, "o": {"o": [1]}, "l": {"l": {}}, "odd": {"odd name.": "x"}}
+    rows = [(name, json.dumps({**good, **change})) for name, change in cases.items()] + [("few", "{}"), ("none", None)]
+    df = spark.createDataFrame(rows, "id string, document string")
+    got = {(r.id, r.field, r.rule) for r in b.violations(df, schema=b.read_schema(spark, str(tmp_path / "schema.json"))).collect()}
+    assert got == {("low", "n", "minimum"), ("high", "n", "maximum"), ("text n", "n", "type"), ("pattern", "s", "pattern"), ("long", "s", "maxLength"),
+                   ("b", "b", "type"), ("other", "e", "enum"), ("null e", "e", "enum"), ("o", "o", "type"), ("l", "l", "type"), ("odd", "odd name.", "type"),
+                   ("few", "s", "required"), ("few", "free", "required"), ("none", "", "unreadable")}

@@ -1,3 +1,6 @@
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +9,7 @@ from obsframe.operators import metrics as m
 from obsframe.operators import relabel as r
 
 SERIES = ["name", "pod"]
+START = datetime(2024, 1, 1)
 
 
 def samples(spark, points):
@@ -109,3 +113,31 @@ def test_empty_selector_matches_every_target(spark):
     df = spark.createDataFrame([("x", "ns")], "app string, namespace string")
     got = [x.monitor for x in r.match_selector(df, [r.Monitor("all"), r.Monitor("other", {}, ("no",))]).collect()]
     assert got == ["all"]
+
+
+@pytest.mark.parametrize("slices", [1, 12])
+@pytest.mark.parametrize("every, range_", [("15m", "1h"), ("10m", "25m"), ("20s", "20s")])
+def test_sliding_ranges_equal_spark_windows(spark, slices, every, range_):
+    rng = random.Random(5)
+    rows = [(rng.choice("abb"), START + timedelta(seconds=rng.randrange(40_000)), float(rng.randrange(50))) for _ in range(300)]
+    df = spark.createDataFrame(sorted({(k, t): v for k, t, v in rows}.items()), "k struct<a: string, ts: timestamp>, value double").select(
+        F.col("k.a").alias("k"), F.col("k.ts").alias("ts"), "value")
+    got = m.increase_grid(df, ["k"], every, range_, slices)
+    width = lambda d: {"m": " minutes", "h": " hours", "s": " seconds"}[d[-1]]
+    want = m.with_deltas(df, ["k"]).groupBy(F.window("ts", range_[:-1] + width(range_), every[:-1] + width(every)).start.alias("start"), "k").agg(
+        F.coalesce(F.sum("delta"), F.lit(0.0)).alias("increase"))
+    assert {(r.start, r.k): round(r.increase, 6) for r in got.collect()} == {(r.start, r.k): round(r.increase, 6) for r in want.collect()}
+
+
+def test_sliding_ranges_do_not_copy_rows(spark):
+    df = spark.range(1000).select(F.lit("a").alias("k"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.col("id").cast("double").alias("value"))
+    plans = [m.increase_grid(df, ["k"], "15s", r)._jdf.queryExecution().optimizedPlan().toString() for r in ("1h", "4h")]
+    assert all("Expand" not in p for p in plans) and plans[0].count("\n") == plans[1].count("\n")
+
+
+def test_label_filters_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "samples")
+    spark.createDataFrame([("m", "s", None, 1.0), ("m", "t", "v", 2.0)], "name string, service string, version string, value double").write.parquet(path)
+    df = m.select_series(spark.read.parquet(path), "m", service="s", version="")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(service,s)" in plan and [r.value for r in df.collect()] == [1.0]

@@ -6,7 +6,7 @@ import pytest
 
 from obsframe import schemas
 from obsframe.operators import benchmarks, corpus, matrix
-from obsframe.sources import files, sinks, texts
+from obsframe.sources import files, manifests, sinks, texts
 
 
 def put(folder, **named):
@@ -150,9 +150,9 @@ def test_model_output_text(spark):
 def test_upsert_orders_by_event_time_and_may_be_repeated(spark, tmp_path):
     frame = lambda *r: spark.createDataFrame(list(r), "k string, t int, v string")
     path = str(tmp_path / "latest")
-    sinks.upsert_latest(frame(("a", 5, "new"), ("a", 1, "old"), ("b", 1, "x")), "k", ["t"], path, 0)
-    sinks.upsert_latest(frame(("a", 3, "late"), ("b", 2, "y")), "k", ["t"], path, 1)
-    sinks.upsert_latest(frame(("a", 3, "late"), ("b", 2, "y")), "k", ["t"], path, 1)
+    sinks.upsert_latest(frame(("a", 5, "new"), ("a", 1, "old"), ("b", 1, "x")), "k", ["t"], path, 0, "r")
+    sinks.upsert_latest(frame(("a", 3, "late"), ("b", 2, "y")), "k", ["t"], path, 1, "r")
+    sinks.upsert_latest(frame(("a", 3, "late"), ("b", 2, "y")), "k", ["t"], path, 1, "r")
     got = {r.k: r.v for r in sinks.read_latest(spark, path, "k", ["t"]).collect()}
     assert got == {"a": "new", "b": "y"}
     assert spark.read.parquet(path).count() == 4
@@ -161,7 +161,7 @@ def test_upsert_orders_by_event_time_and_may_be_repeated(spark, tmp_path):
 def test_versions_are_numbered_over_all_batches(spark, tmp_path):
     path = str(tmp_path / "versions")
     for number, ts in ((0, [3, 1]), (1, [2])):
-        sinks.append_versions(spark.createDataFrame([("a", t) for t in ts], "k string, t int"), path, number)
+        sinks.append_versions(spark.createDataFrame([("a", t) for t in ts], "k string, t int"), path, number, "r")
     got = sorted((r.t, r.version, r.is_latest) for r in sinks.read_versions(spark, path, "k", ["t"]).collect())
     assert got == [(1, 1, False), (2, 2, False), (3, 3, True)]
 
@@ -183,3 +183,51 @@ def test_spans_keep_broken_lines(spark):
 def test_schemas_name_the_required_fields():
     assert [f.name for f in schemas.BENCHMARK_RESULT if not f.nullable] == [
         "platform", "workload", "requests", "successful_requests", "failed_requests"]
+
+
+def test_snapshots_replace_state(spark, tmp_path):
+    path = str(tmp_path / "state")
+    frame = lambda *rows: spark.createDataFrame(rows, "k string, t int, v string")
+    state = lambda: {r.k: (r.t, r.v) for r in sinks.read_latest(spark, path, "k", ["t"]).collect()}
+    sinks.upsert_latest(frame(*[(f"k{i}", 1, "a") for i in range(40)]), "k", ["t"], path, 0, "r")
+    assert sinks.compact(spark, path, "k", ["t"], buckets=8) == 1
+    first = manifests.at(spark, f"{path}/_manifests", 1)
+    sinks.upsert_latest(frame(("k1", 5, "new"), ("k2", 0, "older")), "k", ["t"], path, 1, "r")
+    wanted = {f"k{i}": (1, "a") for i in range(40)} | {"k1": (5, "new")}
+    assert state() == wanted
+
+    # a compaction that dies before its manifest changes nothing, and the next one starts again
+    def dies(*_):
+        raise RuntimeError("lost")
+    publish, manifests.publish = manifests.publish, dies
+    with pytest.raises(RuntimeError):
+        sinks.compact(spark, path, "k", ["t"])
+    manifests.publish = publish
+    assert state() == wanted
+    assert sinks.compact(spark, path, "k", ["t"]) == 2 and state() == wanted
+    second = manifests.at(spark, f"{path}/_manifests", 2)
+    changed = [b for b in second["buckets"] if first["buckets"].get(b) != second["buckets"][b]]
+    assert 1 <= len(changed) <= 2 and len(second["buckets"]) > 4  # only touched buckets are written anew
+    assert sinks.compact(spark, path, "k", ["t"]) == 2
+
+    # a batch that comes again after it was folded in, and another run beside it
+    sinks.upsert_latest(frame(("k1", 9, "changed in the replay")), "k", ["t"], path, 1, "r")
+    assert state() == wanted
+    sinks.upsert_latest(frame(("k3", 7, "other"), ("n", 1, "b")), "k", ["t"], path, 0, "s")
+    wanted |= {"k3": (7, "other"), "n": (1, "b")}
+    assert state() == wanted
+    assert sinks.compact(spark, path, "k", ["t"]) == 3 and state() == wanted
+    sinks.forget(spark, path, keep=1)
+    assert state() == wanted and not list((tmp_path / "state").glob("run=*/batch=*"))
+    with pytest.raises(FileExistsError):
+        manifests.publish(spark, f"{path}/_manifests", 3, {})
+
+
+def test_state_of_wanted_ids_only(spark, tmp_path):
+    for name, text in (("a", '{"created_at": "c", "reflection_count": 2, "history": []}'), ("b", "broken"), ("c", '{"reflection_count": 1}')):
+        (tmp_path / f"{name}.json").write_text(text)
+    df = files.read_state(spark, str(tmp_path), ["a", "x", "a"], now="2024-01-01T00:00:00")
+    assert sorted((r.agent_id, r.created_at, r.reflection_count, len(r.history), r.restored) for r in df.collect()) == [
+        ("a", "c", 2, 0, True), ("x", "2024-01-01T00:00:00", 0, 0, False)]
+    assert [p.rsplit("/", 1)[1] for p in df.inputFiles()] == ["a.json"]
+    assert files.read_state(spark, str(tmp_path), ["y"]).count() == 1 and files.read_state(spark, str(tmp_path)).count() == 3

@@ -1,6 +1,9 @@
 """Streams fed by several files, against the batch operators on the same rows."""
 
+import random
+import time
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +148,106 @@ def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
     query = s.stream_to_files(rollup, str(tmp_path / "o"), str(tmp_path / "c"))
     query.awaitTermination()
     assert s.late_rows(query) == 1
+
+
+def write_files(spark, path, schema, parts):
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return stream_table(spark, path, spark.createDataFrame([], schema).schema, files_per_trigger=1)
+
+
+def test_agent_lives_do_not_depend_on_the_files(spark, tmp_path):
+    rows = turns(range(12), "x") + turns(range(5), "y") + turns([3, 4], "z")
+    random.Random(3).shuffle(rows)
+    parts = [rows[i::6] for i in range(6)]
+    closer = ("closer", 0, START + timedelta(days=9), "q", "r")
+    source = write_files(spark, str(tmp_path / "in"), TURN, [*parts, [closer]])
+    got = run(spark, tmp_path, s.stream_agent_lives(source, "1d")).where("agent_id <> 'closer'")
+    whole = spark.createDataFrame(rows, TURN)
+    assert same(agents.reply_record(whole).select("agent_id", "position", "reflection_count"), got)
+    state = {r.agent_id: (r.reflection_count, r.created_at, [h.query for h in r.history]) for r in agents.fold_state(whole).collect()}
+    found = got.groupBy("agent_id").agg(F.max("reflection_count").alias("n"), F.max("created_at").alias("c"), F.min("created_at").alias("d"),
+                                        F.sort_array(F.collect_list(F.struct("reflection_count", "query")))["query"].alias("q"))
+    assert {r.agent_id: (r.n, r.c, r.q) for r in found.collect()} == state and all(r.c == r.d for r in found.collect())
+
+
+def test_agent_lives_go_on_from_saved_state(spark, tmp_path):
+    saved = agents.fold_state(spark.createDataFrame(turns(range(7), "x") + turns(range(2), "y"), TURN), chunk=3)
+    later = turns(range(7, 10), "x") + turns([0], "z") + [("closer", 0, START + timedelta(days=9), "q", "r")]
+    source = write_files(spark, str(tmp_path / "in"), TURN, [later])
+    got = run(spark, tmp_path, s.stream_agent_lives(source, "1d", saved=saved)).where("agent_id <> 'closer'")
+    assert sorted((r.agent_id, r.position, r.reflection_count, r.recent_turns, r.created_at) for r in got.collect()) == [
+        ("x", 7, 8, 5, START), ("x", 8, 9, 5, START), ("x", 9, 10, 5, START), ("z", 0, 1, 0, START)]
+
+
+def test_idle_agents_leave(spark, tmp_path):
+    at = lambda m: START + timedelta(minutes=m)
+    rows = [("x", i, at(m), "q", None) for i, m in enumerate([0, 30, 61, 62])] + [("y", 0, at(5), "q", "r")]
+    source = write_files(spark, str(tmp_path / "in"), TURN, [rows[:3], rows[3:], [("closer", 0, at(9000), "q", "r")]])
+    stream_ = s.stream_agent_lives(source, "1h", idle="30m")
+    query = s.stream_to_files(stream_, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    got = spark.read.schema(stream_.schema).parquet(str(tmp_path / "out"))
+    assert sorted(((r.agent_id, r.ts, r.reflection_count, r.created_at, r.evicted) for r in got.where("agent_id <> 'closer'").collect())) == sorted([
+        ("x", at(0), 1, at(0), False), ("x", at(30), 2, at(0), False), ("x", at(60), 2, at(0), True),
+        ("x", at(61), 1, at(61), False), ("x", at(62), 2, at(61), False), ("x", at(92), 2, at(61), True),
+        ("y", at(5), 1, at(5), False), ("y", at(35), 1, at(5), True)])
+    state = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "seen").load()
+    assert state.where("key.agent_id <> 'closer'").count() == 0
+
+
+def test_replies_wait_for_their_last_chunk(spark, tmp_path):
+    at = lambda x: START + timedelta(seconds=x)
+    files = [
+        [("r", 0, at(0), "a", None, False), ("r", 1, at(1), None, "b", False), ("cut", 0, at(0), None, "x", False)],
+        [("r", 1, at(100), None, "other", False), ("r", 3, at(420), None, "d", True)],
+        [("r", 2, at(301), None, "c", False), ("two", 0, at(400), None, "z", True), ("two", 0, at(400), None, "y", True)],
+        [("end", 0, START + timedelta(days=1), None, "", False)]]
+    stream_ = s.stream_replies(write_files(spark, str(tmp_path / "in"), DELTA, files), "5m")
+    s.stream_to_files(stream_, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.schema(stream_.schema).parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.response_id, r.reasoning, r.answer, r.chunks, r.ended_at, r.complete) for r in got) == [
+        ("cut", "", "x", 1, at(0), False), ("r", "a", "bcd", 4, at(420), True), ("two", "", "y", 1, at(400), True)]
+    state = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "seen").load()
+    assert [r[0] for r in state.select("key.response_id").collect()] == ["end"]
+
+
+def test_late_rows_are_counted_over_many_batches_and_runs(spark, tmp_path):
+    path, folder = str(tmp_path / "in"), str(tmp_path / "late")
+    counter = s.LateRows(spark, folder)
+    spark.streams.addListener(counter)
+    try:
+        at = lambda h: START + timedelta(hours=h)
+        spark.createDataFrame([("a", at(5), 1.0, 0)], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        spark.createDataFrame([("a", at(9), 1.0, 0)], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        for part in range(3):
+            for i in range(2):
+                rows = [("a", at(n / 2), 1.0, 0) for n in range(part + 1)] + [("a", at(10 + 2 * part + i), 2.0, 0)]
+                spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+            query = s.stream_to_files(s.stream_rollup(stream(spark, path), ["k"], "PT15M", "10m"), str(tmp_path / "o"), str(tmp_path / "c"))
+            query.awaitTermination()
+            wanted = sum(2 * (p + 1) for p in range(part + 1))
+            deadline = time.time() + 20
+            while counter.total(query) < wanted and time.time() < deadline:
+                time.sleep(0.2)
+            assert counter.total(query) == wanted
+    finally:
+        spark.streams.removeListener(counter)
+    # another session knows nothing but the files
+    assert s.LateRows(spark, folder).total(query) == 12
+    # far more batches than a query's progress remembers
+    again = s.LateRows(spark, str(tmp_path / "other"))
+    for number in range(300):
+        state = SimpleNamespace(numRowsDroppedByWatermark=1)
+        for _ in range(2):  # a batch that is reported twice counts once
+            again.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(id="q", batchId=number, stateOperators=[state, state])))
+    assert again.total(SimpleNamespace(id="q")) == 600
+
+
+def test_upsert_folds_batches_into_snapshots(spark, tmp_path, folder):
+    base = str(tmp_path)
+    s.stream_upsert(stream(spark, folder), "k", ["ts"], f"{base}/state", f"{base}/cp", compact_every=2).awaitTermination()
+    got = read_latest(spark, f"{base}/state", "k", ["ts"])
+    want = batch(spark, folder).groupBy("k").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
+    assert got.count() == 4 and same(want, got)
+    assert sorted(p.name for p in (tmp_path / "state" / "_manifests").glob("[0-9]*.json")) == ["1.json", "2.json", "3.json"]

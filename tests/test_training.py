@@ -75,3 +75,16 @@ def test_user_functions(spark):
     assert sorted(r.y for r in out.collect()) == [0, 10, 20, 30, 40]
     seen = f.inspect(df).first()
     assert (seen["rows"], seen.partitions, seen.columns, seen["schema"]) == (5, 2, 1, "struct<id:bigint>")
+
+
+def test_any_tokenizer_encodes_like_the_vocabulary(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, "A zzz " * 9)], "doc_id int, text string")
+    vocab = t.build_vocab(spark.createDataFrame([("a b b",)], "text string"))
+    ids = {r.word: r.id for r in vocab.collect()}
+
+    def make():
+        return lambda texts: [[ids.get(w, t.UNKNOWN_ID) for w in text.lower().split()] for text in texts]
+
+    got, want = t.encode_with(docs, make, length=8), t.encode_fixed(docs, vocab, length=8)
+    assert sorted((r.doc_id, r.input_ids, r.attention_mask) for r in got.collect()) == sorted((r.doc_id, r.input_ids, r.attention_mask) for r in want.collect())
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
