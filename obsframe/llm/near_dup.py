@@ -21,7 +21,12 @@ Buckets of any size are worked off without pairing all of their members:
 
 * First every member is compared with the smallest member of its bucket, once for all buckets they share.
 * A bucket whose members are then all in one class is settled: a further link inside it changes no class.
-* In the others the next ``LEADERS`` smallest members lead, and members of other classes are compared with
+* Of the others those of at most ``FEW`` members compare members of different classes.
+* Larger ones are dealt out anew by rare words. Two texts with ``e`` edits at most between them have all but ``e`` words in common, so
+  whatever the order in which words are ranked, the ``e + 1`` first ones of the two have one in common (a prefix filter).
+  Words, numbered by occurrence, rank by how rarely the texts of such buckets have them, counted in a table of ``CELLS`` cells. A bucket and
+  such a word make a new bucket, which few texts share even where a passage is very common.
+* If one of those is large still, its next ``LEADERS`` smallest members lead, and members of other classes are compared with
   them; this is repeated, with the classes as they are by then, until no bucket holds an uncompared pair of different classes.
 
 So no link between members of one bucket can be missing from the classes, whatever its size.
@@ -36,7 +41,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -54,7 +58,9 @@ SKETCHES = 64
 PICKED = 3
 SHORT = 24
 SIMILARITY = 0.8
+FEW = 24
 LEADERS = 256
+CELLS = 1 << 18
 BAG = 128
 SEED = 0x5DEECE66D
 
@@ -105,9 +111,13 @@ def sketches(words: np.ndarray, count: int = SKETCHES, picked: int = PICKED) ->
     return np.concatenate(out)
 
 
-@cache
+_KNOWN: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+
+
 def _places(size: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length, the starts of the runs that are exact buckets of a text of ``size`` words, and their names."""
+    if size in _KNOWN:
+        return _KNOWN[size]
     found = set()
     for longer in range(size, size * 5 // 4 + 2):
         edits, gap = allowed(longer), longer - size
@@ -120,7 +130,8 @@ def _places(size: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         if size > SHORT:
             break
     lengths = sorted({f[0] for f in found})
-    return {n: tuple(np.array(x, np.uint64) for x in zip(*sorted(f[1:] for f in found if f[0] == n))) for n in lengths}
+    _KNOWN[size] = {n: tuple(np.array(x, np.uint64) for x in zip(*sorted(f[1:] for f in found if f[0] == n))) for n in lengths}
+    return _KNOWN[size]
 
 
 def buckets(words: np.ndarray) -> np.ndarray:
@@ -207,7 +218,49 @@ def _signs(base: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _bucket_rows(signs: DataFrame) -> DataFrame:
-    return signs.select(F.explode("buckets").alias("bucket"), "text")
+    return signs.select(F.explode("buckets").alias("bucket"), "text", "size")
+
+
+def _alike(size: str, other: str) -> Column:
+    """Whether texts of such lengths may be linked."""
+    longer = F.greatest(size, other)
+    return longer - F.least(size, other) <= F.floor(longer * (1 - SIMILARITY) + 1e-9)
+
+
+def rare_first(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hashes of those words, numbered by occurrence, of which a linked text has at least one among its own."""
+    if not len(words):
+        return words
+    labelled = kmers(words, 1)
+    order = np.lexsort((labelled, counts[words % np.uint64(CELLS)]))
+    return labelled[order[:allowed(len(words)) + 1]]
+
+
+def _by_rare_words(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows (bucket, text, size, label) dealt to new buckets, each an old bucket and a rare word."""
+    texts = write_once(words.join(rows.select("text").distinct(), "text", "left_semi"), "dealt")
+
+    def counted(batches):
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for found in word_hashes(batch["plain"].tolist()):
+                cells += np.bincount((found % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        at = np.flatnonzero(cells)
+        yield pd.DataFrame({"cell": at, "n": cells[at]})
+
+    counts = np.zeros(CELLS, np.int64)
+    for row in texts.select("plain").mapInPandas(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[row["cell"]] = row["n"]  # at most CELLS rows
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def rare(batches):
+        for batch in batches:
+            found = [rare_first(w, shared.value).view(np.int64) for w in word_hashes(batch["plain"].tolist())]
+            yield pd.DataFrame({"text": batch["text"], "words": found})
+
+    keys = texts.mapInPandas(rare, "text long, words array<long>")
+    return rows.join(keys, "text").select("bucket", "text", "size", "label", F.explode("words").alias("word")).select(
+        F.xxhash64("bucket", "word").alias("bucket"), "text", "size", "label")
 
 
 def _both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -243,35 +296,51 @@ def _links(pairs: DataFrame, signs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _leftover(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """bucket, text, label: rows of the buckets that hold several classes."""
+    """bucket, text, size, label, members: rows of the buckets that hold several classes."""
     labelled = buckets.join(classes.select(F.col("node").alias("text"), "label"), "text", "left").select(
-        "bucket", "text", F.coalesce("label", "text").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    return labelled.join(mixed.select("bucket"), "bucket", "left_semi")
+        "bucket", "text", "size", F.coalesce("label", "text").alias("label"))
+    return _mixed(labelled)
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"))
+    return labelled.join(mixed.where("low != high").select("bucket", "members"), "bucket")
+
+
+def _pairs(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(a, b) of members and leaders of a bucket that are in different classes and of like length."""
+    ahead = leaders.select("bucket", F.col("text").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
+    met = rows.join(ahead, "bucket").where("a < text and label != label_a").where(_alike("size", "size_a"))
+    return met.select("a", F.col("text").alias("b")).distinct()
 
 
 def _classes(base: DataFrame, texts: DataFrame) -> DataFrame:
     """node, label of the distinct texts that are linked to another."""
     signs = write_once(_signs(base, texts.select("digest", "text")), "sketches")
     rows = _bucket_rows(signs)
-    led = rows.groupBy("bucket").agg(F.min("text").alias("a"), F.count("*").alias("n")).where("n > 1")
-    shared = write_once(rows.join(led, "bucket").select("bucket", "text", "a"), "shared")
-    pairs = shared.where("text != a").select("a", F.col("text").alias("b")).distinct()
+    led = rows.groupBy("bucket").agg(F.min(F.struct("text", "size")).alias("a"), F.count("*").alias("n")).where("n > 1")
+    shared = write_once(rows.join(led.select("bucket", "a"), "bucket").select(
+        "bucket", "text", "size", F.col("a.text").alias("a"), F.col("a.size").alias("size_a")), "shared")
+    pairs = shared.where("text != a").where(_alike("size", "size_a")).select("a", F.col("text").alias("b")).distinct()
     involved = texts.join(shared.select("text").distinct(), "text", "left_semi").select("digest", F.col("keep_id").alias("doc_id"), "text")
     words = write_once(base.join(involved, (base["digest"] == involved["digest"]) & base["doc_id"].eqNullSafe(involved["doc_id"])).groupBy(
         "text").agg(F.any_value("plain").alias("plain")), "words")
     links = write_once(_links(pairs, signs, words), "links")
     classes = components(links)
-    rest = write_once(_leftover(shared.where("text != a").select("bucket", "text"), classes), "leftover")
+    left = write_once(_leftover(shared.where("text != a").select("bucket", "text", "size"), classes), "leftover")
+    few, many = left.where(F.col("members") <= FEW), left.where(F.col("members") > FEW).drop("members")
+    dealt = write_once(_mixed(_by_rare_words(many, words)), "rare")
+    pairs = _pairs(few, few).union(_pairs(*[dealt.where(F.col("members") <= FEW)] * 2)).distinct()
+    links = write_once(links.union(_links(pairs, signs, words)), "links")
+    classes = components(links)
+    rest = write_once(_leftover(dealt.where(F.col("members") > FEW).select("bucket", "text", "size"), classes), "leftover")
     while not rest.isEmpty():
         place = Window.partitionBy("bucket").orderBy("text")
-        leaders = rest.withColumn("place", F.row_number().over(place)).where(F.col("place") <= LEADERS).select(
-            "bucket", F.col("text").alias("a"), F.col("label").alias("label_a"))
-        pairs = rest.join(leaders, "bucket").where("a < text and label != label_a").select("a", F.col("text").alias("b")).distinct()
-        links = write_once(links.union(_links(pairs, signs, words)), "links")
+        leaders = rest.withColumn("place", F.row_number().over(place)).where(F.col("place") <= LEADERS).drop("place")
+        links = write_once(links.union(_links(_pairs(rest, leaders), signs, words)), "links")
         classes = components(links)
-        past = leaders.groupBy("bucket").agg(F.max("a").alias("past"))
-        rest = write_once(_leftover(rest.join(past, "bucket").where("text > past").select("bucket", "text"), classes), "leftover")
+        past = leaders.groupBy("bucket").agg(F.max("text").alias("past"))
+        rest = write_once(_leftover(rest.join(past, "bucket").where("text > past").select("bucket", "text", "size"), classes), "leftover")
     return classes
 
 

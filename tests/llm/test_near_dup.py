@@ -105,10 +105,12 @@ def test_classes(documents, rows, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({w[1] for w in wanted})
 
 
-def test_mixed_buckets_are_worked_off(documents, rows, monkeypatch):
+@pytest.mark.parametrize("few", [1, 4, 24])
+def test_mixed_buckets_are_worked_off(documents, rows, monkeypatch, few):
     """Every text in the same buckets: classes must still be those of all pairs."""
     monkeypatch.setattr(nd, "LEADERS", 2)
-    monkeypatch.setattr(nd, "_bucket_rows", lambda signs: signs.selectExpr("1L as bucket", "text"))
+    monkeypatch.setattr(nd, "FEW", few)
+    monkeypatch.setattr(nd, "_bucket_rows", lambda signs: signs.selectExpr("1L as bucket", "text", "size"))
     docs = corpus(seed=8, bases=7, copies=5)
     assert rows(nd.near_duplicates(documents(docs))) == brute(docs)
 
@@ -203,3 +205,18 @@ def test_classes_of_short_texts(documents, rows):
     wanted = brute(docs)
     assert len({w[1] for w in wanted}) == 30
     assert rows(nd.near_duplicates(documents(docs))) == wanted
+
+
+def test_linked_texts_share_a_rare_word():
+    draw = random.Random(6)
+    counts = np.array([draw.randrange(50) for _ in range(nd.CELLS)])
+    for _ in range(400):
+        size = draw.randrange(5, 60)
+        a = [draw.randrange(12) for _ in range(size)]
+        b = list(a)
+        for _ in range(draw.randrange(nd.allowed(size) + 1)):
+            at = draw.randrange(len(b))
+            b[at:at + 1] = draw.choice([[], [draw.randrange(12)], [draw.randrange(12), b[at]]])
+        if plain_distance(a, b) <= nd.allowed(max(len(a), len(b))):
+            one, other = (nd.rare_first(np.array(x, np.uint64) * np.uint64(977), counts) for x in (a, b))
+            assert set(one.tolist()) & set(other.tolist())
