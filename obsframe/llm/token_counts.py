@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 MODEL = "piece_bpe_32k.model"
 NO_SCORE = -1e8
 PENALTY = 10
-HELD = 100_000     # words that a task remembers
+HELD = 300_000     # words of a generation that a task remembers
 TOGETHER = 500     # texts in one step
 
 
@@ -57,35 +57,45 @@ class Counter:
         self.matches.make_automaton()
         self.unknown = min(pieces.values()) - PENALTY
         self.known: dict[str, tuple[int, float]] = {}
+        self.older: dict[str, tuple[int, float]] = {}
 
     def best(self, word: str) -> tuple[int, float]:
         """Number of tokens and score of the best path."""
-        ends: list[list] = [[] for _ in word]
-        for end, match in self.matches.iter(word):
-            ends[end].append(match)
-        scores, counts = [0.0], [0]
-        for end, found in enumerate(ends):
-            best, count, single = None, 0, False
-            for length, score in sorted(found, reverse=True):   # the earliest start first
-                value = scores[end + 1 - length] + score
-                if best is None or value > best:
-                    best, count = value, counts[end + 1 - length] + 1
-                single = single or length == 1
-            if not single and (best is None or scores[end] + self.unknown > best):
-                best, count = scores[end] + self.unknown, counts[end] + len(word[end].encode())
+        scores, counts, unknown = [0.0], [0], self.unknown
+        end, best, count, single = 0, None, 0, False
+        for found, (length, score) in self.matches.iter(word):  # by end, those of one end from the longest, which starts first
+            while end < found:
+                if not single and (best is None or scores[end] + unknown > best):
+                    best, count = scores[end] + unknown, counts[end] + len(word[end].encode())
+                scores.append(best)
+                counts.append(count)
+                end, best, count, single = end + 1, None, 0, False
+            value = scores[end + 1 - length] + score
+            if best is None or value > best:
+                best, count = value, counts[end + 1 - length] + 1
+            if length == 1:
+                single = True
+        while end < len(word):
+            if not single and (best is None or scores[end] + unknown > best):
+                best, count = scores[end] + unknown, counts[end] + len(word[end].encode())
             scores.append(best)
             counts.append(count)
+            end, best, count, single = end + 1, None, 0, False
         return counts[-1], scores[-1]
 
     def count(self, texts: list[list[str]]) -> list[tuple[int, float]]:
-        """Tokens and scores of texts that are given as lists of words."""
+        """Tokens and scores of texts that are given as lists of words.
+
+        Words are remembered in two generations: when the newer one is full the older one is forgotten, and words that come again move up.
+        """
         present = set().union(*texts)
-        if len(self.known) + len(present) > HELD:
-            self.known = {w: self.known[w] for w in present if w in self.known}
+        known, older = self.known, self.older
         for word in present:
-            if word not in self.known:
-                self.known[word] = self.best(word)
-        found = [[self.known[w] for w in words] for words in texts]
+            if word not in known:
+                known[word] = older.get(word) or self.best(word)
+        found = [[known[w] for w in words] for words in texts]
+        if len(known) > HELD:
+            self.known, self.older = {}, known
         return [(sum(n for n, _ in rows), sum(s for _, s in rows)) for rows in found]
 
 
