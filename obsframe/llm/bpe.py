@@ -69,6 +69,13 @@ class Pairs:
             at[left] = (at[left] + 1) & ((1 << PLACES) - 1)
         self.merged[at] = merged
 
+    @classmethod
+    def of(cls, single: np.ndarray, keys: np.ndarray, merged: np.ndarray) -> Pairs:
+        """The table from its arrays, which is how it travels to workers: they may not have this module."""
+        made = cls.__new__(cls)
+        made.single, made.keys, made.merged = single, keys, merged
+        return made
+
     @staticmethod
     def place(keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLACES)).astype(np.int64)
@@ -147,7 +154,7 @@ class Encoder:
     def pack(self, texts: list[list[str]]) -> list[bytes]:
         """Packed ids of texts that are given as lists of pieces."""
         present = set().union(*texts)
-        if len(self.known) + len(present) > HELD:
+        if len(self.known) + sum(p not in self.known for p in present) > HELD:
             self.known = {p: self.known[p] for p in present if p in self.known}
         new = [(p, p.encode()) for p in present if p not in self.known]
         short = [(p, raw) for p, raw in new if len(raw) < ENOUGH]
@@ -163,6 +170,11 @@ class Encoder:
         return packed
 
 
+def _encoder(shared) -> Encoder:
+    ranks, pairs = shared.value
+    return Encoder(ranks, Pairs.of(*pairs))
+
+
 def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, str]]:
     """Offsets and texts of overlapping chunks; the last reaches the end."""
     at = 0
@@ -208,7 +220,7 @@ def _short(docs: DataFrame, keep: list[str], pattern: str, shared, name: str, de
     fields = plain.schema.fields[:-1] + [T.StructField(f"m{i}", T.BinaryType()) for i in range(len(made))]
 
     def encoded(batches):
-        find, encoder = regex.compile(pattern).findall, Encoder(*shared.value)
+        find, encoder = regex.compile(pattern).findall, _encoder(shared)
         tokens = _tokens(shared.value[0]) if decoded else []
         for batch in batches:
             for first in range(0, batch.num_rows, TOGETHER):
@@ -251,7 +263,7 @@ def _long(texts: DataFrame, pattern: str, shared, size: int, overlap: int) -> Da
                              "sizes": [np.diff(e, prepend=0).astype(np.int32) for _, e in found]})
 
     def encoded(batches):
-        encoder = Encoder(*shared.value)
+        encoder = _encoder(shared)
         for batch in batches:
             yield pd.DataFrame({"row": batch["row"], "part": batch["part"], "ids": [
                 encoder.pack([[t[b - s:b] for s, b in zip(sizes, np.cumsum(sizes))]])[0] for t, sizes in zip(batch["text"], batch["sizes"])]})
@@ -268,7 +280,8 @@ def _long(texts: DataFrame, pattern: str, shared, size: int, overlap: int) -> Da
 
 def _share(spark, path: str | None):
     ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
-    return spark.sparkContext.broadcast((ranks, Pairs(ranks)))
+    pairs = Pairs(ranks)
+    return spark.sparkContext.broadcast((ranks, (pairs.single, pairs.keys, pairs.merged)))
 
 
 def _encode(docs: DataFrame, keep: list[str], path, pattern, name, size, overlap, decoded: str | None = None) -> DataFrame:
