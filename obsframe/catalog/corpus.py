@@ -62,6 +62,17 @@ def _(lake: Lake) -> DataFrame:
     return c.coverage(responses, lake.conversations.select(F.col("conv_id").alias("task")), [*models, "model-none"])
 
 
+@query("corpus_missing", """
+    WITH cells AS (SELECT DISTINCT source, lang FROM documents WHERE source IS NOT NULL AND lang IN ('en', 'de', 'fr') AND doc_id % 4 = 1)
+    SELECT s.source AS task, l.lang AS model FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) s, (VALUES ('en'), ('de'), ('fr'), ('it')) l(lang)
+    WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.source = s.source AND c.lang = l.lang)
+""")
+def _(lake: Lake) -> DataFrame:
+    docs = lake.documents.where("source is not null").select("doc_id", F.col("source").alias("task"), F.col("lang").alias("model"))
+    answered = docs.where(F.col("doc_id") % 4 == 1)  # the corpus that was answered: languages stand for models, sources for tasks
+    return c.missing_responses(answered, docs, ["en", "de", "fr", "it"])
+
+
 @query("prompt_id_audit", """
     SELECT 'doc' || doc_id AS task, CASE WHEN doc_id % 9 = 4 THEN NULL ELSE 'other' || doc_id END AS id
     FROM documents WHERE doc_id % 9 = 0 OR doc_id % 9 = 4

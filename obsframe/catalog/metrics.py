@@ -110,6 +110,16 @@ def _(lake: Lake) -> DataFrame:
     return out.withColumns({"average": F.round("average", 6), "total": F.round("total", 6)})
 
 
+@query("interval_rollup_day", """
+    SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS start, event_type, round(avg(value), 6) AS average,
+           min(value) AS minimum, max(value) AS maximum, round(sum(value), 6) AS total, count(*) AS count
+    FROM gauge_samples WHERE ts > TIMESTAMP '2024-01-19 12:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY ALL
+""", "gauge_samples")
+def _(lake: Lake) -> DataFrame:
+    out = m.rollup(lake.gauge_samples, ["event_type"], "PT15M", span="PT24H", at="2024-01-20 12:00:00")
+    return out.withColumns({"average": F.round("average", 6), "total": F.round("total", 6)})
+
+
 @query("error_rate", """
     SELECT date_trunc('hour', ts) AS start, count(*) AS requests, count(*) FILTER (status >= 400) AS errors,
            round(count(*) FILTER (status >= 400) / count(*), 9) AS error_rate
