@@ -1,5 +1,6 @@
 """Alignment against a plain one, token by token, over whole texts encoded by the libraries themselves."""
 import hashlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import reduce
 
@@ -33,7 +34,7 @@ def groups_of(text):
     out = [([], []) for _ in shared]
     for side, (ids, ends) in enumerate(sides):
         for i, end in zip(ids, ends):
-            out[np.searchsorted(shared, end)][side].append(i)
+            out[bisect_left(shared, end)][side].append(i)
     return out
 
 
