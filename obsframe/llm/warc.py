@@ -7,10 +7,11 @@ has a smaller ``page_id``. A block longer than ``SEGMENT`` bytes goes into a fir
 are written by Spark's text sink with the separator that ends a record, so archives may lie in any
 store that Spark writes to; files are compressed and hold ``PER_FILE`` records at most.
 
-Reading: whole files are parsed by tasks. Records in one piece are decoded at once; segments are
+Reading: each file is parsed once by one task, into a table that is written to the shared folder. Records in one piece are decoded
+and their digest checked at once; of segments the bytes are kept, which are
 grouped by their origin, ordered by number and joined; a missing number or another total length than
 the declared one is reported in ``problem``, and so is broken framing, with a null payload. A revisit takes
-its payload from the record it refers to.
+its payload from the record it refers to. Where only lengths and digests are wanted, no payload leaves the task that decodes it.
 
 A null page is an empty payload. Pages with equal payload and an equal smallest id are all
 responses; null ids come last and never are the smallest of several, and pages of them alone are all
@@ -24,12 +25,14 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.session import work_dir
+from obsframe.plans.slices import attach
+from obsframe.session import work_dir, write_once
 
 LEAST = 100            # bytes from which equal payloads are stored once
 SEGMENT = 1 << 16      # bytes of a block in one record
@@ -38,7 +41,8 @@ PER_FILE = 2000        # records in one file, which bounds a file at PER_FILE *
 END = "\r\n\r\n"
 # Ids travel as text through Python, where a column of whole numbers with a null becomes one of floats.
 RECORD = "page_id string, refers_to string, record_type string, digest string, record_id string, origin string, number int, total long, block binary"
-PAGE = "page_id string, payload binary, payload_digest string, record_type string, refers_to string, problem string"
+PARSED = f"{RECORD}, payload binary, payload_bytes long, problem string"
+PAGE = "page_id string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string, problem string"
 
 
 def frame(payload: bytes, size: int = FRAME) -> bytes:
@@ -129,7 +133,16 @@ def _page(page_id, refers_to, kind, digest, block, problem=None) -> tuple:
         found = hashlib.sha256(payload).hexdigest() if payload is not None else None
         problem = problem or (f"digest {found}" if digest and found != digest else None)
         digest = found if found else digest
-    return page_id, payload, digest, kind, refers_to, problem
+    return page_id, payload, None if payload is None else len(payload), digest, kind, refers_to, problem
+
+
+def _parsed(record: tuple, payloads: bool) -> tuple:
+    """A segment as it is, another record decoded, without its block."""
+    page_id, refers_to, kind, digest, record_id, origin, number, total, block = record
+    if number is not None:
+        return *record, None, None, None
+    _, payload, size, digest, _, _, problem = _page(page_id, refers_to, kind, digest, block)
+    return page_id, refers_to, kind, digest, record_id, origin, number, total, None, payload if payloads else None, size, problem
 
 
 def _table(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -143,7 +156,7 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, per_file: int = P
     long_enough = F.octet_length("html") >= LEAST
     first = keyed.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
     shared = first.where("copies > 1 and first is not null").select("digest", "first")
-    plain = keyed.join(shared, "digest", "left").select(F.col("page_id").cast("string"), "url", "html", "digest", F.when(
+    plain = attach(keyed, write_once(shared, "copies"), ["digest"]).select(F.col("page_id").cast("string"), "url", "html", "digest", F.when(
         ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).cast("string").alias("first"))
 
     def records(batches):
@@ -155,37 +168,27 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, per_file: int = P
     written.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload, payload_digest, record_type, refers_to, problem: one row per page of the archives below ``path``.
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """page_id, payload, payload_bytes, payload_digest, record_type, refers_to, problem: one row per page of the archives below ``path``.
 
-    Two passes over the files: one decodes the records in one piece, one takes out the segments.
+    Without ``payloads`` that column is null; lengths, digests and problems are those of the payloads all the same.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
 
-    def in_parts(rows: Iterator[tuple], schema: str):
-        held = []
-        for row in rows:
-            held.append(row)
-            if len(held) == 200:
-                yield _table(held, schema)
-                held = []
-        yield _table(held, schema)
-
-    def whole(batches):
-        for batch in batches:
-            for data in batch["content"]:
-                yield from in_parts((_page(*r[:4], r[-1]) for r in parse(bytes(data)) if r[6] is None), PAGE)
-
-    def segments(batches):
+    def parsed(batches):
         for batch in batches:
             for data in batch["content"]:
-                yield from in_parts((r for r in parse(bytes(data)) if r[6] is not None), RECORD)
+                records = (_parsed(r, payloads) for r in parse(bytes(data)))
+                while held := list(islice(records, 200)):
+                    yield _table(held, PARSED)
 
-    found = files.mapInPandas(whole, PAGE).unionByName(reassemble(files.mapInPandas(segments, RECORD)))
-    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
+    found = write_once(files.mapInPandas(parsed, PARSED), "records")
+    whole = found.where("number is null").withColumnRenamed("digest", "payload_digest").select([c.split()[0] for c in PAGE.split(", ")])
+    parts = found.where("number is not null").select([c.split()[0] for c in RECORD.split(", ")])
+    return whole.unionByName(reassemble(parts, payloads)).withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
-def reassemble(records: DataFrame) -> DataFrame:
+def reassemble(records: DataFrame, payloads: bool = True) -> DataFrame:
     """Pages from the segments of long records: grouped by origin, ordered, checked and decoded."""
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("number")
@@ -196,18 +199,19 @@ def reassemble(records: DataFrame) -> DataFrame:
             problem = f"segments {numbers}"
         elif total != len(block):
             problem = f"{len(block)} bytes instead of {total}"
-        return _table([_page(first.page_id, first.refers_to, first.record_type, first.digest, block, problem)], PAGE)
+        page = _table([_page(first.page_id, first.refers_to, first.record_type, first.digest, block, problem)], PAGE)
+        return page if payloads else page.assign(payload=None)
 
     return records.withColumn("origin", F.coalesce("origin", "record_id")).groupBy("origin").applyInPandas(joined, PAGE)
 
 
 def resolve(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, problem; a revisit has the length of what it refers to."""
-    sized = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload")
+    sized = pages.drop("payload")
     own = sized.where("record_type != 'revisit'")
     origin = own.where(F.col("payload_bytes") >= LEAST).groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(
         F.max("payload_bytes").alias("_bytes"))
-    revisits = sized.where("record_type = 'revisit'").drop("payload_bytes").join(origin, ["refers_to", "payload_digest"], "left")
+    revisits = attach(sized.where("record_type = 'revisit'").drop("payload_bytes"), origin, ["refers_to", "payload_digest"])
     revisits = revisits.withColumn("problem", F.when(F.col("_bytes").isNull(), "nothing to refer to").otherwise(F.col("problem")))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"]
     return own.select(columns).unionByName(revisits.withColumnRenamed("_bytes", "payload_bytes").select(columns))
@@ -217,7 +221,7 @@ def round_trip(pages: DataFrame, segment: int = SEGMENT, per_file: int = PER_FIL
     """Write the archives of all pages to the shared folder and read them back."""
     path = work_dir(pages.sparkSession, "warc")
     write(pages, path, segment, per_file)
-    return resolve(read(pages.sparkSession, path))
+    return resolve(write_once(read(pages.sparkSession, path, payloads=False), "pages"))
 
 
 ROUND_TRIP_SQL = """
