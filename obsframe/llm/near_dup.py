@@ -14,7 +14,7 @@ it can reach. A bucket is such a run with its number and the length of the longe
 short text is missed. Two texts are linked if the edit distance of their words is at most ``1 - SIMILARITY`` of
 the longer one, found by a bit-parallel alignment inside the band that this bound allows. Before texts are fetched for it,
 pairs that cannot be that close are ruled out by their lengths and by the counts of their words in ``BAG`` hashed
-cells, of which an edit changes two by one at most. Classes are the connected
+cells, of which an exchanged word changes two by one at most and any other edit one, with the length. Classes are the connected
 components of the links; the smallest ``doc_id`` names a class.
 
 Buckets of any size are worked off without pairing all of their members:
@@ -24,9 +24,12 @@ Buckets of any size are worked off without pairing all of their members:
 * Of the others those of at most ``FEW`` members compare members of different classes.
 * Larger ones are dealt out anew by rare words. Two texts with ``e`` edits at most between them have all but ``e`` words in common, so
   whatever the order in which words are ranked, the ``e + 1`` first ones of the two have one in common (a prefix filter).
-  Words, numbered by occurrence, rank by how rarely the texts of such buckets have them, counted in a table of ``CELLS`` cells. A bucket and
-  such a word make a new bucket, which few texts share even where a passage is very common.
-* If one of those is large still, its next ``LEADERS`` smallest members lead, and members of other classes are compared with
+  Words, numbered by occurrence, rank by how rarely the texts of such buckets have them, counted in a table of ``CELLS`` cells. Large
+  buckets with the same smallest member are first taken as one; that member and
+  such a word make a new bucket, which few texts share even where a passage is very common. Two of its texts become a pair only if the words that
+  follow their first common one are enough for the bound (its rank in either text tells), and if the parities of their words in ``PARITIES`` hashed
+  cells, of which an edit changes two at most, differ no more than the edits allow.
+* If one of those has more than ``LEADERS`` members still, the next ``LEADERS`` smallest lead, and members of other classes are compared with
   them; this is repeated, with the classes as they are by then, until no bucket holds an uncompared pair of different classes.
 
 So no link between members of one bucket can be missing from the classes, whatever its size.
@@ -41,7 +44,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -62,6 +67,7 @@ FEW = 24
 LEADERS = 256
 CELLS = 1 << 18
 BAG = 128
+PARITIES = 4096
 SEED = 0x5DEECE66D
 
 
@@ -172,7 +178,7 @@ def distance(a: list, b: list, most: int) -> int | None:
     a, b = a[:len(a) - end], b[:len(b) - end]
     if not b:
         return len(a)
-    if len(a) - (Counter(a) & Counter(b)).total() > most:
+    if not most or len(a) - (Counter(a) & Counter(b)).total() > most:
         return None
     most = min(most, len(a))
     width = 2 * most + 1
@@ -236,8 +242,15 @@ def rare_first(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return labelled[order[:allowed(len(words)) + 1]]
 
 
-def _by_rare_words(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows (bucket, text, size, label) dealt to new buckets, each an old bucket and a rare word."""
+def parities(words: np.ndarray) -> np.ndarray:
+    """Whether each of ``PARITIES`` cells holds an odd number of the words, as bits of whole numbers."""
+    counts = np.bincount((words % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
+
+
+def _by_rare_words(rows: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (bucket, text, size, label) dealt to new buckets, each an old bucket and a rare word, with the word's ``rank`` in the text;
+    and the parities of each text."""
     texts = write_once(words.join(rows.select("text").distinct(), "text", "left_semi"), "dealt")
 
     def counted(batches):
@@ -255,12 +268,14 @@ def _by_rare_words(rows: DataFrame, words: DataFrame) -> DataFrame:
 
     def rare(batches):
         for batch in batches:
-            found = [rare_first(w, shared.value).view(np.int64) for w in word_hashes(batch["plain"].tolist())]
-            yield pd.DataFrame({"text": batch["text"], "words": found})
+            found = list(word_hashes(batch["plain"].tolist()))
+            yield pd.DataFrame({"text": batch["text"], "words": [rare_first(w, shared.value).view(np.int64) for w in found],
+                                "parities": [parities(w) for w in found]})
 
-    keys = texts.mapInPandas(rare, "text long, words array<long>")
-    return rows.join(keys, "text").select("bucket", "text", "size", "label", F.explode("words").alias("word")).select(
-        F.xxhash64("bucket", "word").alias("bucket"), "text", "size", "label")
+    keys = write_once(texts.mapInPandas(rare, "text long, words array<long>, parities array<long>"), "keys")
+    dealt = rows.join(keys, "text").select("bucket", "text", "size", "label", F.posexplode("words").alias("rank", "word")).select(
+        F.xxhash64("bucket", "word").alias("bucket"), "text", "size", "label", "rank")
+    return dealt, keys.select("text", "parities")
 
 
 def _both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -270,8 +285,8 @@ def _both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def _links(pairs: DataFrame, signs: DataFrame, words: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those whose texts are similar."""
+def _close(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose counts of words allow a link."""
     def possible(batches):
         for batch in batches:
             if len(batch):
@@ -279,9 +294,14 @@ def _links(pairs: DataFrame, signs: DataFrame, words: DataFrame) -> DataFrame:
                 most = (longer * (1 - SIMILARITY) + 1e-9).astype(np.int64)
                 one, other = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, BAG).astype(np.int64) for c in ("bag_a", "bag_b"))
                 apart = np.abs(one - other).sum(axis=1)
-                near = (longer - batch[["size_a", "size_b"]].min(axis=1).to_numpy() <= most) & (apart <= 2 * most)
+                near = longer - batch[["size_a", "size_b"]].min(axis=1).to_numpy() + apart <= 2 * most
                 yield batch.loc[near, ["a", "b"]]
 
+    return _both(pairs, signs, "size", "bag").mapInPandas(possible, "a long, b long")
+
+
+def _links(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose texts are similar."""
     def aligned(batches):
         for batch in batches:
             kept = []
@@ -291,15 +311,13 @@ def _links(pairs: DataFrame, signs: DataFrame, words: DataFrame) -> DataFrame:
                     kept.append((a, b))
             yield pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
 
-    close = _both(pairs, signs, "size", "bag").mapInPandas(possible, "a long, b long")
-    return _both(close, words, "plain").mapInPandas(aligned, "a long, b long")
+    return _both(pairs, words, "plain").mapInPandas(aligned, "a long, b long")
 
 
 def _leftover(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """bucket, text, size, label, members: rows of the buckets that hold several classes."""
-    labelled = buckets.join(classes.select(F.col("node").alias("text"), "label"), "text", "left").select(
-        "bucket", "text", "size", F.coalesce("label", "text").alias("label"))
-    return _mixed(labelled)
+    """All columns, label, members: rows of the buckets that hold several classes."""
+    labelled = buckets.join(classes.select(F.col("node").alias("text"), "label"), "text", "left")
+    return _mixed(labelled.select(*buckets.columns, F.coalesce("label", "text").alias("label")))
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:
@@ -308,10 +326,19 @@ def _mixed(labelled: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, leaders: DataFrame) -> DataFrame:
-    """(a, b) of members and leaders of a bucket that are in different classes and of like length."""
-    ahead = leaders.select("bucket", F.col("text").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-    met = rows.join(ahead, "bucket").where("a < text and label != label_a").where(_alike("size", "size_a"))
-    return met.select("a", F.col("text").alias("b")).distinct()
+    """(a, b) of members and leaders of a bucket that are in different classes and of like length.
+
+    Rows with ``rank`` and ``parities`` are held to what these say, too.
+    """
+    ahead = leaders.select("bucket", *(F.col(c).alias(f"{c}_a") for c in leaders.columns if c not in ("bucket", "members")))
+    longer = F.greatest("size", "size_a")
+    edits = F.floor(longer * (1 - SIMILARITY) + 1e-9)
+    alike = (F.col("text_a") < F.col("text")) & (F.col("label") != F.col("label_a")) & _alike("size", "size_a")
+    if "rank" in rows.columns:
+        alike &= (F.least(F.col("size") - F.col("rank"), F.col("size_a") - F.col("rank_a")) >= longer - edits)
+        odd = [F.bit_count(F.get("parities", F.lit(i)).bitwiseXOR(F.get("parities_a", F.lit(i)))) for i in range(PARITIES // 64)]
+        alike &= reduce(add, odd) + longer - F.least("size", "size_a") <= 2 * edits
+    return rows.join(ahead, "bucket").where(alike).select(F.col("text_a").alias("a"), F.col("text").alias("b")).distinct()
 
 
 def _classes(base: DataFrame, texts: DataFrame) -> DataFrame:
@@ -325,22 +352,25 @@ def _classes(base: DataFrame, texts: DataFrame) -> DataFrame:
     involved = texts.join(shared.select("text").distinct(), "text", "left_semi").select("digest", F.col("keep_id").alias("doc_id"), "text")
     words = write_once(base.join(involved, (base["digest"] == involved["digest"]) & base["doc_id"].eqNullSafe(involved["doc_id"])).groupBy(
         "text").agg(F.any_value("plain").alias("plain")), "words")
-    links = write_once(_links(pairs, signs, words), "links")
+    links = write_once(_links(_close(pairs, signs), words), "links")
     classes = components(links)
-    left = write_once(_leftover(shared.where("text != a").select("bucket", "text", "size"), classes), "leftover")
-    few, many = left.where(F.col("members") <= FEW), left.where(F.col("members") > FEW).drop("members")
-    dealt = write_once(_mixed(_by_rare_words(many, words)), "rare")
-    pairs = _pairs(few, few).union(_pairs(*[dealt.where(F.col("members") <= FEW)] * 2)).distinct()
-    links = write_once(links.union(_links(pairs, signs, words)), "links")
+    left = write_once(_leftover(shared.where("text != a").select("bucket", "text", "size", "a"), classes), "leftover")
+    few, many = left.where(F.col("members") <= FEW).drop("a"), left.where(F.col("members") > FEW)
+    dealt, marks = _by_rare_words(many.select(F.col("a").alias("bucket"), "text", "size", "label").distinct(), words)
+    dealt = write_once(_mixed(dealt), "rare")
+    marked = dealt.where(F.col("members") <= LEADERS).join(marks, "text")
+    pairs = _close(_pairs(few, few), signs).union(_pairs(marked, marked)).distinct()
+    links = write_once(links.union(_links(pairs, words)), "links")
     classes = components(links)
-    rest = write_once(_leftover(dealt.where(F.col("members") > FEW).select("bucket", "text", "size"), classes), "leftover")
+    columns = ["bucket", "text", "size", "rank"]
+    rest = write_once(_leftover(dealt.where(F.col("members") > LEADERS).select(columns), classes), "leftover")
     while not rest.isEmpty():
         place = Window.partitionBy("bucket").orderBy("text")
         leaders = rest.withColumn("place", F.row_number().over(place)).where(F.col("place") <= LEADERS).drop("place")
-        links = write_once(links.union(_links(_pairs(rest, leaders), signs, words)), "links")
+        links = write_once(links.union(_links(_pairs(rest.join(marks, "text"), leaders.join(marks, "text")), words)), "links")
         classes = components(links)
         past = leaders.groupBy("bucket").agg(F.max("text").alias("past"))
-        rest = write_once(_leftover(rest.join(past, "bucket").where("text > past").select("bucket", "text", "size"), classes), "leftover")
+        rest = write_once(_leftover(rest.join(past, "bucket").where("text > past").select(columns), classes), "leftover")
     return classes
 
 

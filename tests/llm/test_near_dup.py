@@ -220,3 +220,30 @@ def test_linked_texts_share_a_rare_word():
         if plain_distance(a, b) <= nd.allowed(max(len(a), len(b))):
             one, other = (nd.rare_first(np.array(x, np.uint64) * np.uint64(977), counts) for x in (a, b))
             assert set(one.tolist()) & set(other.tolist())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=120), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 200), st.integers(0, 80)), max_size=30),
+       st.integers(0, 5))
+def test_no_link_fails_rank_or_parities(a, edits, seed):
+    """Texts within the allowed edits share a word among their rare ones, at ranks and with parities that the join accepts."""
+    b = list(a)
+    for kind, at, value in edits:
+        if kind == 0 and b:
+            b[at % len(b)] = value
+        elif kind == 1:
+            b.insert(at % (len(b) + 1), value)
+        elif len(b) > 1:
+            del b[at % len(b)]
+    longer, shorter = max(len(a), len(b)), min(len(a), len(b))
+    most = nd.allowed(longer)
+    if nd.distance(a, b, most) is None:
+        return
+    one, other = (nd._mix(np.array(x, np.uint64) + np.uint64(1)) for x in (a, b))
+    counts = np.random.default_rng(seed).integers(1, 50, nd.CELLS)
+    first, second = (nd.rare_first(w, counts).tolist() for w in (one, other))
+    met = [(i, second.index(x)) for i, x in enumerate(first) if x in second]
+    assert any(min(len(a) - i, len(b) - j) >= longer - most for i, j in met)
+    apart = sum(int(x ^ y).bit_count() if x ^ y >= 0 else int((x ^ y) & (2**64 - 1)).bit_count()
+                for x, y in zip(nd.parities(one).tolist(), nd.parities(other).tolist()))
+    assert apart + longer - shorter <= 2 * most
