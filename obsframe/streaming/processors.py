@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
 
 def _moments(us: list[int]) -> pd.Series:
     return pd.Series(pd.to_datetime(us, unit="us", utc=True))
@@ -240,47 +244,64 @@ class SlidingSums(StatefulProcessor):
 class ReplyChunks(StatefulProcessor):
     """The chunks of one reply until its last chunk and all before it are there, or until it has been silent for ``silence`` microseconds.
 
-    Of a chunk sent twice the one with the earlier moment counts; at one moment the one with the smaller text.
+    Of a chunk sent twice the one with the earlier moment counts; at one moment the one with the smaller text. Every call to the state costs
+    a round trip to the JVM, so a reply of up to ``HELD`` chunks is one value, read and written once per batch. Longer ones have a map entry per chunk.
     """
 
+    HELD = 64
+
     def __init__(self, silence: int):
         self.silence = silence
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.chunks = handle.getMapState("chunks", "seq long", "us long, reasoning string, content string")
-        self.seen = handle.getValueState("seen", "last_us long, count long, ends long")  # ends: chunks of a whole reply, or -1
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, count, ends = self.seen.get() if self.seen.exists() else (0, 0, -1)
-        for batch in rows:
-            for seq, us, reasoning, content, is_last in zip(batch.seq.tolist(), batch.us.tolist(), batch.reasoning, batch.content, batch.is_last):
-                found = (us, reasoning or "", content or "")
-                held = tuple(self.chunks.getValue((seq,))) if self.chunks.containsKey((seq,)) else None
-                if held is None or found < held:
-                    self.chunks.updateValue((seq,), found)
-                count += held is None
-                last = max(last, us)
-                ends = max(ends, seq + 1) if is_last else ends
-        self.seen.update((last, count, ends))
-        self._wake(last, count, ends)
+        self.seen = handle.getValueState(  # ends: chunks of a whole reply, or -1
+            "seen", "last_us long, count long, ends long, held array<struct<seq: long, us: long, reasoning: string, content: string>>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last, count, ends, held = self.seen.get() or (0, 0, -1, [])
+        held = {seq: tuple(rest) for seq, *rest in held}
+        for row in rows:
+            found = (row.us, row.reasoning or "", row.content or "")
+            if count > self.HELD:
+                count += self._file(row.seq, found)
+            else:
+                held[row.seq] = min(found, held.get(row.seq, found))
+                count = len(held)
+                if count > self.HELD:
+                    for seq, chunk in held.items():
+                        self.chunks.updateValue((seq,), chunk)
+                    held = {}
+            last = max(last, row.us)
+            ends = max(ends, row.seq + 1) if row.is_last else ends
+        self.seen.update((last, count, ends, [(seq, *chunk) for seq, chunk in held.items()]))
+        self.handle.registerTimer((last if count == ends else last + self.silence) // 1000 + 1)
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.seen.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = self.seen.get()
+        if state is None:
             return
-        last, count, ends = self.seen.get()
+        last, count, ends, held = state
         mark, complete = timerValues.getCurrentWatermarkInMs() * 1000, count == ends
         if mark < (last if complete else last + self.silence):
             return  # chunks came since; they asked for a later call
-        chunks = sorted((k[0], *v[1:]) for k, v in self.chunks.iterator())
-        self.chunks.clear()
+        if count > self.HELD:
+            chunks = sorted((k[0], *v[1:]) for k, v in self.chunks.iterator())
+            self.chunks.clear()
+        else:
+            chunks = sorted((seq, reasoning, content) for seq, _, reasoning, content in held)
         self.seen.clear()
-        yield pd.DataFrame({"response_id": [key[0]], "reasoning": ["".join(c[1] for c in chunks)], "answer": ["".join(c[2] for c in chunks)],
-                            "chunks": [count], "ended_at": _moments([last]), "complete": [complete]})
-
-    def _wake(self, last: int, count: int, ends: int) -> None:
-        self.handle.registerTimer((last if count == ends else last + self.silence) // 1000 + 1)
+        yield Row(response_id=key[0], reasoning="".join(c[1] for c in chunks), answer="".join(c[2] for c in chunks),
+                  chunks=count, ended_at=EPOCH + timedelta(microseconds=last), complete=complete)
+
+    def _file(self, seq: int, found: tuple) -> bool:
+        """Put a chunk into the map; whether its number is new there."""
+        known = tuple(self.chunks.getValue((seq,))) if self.chunks.containsKey((seq,)) else None
+        if known is None or found < known:
+            self.chunks.updateValue((seq,), found)
+        return known is None
 
     def close(self) -> None:
         pass

@@ -139,7 +139,7 @@ def stream_replies(deltas: DataFrame, watermark: str, silence: str = "10m") -> D
     rows = deltas.select("response_id", F.col("seq").cast("long").alias("seq"), "ts", F.unix_micros("ts").alias("us"), "reasoning", "content",
                          F.coalesce("is_last", F.lit(False)).alias("is_last")).withWatermark("ts", interval(watermark))
     schema = f"response_id {kind}, reasoning string, answer string, chunks long, ended_at timestamp, complete boolean"
-    return rows.groupBy("response_id").transformWithStateInPandas(
+    return rows.groupBy("response_id").transformWithState(
         ReplyChunks(round(parse_duration(silence).total_seconds() * 1_000_000)), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 

@@ -6,12 +6,14 @@ from datetime import datetime, timedelta
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from obsframe.operators import agents, metrics
 from obsframe.sources.files import stream_table
 from obsframe.sources.sinks import read_latest
 from obsframe.streaming import streams as s
+from obsframe.streaming.processors import ReplyChunks
 
 START = datetime(2024, 1, 1)
 SCHEMA = "k string, ts timestamp, value double, status int"
@@ -212,6 +214,44 @@ def test_replies_wait_for_their_last_chunk(spark, tmp_path):
     assert [r[0] for r in state.select("key.response_id").collect()] == ["end"]
 
 
+def test_a_reply_costs_a_fixed_number_of_state_calls():
+    calls = []
+
+    class Values:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    values, chunks = Values(), SimpleNamespace()  # the map has no methods: a short reply must not touch it
+    handle = SimpleNamespace(getMapState=lambda *a: chunks, getValueState=lambda *a: values, registerTimer=lambda ms: calls.append("timer"))
+    reply = ReplyChunks(600_000_000)
+    reply.init(handle)
+    rows = [Row(seq=i % 30, us=i, reasoning=None, content=str(i), is_last=i == 29) for i in range(60)]
+    list(reply.handleInputRows(("r",), iter(rows), None))
+    assert calls == ["get", "update", "timer"]
+    assert values.value[:3] == (59, 30, 30) and [c[3] for c in values.value[3]] == [str(i) for i in range(30)]
+
+
+def test_long_replies_go_on_in_the_map(spark, tmp_path):
+    at = lambda x: START + timedelta(seconds=x)
+    long = [("long", i, at(i), None, f"{i},", i == 149) for i in range(150)]
+    again = [("long", i, at(i + 1), None, "late", False) for i in (3, 70, 120)] + [("long", 90, at(0), None, "90;", False)]
+    edge = [("edge", i, at(i), None, f"{i},", i == ReplyChunks.HELD - 1) for i in range(ReplyChunks.HELD)]
+    files = [long[40:100] + edge[:10], long[:40] + again[:1], again[3:] + edge[10:], long[100:] + again[1:3],
+             [("end", 0, START + timedelta(days=1), None, "", False)]]
+    stream_ = s.stream_replies(write_files(spark, str(tmp_path / "in"), DELTA, files), "5m")
+    got = {r.response_id: (r.answer, r.chunks, r.ended_at, r.complete) for r in run(spark, tmp_path, stream_).collect()}
+    whole = lambda n: "".join(f"{i}," for i in range(n))
+    assert got == {"long": (whole(150).replace(",90,", ",90;"), 150, at(149), True),
+                   "edge": (whole(ReplyChunks.HELD), ReplyChunks.HELD, at(ReplyChunks.HELD - 1), True)}
+
+
 def test_late_rows_are_counted_over_many_batches_and_runs(spark, tmp_path):
     path, folder = str(tmp_path / "in"), str(tmp_path / "late")
     counter = s.LateRows(spark, folder)
