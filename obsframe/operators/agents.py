@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from obsframe.functions.units import interval, parse_duration
-from obsframe.plans.slices import SLICE, last_rows, lookup_join, scan, settle, slice_by, slice_once, unslice
+from obsframe.plans.slices import SLICE, WHOLE_BYTES, last_rows, lookup_join, scan, settle, slice_by, slice_once, unslice
 
 CONTEXT_TURNS = 5  # fixed value: earlier turns given to the model
 
@@ -203,7 +203,7 @@ def in_flight(requests: DataFrame, every: str, start: str = "start", end: str =
     known = requests.where(F.col(start).isNotNull()).select(micros(start).alias("from"), micros(end).alias("to")).where("to is null or to > from")
     moves = known.select(F.explode(F.array(
         F.struct(F.col("from").alias("at"), F.lit(1).alias("step")), F.struct(F.col("to").alias("at"), F.lit(-1).alias("step")))).alias("m")).select("m.*")
-    steps = settle(moves.where("at is not null").groupBy("at").agg(F.sum("step").alias("step")), slices)
+    steps = settle(moves.where("at is not null").groupBy("at").agg(F.sum("step").alias("step")), slices, WHOLE_BYTES)
     held = scan(steps, [], ["at"], sums={"live": F.col("step")}, following={"until": F.col("at")}, slices=slices)
     window = lambda c: F.floor(c / F.lit(width))
     spans = held.select("live", F.explode(F.sequence(window(F.col("at")), window(F.coalesce(F.col("until") - 1, F.col("at"))))).alias("w"))

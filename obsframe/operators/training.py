@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from obsframe.functions.text import mask_for, pad_to
-from obsframe.plans.slices import attach, lookup_join, scan, settle
+from obsframe.plans.slices import WHOLE_BYTES, attach, lookup_join, scan, settle
 
 SEQUENCE_LENGTH = 512  # fixed value: ids per example
 PAD_ID, UNKNOWN_ID, FIRST_WORD_ID = 0, 1, 2
@@ -69,7 +69,7 @@ def build_vocab(df: DataFrame, text: str = "text", slices: int | None = None) ->
     """Words with ids by falling frequency, then by word. Ids 0 and 1 are reserved."""
     spread = df.select(F.explode(F.split(F.lower(text), r"\s+")).alias("word")).where(F.col("word") != "")
     counts = spread.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    ordered = settle(counts.withColumn("__rare", -F.col("n")), slices)
+    ordered = settle(counts.withColumn("__rare", -F.col("n")), slices, WHOLE_BYTES)
     ranked = scan(ordered, [], ["__rare", "word"], sums={"id": F.lit(1)}, slices=slices)
     return ranked.select("word", "n", (F.col("id") + FIRST_WORD_ID - 1).alias("id"))
 

@@ -29,6 +29,7 @@ EDGE = "__edge"
 PARTIAL = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 SLICE_BYTES = 128 * 1024 * 1024
+WHOLE_BYTES = 8 * 1024 * 1024  # without keys no slice is spared: all rows go into one task or into slices
 MOST_SLICES = 16384
 SAMPLED_BYTES = 8 * SLICE_BYTES  # tables from this size on are sampled for their cuts
 SAMPLE_PER_SLICE = 640_000  # bytes of input
@@ -38,7 +39,7 @@ FIRST, LAST = -1e308, 1e308  # places of null and of NaN; infinite values lie ri
 FIXED_ZONES = ("UTC", "Etc/UTC", "GMT", "Z")  # no clock changes, so a cast keeps the order
 
 
-def slice_count(df: DataFrame, slices: int | None = None) -> int:
+def slice_count(df: DataFrame, slices: int | None = None, size_each: int = SLICE_BYTES) -> int:
     """Slices wanted for ``df``: the argument, the session's setting, or by size."""
     spark = df.sparkSession
     fixed = slices or spark.conf.get("spark.obsframe.slices", None)
@@ -47,7 +48,7 @@ def slice_count(df: DataFrame, slices: int | None = None) -> int:
     size = _size(df)
     if size >= UNKNOWN_BYTES:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(ceil(size / SLICE_BYTES), MOST_SLICES))
+    return max(1, min(ceil(size / size_each), MOST_SLICES))
 
 
 def _size(df: DataFrame) -> int:
@@ -72,7 +73,7 @@ def slice_by(df: DataFrame, keys: list[str], order: list[str], slices: int | Non
     """
     if SLICE in df.columns:
         return df
-    count = slice_count(df, slices)
+    count = slice_count(df, slices, SLICE_BYTES if keys else WHOLE_BYTES)
     if count == 1:
         return df
     rows = df
@@ -157,12 +158,12 @@ def _bucket(df: DataFrame, column: str, edges: set[float], name: str) -> DataFra
     return cut.withColumn(name, F.col(name).cast("int"))
 
 
-def settle(df: DataFrame, slices: int | None = None) -> DataFrame:
-    """Write a costly intermediate table once, if it will be read in slices.
+def settle(df: DataFrame, slices: int | None = None, size_each: int = SLICE_BYTES) -> DataFrame:
+    """Write a costly intermediate table once, if it will be read in slices (``WHOLE_BYTES`` for a scan without keys).
 
     Finding cuts, summarizing and the final pass each read their input.
     """
-    return df if slice_count(df, slices) == 1 else write_once(df, "settled")
+    return df if slice_count(df, slices, size_each) == 1 else write_once(df, "settled")
 
 
 def unslice(df: DataFrame) -> DataFrame:

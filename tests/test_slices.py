@@ -143,6 +143,17 @@ def test_slice_count_follows_size(spark, tmp_path):
     assert slice_count(spark.read.parquet(path), 6) == 6
 
 
+def test_a_table_without_keys_is_cut_long_before_its_rows_fill_a_task(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3_000_000).selectExpr("xxhash64(id) at", "1 step").write.parquet(path)
+    rows = spark.read.parquet(path)
+    parts = slice_by(rows, [], ["at"]).groupBy(SLICE).count().agg(F.max("count"), F.count("count")).first()
+    assert parts[1] >= 3 and parts[0] <= 1_300_000
+    assert SLICE not in slice_by(rows, ["step"], ["at"]).columns
+    last = scan(rows, [], ["at"], sums={"live": F.col("step")}).orderBy(F.desc("at")).first()
+    assert last["live"] == 3_000_000
+
+
 def test_without_hot_keys_the_plan_stays_plain(spark):
     rows = spark.range(1000).selectExpr("id % 100 k", "id p")
     assert SLICE not in slice_by(rows, ["k"], ["p"], 20).columns
