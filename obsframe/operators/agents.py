@@ -177,7 +177,7 @@ def pool_usage(df: DataFrame, key: str, ts: str = "ts", cooldown: str = "600s",
     steps = sessions.select(F.explode(F.array(
         F.struct(F.col("start").alias("ts"), F.lit(1).alias("step")),
         F.struct((F.col("end") + hold).alias("ts"), F.lit(-1).alias("step")))).alias("s")).select("s.*")
-    moments = settle(steps.groupBy("ts").agg(F.sum("step").alias("step")), slices)
+    moments = settle(steps.groupBy("ts").agg(F.sum("step").alias("step")), slices, WHOLE_BYTES)
     out = scan(moments, [], ["ts"], sums={"live": F.col("step")}, slices=slices)
     return out.select("ts", "live", (F.col("live") > most).alias("over_limit"),
                       F.greatest(F.col("live") - ready, F.lit(0)).alias("beyond_ready"))
