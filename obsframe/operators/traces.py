@@ -5,12 +5,14 @@ A span whose parent is null, or is not in its trace, is a root.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from obsframe.plans.slices import attach, scan, slice_count, summarize
 from obsframe.session import write_once
 
+FAMILY = 64  # spans of a trace that are held beside each of them
 
 def sample_traces(spans: DataFrame, percent: float) -> DataFrame:
     """Keep about ``percent`` of the traces, each whole or not at all. A filter, no shuffle."""
@@ -50,14 +52,38 @@ def span_performance(spans: DataFrame, by: tuple[str, ...] = ("service", "operat
 def trace_timeline(spans: DataFrame, slices: int | None = None) -> DataFrame:
     """Each span with its offset from the trace's start and its depth.
 
-    Depth is null where a span hangs below a cycle.
+    Depth is null where a span hangs below a cycle. In traces of up to ``FAMILY`` spans a span finds its ancestors beside itself, so they
+    are shuffled once; only larger traces are joined with themselves.
     """
     slices = slice_count(spans, slices)
-    timed = scan(spans, ["trace_id"], ["span_id"], totals={"trace_start": ("min", F.col("start_us"))}, slices=slices)
-    depths = _depth_below(spans, slices).withColumnRenamed("span_id", "parent_id")
-    out = attach(timed, depths, ["trace_id", "parent_id"], slices=slices)
-    return out.withColumn("offset_us", F.col("start_us") - F.col("trace_start")).withColumn(
-        "depth", F.when(F.col("known").isNull(), F.lit(0)).otherwise(F.col("below"))).drop("known", "below", "trace_start")
+    timed = scan(spans, ["trace_id"], ["span_id"], slices=slices, totals={
+        "trace_start": ("min", F.col("start_us")), "__spans": ("count", F.lit(1))})
+    is_large = F.col("__spans") > FAMILY
+    out = _walk(timed.where(~is_large))
+    sizes = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("__spans"))
+    large = write_once(sizes.where(is_large).select("trace_id"), "large")
+    if not large.isEmpty():
+        rows = write_once(spans.select("trace_id", "span_id", "parent_id").join(large, "trace_id", "left_semi"), "large")
+        depths = _depth_below(rows, slices).withColumnRenamed("span_id", "parent_id")
+        found = attach(timed.where(is_large), depths, ["trace_id", "parent_id"], slices=slices)
+        out = out.unionByName(found.withColumn("depth", F.when(F.col("known").isNull(), F.lit(0)).otherwise(F.col("below"))).drop("known", "below"))
+    return out.select(*spans.columns, (F.col("start_us") - F.col("trace_start")).alias("offset_us"), "depth")
+
+
+def _walk(timed: DataFrame) -> DataFrame:
+    """Add ``depth``: steps up to a span whose parent is not in the trace, or null if as many steps as the trace has spans do not end there."""
+    family = F.collect_list(F.struct("span_id", "parent_id")).over(Window.partitionBy("trace_id"))
+    # no one is the child of a null trace's spans
+    first = F.struct(F.when(F.col("trace_id").isNotNull(), F.col("parent_id")).alias("up"), F.lit(0).alias("depth"))
+
+    def step(at: Column, _: Column) -> Column:
+        parent = F.get(F.filter("__family", lambda s: s["span_id"] == at["up"]), F.lit(0))
+        return F.when(at["up"].isNull(), at).otherwise(F.struct(
+            parent["parent_id"].alias("up"), (at["depth"] + F.when(parent.isNull(), 0).otherwise(1)).alias("depth")))
+
+    top = F.aggregate("__family", first, step)
+    return timed.withColumn("__family", family).withColumn("__top", top).withColumn(
+        "depth", F.when(F.col("__top.up").isNull(), F.col("__top.depth"))).drop("__family", "__top")
 
 
 def _depth_below(spans: DataFrame, slices: int | None) -> DataFrame:

@@ -28,6 +28,19 @@ def test_depth_of_chains_stars_orphans_and_cycles(spark, slices):
     assert got["u", 2].depth == 1 and got["u", 2].offset_us == 1 and got["t", 40].offset_us == 39
 
 
+def test_small_traces_are_not_joined(spark, slices, monkeypatch):
+    links = [(1, None), (2, 1), (3, 2), (4, 99), (5, 4), (6, 7), (7, 6), (8, 7), (9, 9), (10, 9)]
+    df = spans(spark, links).unionByName(spans(spark, [(1, None), (2, 1), (3, 1)], "u")).unionByName(spans(spark, [(1, None), (2, 1)], None))
+    out = traces.trace_timeline(df, slices=slices)
+    assert slices > 1 or "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.trace_id, r.span_id): r.depth for r in out.collect()}
+    assert got == {**{("t", i + 1): d for i, d in enumerate([0, 1, 2, 0, 1, None, None, None, None, None])},
+                   ("u", 1): 0, ("u", 2): 1, ("u", 3): 1, (None, 1): 0, (None, 2): 0}
+    monkeypatch.setattr(traces, "FAMILY", 1)
+    joined = traces.trace_timeline(df, slices=slices)
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, out.collect()))
+
+
 def test_edges_and_self_time(spark):
     df = spans(spark, [(1, None), (2, 1), (4, 1), (3, 2), (5, 77)])
     got = {(r.caller, r.callee): (r.calls, r.mean_us) for r in traces.service_edges(df).collect()}
