@@ -125,6 +125,27 @@ def test_odd_tables(documents, rows):
     assert nd.near_duplicates(documents([])).count() == nd.drop_near_duplicates(documents([])).count() == 0
 
 
+def test_more_links_only_work_on_what_they_join(spark, monkeypatch):
+    from obsframe.llm import components as c
+    table = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    first = [(1, 2), (2, 3), (10, 11), (20, 21), (21, 22)]
+    more = [(3, 10), (10, 2), (30, 31), (31, 40), (22, 50), (20, 22), (7, 8)]
+    classes, whole, worked = c.components(table(first)), c.components, []
+    monkeypatch.setattr(c, "components", lambda links: whole(links) if worked.append(links.where("a != b").count()) else whole(links))
+    groups = lambda found: sorted(sorted(r[0]) for r in found.groupBy("label").agg({"node": "collect_list"}).select(
+        "collect_list(node)").collect())
+    got = c.extend(classes, table(more))
+    assert groups(got) == [[1, 2, 3, 10, 11], [7, 8], [20, 21, 22, 50], [30, 31, 40]] == groups(whole(table(first + more)))
+    assert worked == [len(more) - 1]
+    assert groups(c.extend(classes, table(more).limit(0))) == groups(classes)
+
+
+def test_numbered_words_count_in_parities():
+    once, thrice = (np.array([7] * n + [9], np.uint64) * np.uint64(977) for n in (1, 3))
+    assert sum((int(x) & (2**64 - 1)).bit_count() for x in nd.parities(once) ^ nd.parities(thrice)) == 2
+    assert not nd.parities(np.zeros(0, np.uint64)).any()
+
+
 def test_components(spark):
     draw = random.Random(2)
     path = [(i, i + 1) for i in range(0, 60)]
