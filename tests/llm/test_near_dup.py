@@ -140,6 +140,81 @@ def test_more_links_only_work_on_what_they_join(spark, monkeypatch):
     assert groups(c.extend(classes, table(more).limit(0))) == groups(classes)
 
 
+def test_rare_words_are_counted_in_few_rows(spark, monkeypatch):
+    """A task passes on sums for parts of the cells, not a row for each word; tasks without texts pass on nothing."""
+    draw = random.Random(3)
+    texts = [" ".join(f"w{draw.randrange(4000)}" for _ in range(300)) for _ in range(200)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "text long, plain string").repartition(4)
+    wanted = np.zeros(nd.CELLS, np.int64)
+    for found in nd.word_hashes(texts):
+        np.add.at(wanted, (found % np.uint64(nd.CELLS)).astype(np.int64), 1)
+    made, whole = [], type(table).mapInPandas
+
+    def watched(frame, *args):
+        made.append(whole(frame, *args))
+        return made[-1]
+
+    monkeypatch.setattr(type(table), "mapInPandas", watched)
+    assert (nd._word_counts(table) == wanted).all()
+    assert len(made) == 1 and made[0].count() <= 4 * nd.CELLS // nd.PART < np.count_nonzero(wanted)
+    assert not nd._word_counts(table.where("text < 0")).any()
+    assert nd._word_counts(table.where("text = 7")).sum() == 300
+
+
+def test_texts_of_many_buckets_are_dealt_out_once(documents, rows, monkeypatch):
+    """However many large buckets a text is in, it gets a row for each of its rare words, and classes stay whole."""
+    draw, passage = random.Random(12), [f"p{i}" for i in range(40)]
+    docs = [(i, " ".join(passage + [f"v{draw.randrange(60)}" for _ in range(15)])) for i in range(60)]
+    docs += [(100 + i, " ".join(words(t)[:-2] + ["x", f"y{i}"])) for i, t in docs[:12]]
+    monkeypatch.setattr(nd, "FEW", 2)
+    dealt, whole = [], nd._by_rare_words
+
+    def watched(*args):
+        found = whole(*args)
+        dealt.append(found[0])
+        return found
+
+    monkeypatch.setattr(nd, "_by_rare_words", watched)
+    assert rows(nd.near_duplicates(documents(docs))) == brute(docs)
+    per_text = [(r["size"], r["count"]) for r in dealt[0].groupBy("text", "size").count().collect()]
+    assert len(per_text) > 30
+    assert all(n == nd.allowed(size) + 1 for size, n in per_text)
+
+
+def test_texts_stay_with_others_of_like_length_and_another_class(spark):
+    draw = random.Random(4)
+    table = [(draw.randrange(40), i, draw.randrange(1, 400), draw.randrange(3) if i % 2 else i, 0) for i in range(400)]
+    met = nd._met(spark.createDataFrame(table, "bucket long, text long, size int, label long, rank int")).collect()
+    kept = {r["text"] for r in met}
+    for one in table:
+        mates = [x for x in table if x[0] == one[0] and x[3] != one[3]]
+        if any(max(x[2], one[2]) - min(x[2], one[2]) <= nd.allowed(max(x[2], one[2])) for x in mates):
+            assert one[1] in kept
+        elif not any(max(x[2], one[2]) <= 1.6 * min(x[2], one[2]) for x in mates):
+            assert one[1] not in kept
+    assert all(r["members"] == sum(x["bucket"] == r["bucket"] for x in met) for r in met)
+
+
+@pytest.mark.parametrize("earlier", [1, 4, 32])
+def test_pairs_of_many_common_words_are_made_once(spark, monkeypatch, earlier):
+    """Texts that share many rare words meet in the bucket of the first; the fewer words are looked back at, the more often again."""
+    monkeypatch.setattr(nd, "EARLIER", earlier)
+    draw = random.Random(7)
+    prefixes = {i: sorted(draw.sample(range(60), 20)) for i in range(30)}
+    table = [(w, i, 90, i, rank) for i, found in prefixes.items() for rank, w in enumerate(found)]
+    none = [0] * (nd.PARITIES // 64)
+    rows = spark.createDataFrame(table, "bucket long, text long, size int, label long, rank int")
+    keys = spark.createDataFrame([(i, found, none) for i, found in prefixes.items()], "text long, words array<long>, parities array<long>")
+    marked = nd._marked(rows, keys)
+    wanted = {(i, j) for i in prefixes for j in prefixes if i < j
+              if any(max(prefixes[i].index(w), prefixes[j].index(w)) <= nd.allowed(90) for w in set(prefixes[i]) & set(prefixes[j]))}
+    made, whole = [], type(rows).distinct
+    monkeypatch.setattr(type(rows), "distinct", lambda frame: whole(frame) if made.append(frame.count()) is None else None)
+    found = {(r["a"], r["b"]) for r in nd._pairs(marked, marked).collect()}
+    assert found == wanted
+    assert made[0] == len(wanted) if earlier == 32 else made[0] > len(wanted)
+
+
 def test_numbered_words_count_in_parities():
     once, thrice = (np.array([7] * n + [9], np.uint64) * np.uint64(977) for n in (1, 3))
     assert sum((int(x) & (2**64 - 1)).bit_count() for x in nd.parities(once) ^ nd.parities(thrice)) == 2
