@@ -12,11 +12,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import NumericType
 
 from obsframe.functions.units import interval, parse_duration
 from obsframe.sources.manifests import get_text, put_text
 from obsframe.sources.sinks import compact, upsert_latest
-from obsframe.streaming.processors import AgentTurns, CounterDeltas, OrderedTurns, ReplyChunks, SlidingSums
+from obsframe.streaming.processors import DONE, AgentTurns, CounterDeltas, OrderedTurns, PassedReplies, ReplyBuckets, SlidingSums
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -128,19 +129,32 @@ def _last_turns(saved: DataFrame, recent: int) -> DataFrame:
     return found.withColumn("turns", F.slice("turns", -F.least(F.size("turns"), F.lit(recent)), F.lit(recent)))
 
 
-def stream_replies(deltas: DataFrame, watermark: str, silence: str = "10m") -> DataFrame:
+def stream_replies(deltas: DataFrame, watermark: str, silence: str = "10m", buckets: int = 2048) -> DataFrame:
     """One row per reply, once its last chunk and all before it are there and the watermark has passed them.
 
     A reply may pause for as long as ``silence``; one that stays silent longer goes out as it is, not ``complete``. Of a chunk that came
     twice with different text the one with the earlier ``ts`` counts, at one moment the smaller text. A reply's state is gone once it is out.
+
+    Replies that come whole within a batch wait together in ``buckets``, whose number belongs to the checkpoint; all others have a state of their own.
     """
     _use_rocksdb(deltas.sparkSession)
-    kind = deltas.schema["response_id"].dataType.simpleString()
-    rows = deltas.select("response_id", F.col("seq").cast("long").alias("seq"), "ts", F.unix_micros("ts").alias("us"), "reasoning", "content",
-                         F.coalesce("is_last", F.lit(False)).alias("is_last")).withWatermark("ts", interval(watermark))
-    schema = f"response_id {kind}, reasoning string, answer string, chunks long, ended_at timestamp, complete boolean"
-    return rows.groupBy("response_id").transformWithState(
-        ReplyChunks(round(parse_duration(silence).total_seconds() * 1_000_000)), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    field, pause = deltas.schema["response_id"], round(parse_duration(silence).total_seconds() * 1_000_000)
+    kind = field.dataType.simpleString()
+    text = "string" if isinstance(field.dataType, NumericType) else kind  # pandas would turn whole numbers beside a null into floats
+    rows = deltas.select(F.when(F.isnotnull("response_id"), F.pmod(F.xxhash64("response_id"), F.lit(buckets)).cast("int")).otherwise(-1).alias("bucket"),
+                         F.col("response_id").cast(text).alias("reply"), F.col("seq").cast("long").alias("seq"), "ts", F.unix_micros("ts").alias("us"),
+                         "reasoning", "content", F.coalesce("is_last", F.lit(False)).alias("is_last")).withWatermark("ts", interval(watermark))
+    lists = "reasonings array<string>, answers array<string>, counts array<bigint>, ended_us array<bigint>"
+    passed = rows.groupBy("bucket").transformWithStateInPandas(
+        ReplyBuckets(pause), outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts",
+        outputStructType=f"reply {text}, bucket int, whole boolean, ts timestamp, seq bigint, us bigint, reasoning string, content string, is_last boolean, "
+                         f"ids array<{text}>, {lists}")
+    done = passed.withColumns({"response_id": F.col("reply").cast(kind), "ids": F.col("ids").cast(f"array<{kind}>")}).drop("reply").groupBy(
+        "response_id", "bucket", "whole").transformWithState(
+        PassedReplies(pause), outputMode="Append", timeMode="EventTime", outputStructType=f"ids array<{kind}>, {lists}, complete boolean")
+    return done.select("complete", F.inline(F.arrays_zip(*DONE))).select(
+        F.col("ids").alias("response_id"), F.col("reasonings").alias("reasoning"), F.col("answers").alias("answer"), F.col("counts").alias("chunks"),
+        F.timestamp_micros("ended_us").alias("ended_at"), "complete")
 
 
 def stream_delta_assembly(deltas: DataFrame, watermark: str, timeout: str = "90s", segment: int = 10_000) -> DataFrame:

@@ -5,6 +5,7 @@ import time
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from obsframe.operators import agents, metrics
 from obsframe.sources.files import stream_table
 from obsframe.sources.sinks import read_latest
 from obsframe.streaming import streams as s
-from obsframe.streaming.processors import ReplyChunks
+from obsframe.streaming.processors import DONE, PassedReplies, ReplyBuckets, ReplyChunks
 
 START = datetime(2024, 1, 1)
 SCHEMA = "k string, ts timestamp, value double, status int"
@@ -252,6 +253,101 @@ def test_long_replies_go_on_in_the_map(spark, tmp_path):
                    "edge": (whole(ReplyChunks.HELD), ReplyChunks.HELD, at(ReplyChunks.HELD - 1), True)}
 
 
+def test_whole_replies_share_their_state(spark, tmp_path):
+    at = lambda x: START + timedelta(seconds=x)
+    wide = DELTA.replace("response_id string", "response_id bigint")
+    ids = [None, *range(2**60, 2**60 + 200)]
+    first = [(i, seq, at(60 * seq), f"r{seq}", f"{i}/{seq},", seq == 2) for i in ids for seq in (2, 0, 1)]
+    # one chunk turns out to have come earlier, one comes after the last, one is the first of a reply that stays open
+    second = [(2**60, 1, at(59), None, "early,", False), (2**60 + 1, 3, at(130), None, "more", False), (7, 0, at(100), None, "open", False)]
+    source = write_files(spark, str(tmp_path / "in"), wide, [first, second, [(8, 0, START + timedelta(days=1), None, "", False)]])
+    stream_ = s.stream_replies(source, "5m", buckets=4)
+    query = s.stream_to_files(stream_, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    rows = spark.read.schema(stream_.schema).parquet(str(tmp_path / "out")).collect()
+    got = {r.response_id: (r.reasoning, r.answer, r.chunks, r.ended_at, r.complete) for r in rows}
+    want = {i: ("r0r1r2", f"{i}/0,{i}/1,{i}/2,", 3, at(120), True) for i in ids}
+    want[2**60] = ("r0r2", f"{2**60}/0,early,{2**60}/2,", 3, at(120), True)
+    want[2**60 + 1] = ("r0r1r2", want[2**60 + 1][1] + "more", 4, at(130), False)
+    assert got == {**want, 7: ("", "open", 1, at(100), False)} and len(rows) == len(got)
+    timers = sum(state["customMetrics"]["numRegisteredTimers"] for step in query.recentProgress for state in step["stateOperators"])
+    assert 0 < timers < 30
+
+
+class Keyed:
+    """A keyed processor with its state in memory, run batch by batch."""
+
+    def __init__(self, processor):
+        self.processor, self.values, self.timers, self.key = processor, {}, set(), None
+        processor.init(self)
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.values.get((self.key, name)), clear=lambda: self.values.pop((self.key, name), None),
+                               update=lambda value: self.values.update({(self.key, name): value}))
+
+    def getMapState(self, name, *schemas):
+        held = lambda: self.values.setdefault((self.key, name), {})
+        return SimpleNamespace(containsKey=lambda k: k in held(), getValue=lambda k: held()[k], updateValue=lambda k, v: held().update({k: v}),
+                               iterator=lambda: iter(list(held().items())), clear=lambda: self.values.pop((self.key, name), None))
+
+    def registerTimer(self, ms):
+        self.timers.add((ms, self.key))
+
+    def batch(self, groups, mark):
+        times, out = SimpleNamespace(getCurrentWatermarkInMs=lambda: mark // 1000), []
+        for self.key, rows in groups.items():
+            out += self.processor.handleInputRows(self.key, iter(rows), times)
+        for timer in sorted((t for t in self.timers if t[0] * 1000 < mark), key=lambda t: t[0]):
+            self.key = timer[1]
+            out += self.processor.handleExpiredTimer(self.key, times, None)
+            self.timers.discard(timer)
+        return out
+
+
+def test_where_a_reply_is_held_does_not_show(monkeypatch):
+    monkeypatch.setattr(ReplyChunks, "HELD", 3)
+    monkeypatch.setattr(ReplyBuckets, "PACK", 2)
+    second, seen = 1_000_000, set()
+    fields = ["reply", "seq", "us", "reasoning", "content", "is_last"]
+
+    def groups(chunks, key, form):
+        out = {}
+        for c in chunks:
+            out.setdefault(key(c), []).append(c)
+        return {k: form(v) for k, v in out.items()}
+
+    for seed in range(100):
+        rng = random.Random(seed)
+        alone, first, then = Keyed(ReplyChunks(6 * second)), Keyed(ReplyBuckets(6 * second)), Keyed(PassedReplies(6 * second))
+        chunks = []
+        for reply in range(8):
+            size, start = rng.randint(1, 5), rng.randint(0, 30)
+            for seq in range(size + rng.choice([0, 0, 0, 1])):
+                for _ in range(rng.choice([0, 1, 1, 1, 1, 1, 2])):
+                    chunks.append((reply, seq, (start + rng.randint(0, 4)) * second, rng.choice([None, "r", "s"]), rng.choice("xyz"), seq == size - 1))
+        spread = rng.choice([0, 2, 12])
+        chunks.sort(key=lambda c: c[2] // second + rng.randint(0, spread))
+        top, late = 0, second // 2  # never at the very moment at which a reply may go out
+        while chunks or late < 100 * second:
+            mark = max(late, top - 5 * second - second // 2) if chunks or rng.random() < 0.5 else late + 7 * second
+            size = rng.choice([1, 4, 20])
+            now, chunks = chunks[:size], chunks[size:]
+            top = max([top, *(c[2] for c in now)])
+            now = [c for c in now if c[2] > late]
+            want = alone.batch(groups(now, lambda c: (c[0],), lambda v: [Row(**dict(zip(fields, c))) for c in v]), mark)
+            frames = first.batch(groups(now, lambda c: (c[0] % 2,), lambda v: [pd.DataFrame(v[i:i + 3], columns=fields) for i in range(0, len(v), 3)]), mark)
+            rows = [Row(**r) for f in frames for r in f.to_dict("records")]
+            assert all(r.ts.value // 1000 > mark for r in rows)
+            seen |= {r.whole for r in rows}
+            packed = then.batch(groups(rows, lambda r: (r.reply, r.bucket, r.whole), list), mark)
+            got = [(*values, p.complete) for p in packed for values in zip(*(p[name] for name in DONE))]
+            moment = lambda r: round(r.ended_at.timestamp() * second)
+            assert sorted(got) == sorted((r.response_id, r.reasoning, r.answer, r.chunks, moment(r), r.complete) for r in want)
+            late = mark
+        assert not alone.values and not then.values and not first.values
+    assert seen == {True, False}
+
+
 def test_late_rows_are_counted_over_many_batches_and_runs(spark, tmp_path):
     path, folder = str(tmp_path / "in"), str(tmp_path / "late")
     counter = s.LateRows(spark, folder)
