@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 DONE = ["ids", "reasonings", "answers", "counts", "ended_us"]  # finished replies, packed into arrays
-PASSED = ["reply", "bucket", "whole", "ts", "seq", "us", "reasoning", "content", "is_last", *DONE]  # what goes from ReplyBuckets to PassedReplies
+PASSED = ["reply", "bucket", "ts", "seq", "us", "reasoning", "content", "is_last", "done"]  # what goes from ReplyBuckets to PassedReplies
 
 
 def _moments(us: list[int]) -> pd.Series:
@@ -312,83 +312,94 @@ class ReplyChunks(StatefulProcessor):
 
 
 class ReplyBuckets(StatefulProcessor):
-    """Replies that came whole wait here for the watermark, all of a bucket as one state value; the chunks of all others are passed on.
+    """Replies wait here until they are whole and the watermark has passed them, all of a bucket as one state value.
 
-    A key of its own costs a reply eight round trips to the JVM and an Arrow batch; in a bucket many replies share them. A reply that is not whole at
-    the end of a batch, or has more than ``ReplyChunks.HELD`` chunks, goes on to ``ReplyChunks``, and so does every later chunk of it: its number is
-    remembered for longer than that operator can hold it. Either operator merges chunks alike, so where a reply is held does not show in its row.
+    A key of its own costs a reply eight round trips to the JVM and an Arrow batch; in a bucket many replies share them. A reply that is still open and
+    got no chunk when the watermark next moves on, or that has more than ``ReplyChunks.HELD`` chunks, goes on to ``ReplyChunks``, and so does every later
+    chunk of it: its id is remembered for longer than that operator can hold it. Either operator merges chunks alike and both see the same
+    watermark, so where a reply is held does not show in its row.
     """
 
     PACK = 1000  # whole replies in one row
 
     def __init__(self, silence: int):
-        self.linger = silence + 1_000_000
+        self.silence, self.linger = silence, silence + 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # pickled: {reply: (last_us, ends, {seq: (us, reasoning, content)})} of whole replies, {reply: last_us} of those passed on
+        # pickled: {reply: [last_us, ends, {seq: (us, reasoning, content)}, watermark at its last chunk]}, {reply: last_us} of those passed on
         self.state = handle.getValueState("waiting", "replies binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         held, passed = self._load()
-        touched = set()
         for batch in rows:
             on = []
             numbers = (batch[c].astype("int64").tolist() for c in ("seq", "us"))  # a null is an error here, never a float
-            for reply, seq, us, *texts, is_last in zip(batch.reply.tolist(), *numbers, batch.reasoning, batch.content, batch.is_last):
-                found = (us, *(t or "" for t in texts))
+            others = (batch[c].tolist() for c in ("reply", "reasoning", "content", "is_last"))
+            for seq, us, reply, reasoning, content, is_last in zip(*numbers, *others):
+                found = (us, reasoning or "", content or "")
                 if reply in passed:
                     passed[reply] = max(passed[reply], us)
                     on.append((reply, seq, *found, is_last))
                     continue
-                last, ends, chunks = held.get(reply) or (us, -1, {})
-                chunks[seq] = min(found, chunks.get(seq, found))
-                held[reply] = (max(last, us), max(ends, seq + 1) if is_last else ends, chunks)
-                touched.add(reply)
+                state = held.get(reply)
+                if state is None:
+                    state = held[reply] = [us, -1, {}, mark]
+                chunks = state[2]
+                if seq not in chunks or found < chunks[seq]:
+                    chunks[seq] = found
+                if us > state[0]:
+                    state[0] = us
+                if is_last and seq >= state[1]:
+                    state[1] = seq + 1
+                state[3] = mark
                 if len(chunks) > ReplyChunks.HELD:
                     on += self._pass(reply, held, passed)
             if on:
-                yield self._chunks(key, on, mark)
-        on = []
-        for reply in touched:
-            if reply in held and len(held[reply][2]) != held[reply][1]:
-                on += self._pass(reply, held, passed)
-        if on:
-            yield self._chunks(key, on, mark)
+                yield self._chunks(on, mark)
         self._save(held, passed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         held, passed = self._load()
-        ready = []
-        for reply, (last, _, chunks) in held.items():
-            if last < mark:
+        due, ready, on = [reply for reply, state in held.items() if self._due(state) < mark], [], []
+        for reply in due:
+            last, ends, chunks, _ = held[reply]
+            if len(chunks) == ends:
+                del held[reply]
                 texts = [chunks[seq] for seq in sorted(chunks)]
-                ready.append((reply, "".join(t[1] for t in texts), "".join(t[2] for t in texts), len(texts), last))
+                ready.append((reply, "".join(t[1] for t in texts), "".join(t[2] for t in texts), ends, last))
+            else:
+                on += self._pass(reply, held, passed)
         for done in (ready[i:i + self.PACK] for i in range(0, len(ready), self.PACK)):
-            yield self._frame(key, [mark + 1000], whole=True, **{name: [list(values)] for name, values in zip(DONE, zip(*done))})
-        gone = {r[0] for r in ready}
-        self._save({r: v for r, v in held.items() if r not in gone}, {r: last for r, last in passed.items() if last + self.linger >= mark})
+            yield self._frame([mark + 1000], bucket=[key[0]], done=[{name: list(values) for name, values in zip(DONE, zip(*done))}])
+        if on:
+            yield self._chunks(on, mark)
+        self._save(held, {reply: last for reply, last in passed.items() if last + self.linger >= mark})
+
+    def _due(self, state: list) -> int:
+        """The moment at which a reply leaves if no further chunk comes."""
+        last, ends, chunks, touched = state
+        return last if len(chunks) == ends else min(touched, last + self.silence)
 
     def _pass(self, reply, held: dict, passed: dict) -> list[tuple]:
         """Chunks that make ``ReplyChunks`` know what is known here, the reply's last moment and end included."""
-        last, ends, chunks = held.pop(reply)
+        last, ends, chunks, _ = held.pop(reply)
         passed[reply] = last
         on = [(reply, seq, *chunk, seq + 1 == ends) for seq, chunk in chunks.items()]
         if last > max(chunk[0] for chunk in chunks.values()):  # the moment of a chunk that came again
             on.append((reply, on[0][1], last, *on[0][3:5], False))
         return on
 
-    def _chunks(self, key, on: list[tuple], mark: int) -> pd.DataFrame:
+    def _chunks(self, on: list[tuple], mark: int) -> pd.DataFrame:
         """Rows that the next operator does not take for late ones, since they were not late here."""
         chunks = dict(zip(("reply", "seq", "us", "reasoning", "content", "is_last"), map(list, zip(*on))))
-        return self._frame(key, [max(us, mark + 1000) for us in chunks["us"]], whole=False, **chunks)
+        return self._frame([max(us, mark + 1000) for us in chunks["us"]], **chunks)
 
-    def _frame(self, key, moments: list[int], whole: bool, **columns: list) -> pd.DataFrame:
-        size = len(moments)
-        columns = {"bucket": [key[0]] * size, "whole": [whole] * size, "ts": _moments(moments), **columns}
-        return pd.DataFrame({name: columns.get(name, [None] * size) for name in PASSED})
+    def _frame(self, moments: list[int], **columns: list) -> pd.DataFrame:
+        columns["ts"] = _moments(moments)
+        return pd.DataFrame({name: columns.get(name, [None] * len(moments)) for name in PASSED})
 
     def _load(self) -> tuple[dict, dict]:
         state = self.state.get()
@@ -400,18 +411,18 @@ class ReplyBuckets(StatefulProcessor):
             self.state.clear()
             return
         self.state.update((pickle.dumps((held, passed), 5),))
-        self.handle.registerTimer(min([v[0] for v in held.values()] + [last + self.linger for last in passed.values()]) // 1000 + 1)
+        self.handle.registerTimer(min([self._due(state) for state in held.values()] + [last + self.linger for last in passed.values()]) // 1000 + 1)
 
     def close(self) -> None:
         pass
 
 
 class PassedReplies(ReplyChunks):
-    """``ReplyChunks`` behind ``ReplyBuckets``: rows of whole replies go through, rows of chunks are put together. The result has ``DONE`` columns."""
+    """``ReplyChunks`` behind ``ReplyBuckets``: whole replies, the rows with a bucket, go through; chunks are put together. The result has ``DONE`` columns."""
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if key[2]:
-            return (Row(**{name: row[name] for name in DONE}, complete=True) for row in rows)
+        if key[1] is not None:
+            return (Row(**row.done, complete=True) for row in rows)
         return super().handleInputRows(key, rows, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:

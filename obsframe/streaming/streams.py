@@ -135,7 +135,7 @@ def stream_replies(deltas: DataFrame, watermark: str, silence: str = "10m", buck
     A reply may pause for as long as ``silence``; one that stays silent longer goes out as it is, not ``complete``. Of a chunk that came
     twice with different text the one with the earlier ``ts`` counts, at one moment the smaller text. A reply's state is gone once it is out.
 
-    Replies that come whole within a batch wait together in ``buckets``, whose number belongs to the checkpoint; all others have a state of their own.
+    Replies that fill up without a pause wait together in ``buckets``, whose number belongs to the checkpoint; all others get a state of their own.
     """
     _use_rocksdb(deltas.sparkSession)
     field, pause = deltas.schema["response_id"], round(parse_duration(silence).total_seconds() * 1_000_000)
@@ -144,14 +144,15 @@ def stream_replies(deltas: DataFrame, watermark: str, silence: str = "10m", buck
     rows = deltas.select(F.when(F.isnotnull("response_id"), F.pmod(F.xxhash64("response_id"), F.lit(buckets)).cast("int")).otherwise(-1).alias("bucket"),
                          F.col("response_id").cast(text).alias("reply"), F.col("seq").cast("long").alias("seq"), "ts", F.unix_micros("ts").alias("us"),
                          "reasoning", "content", F.coalesce("is_last", F.lit(False)).alias("is_last")).withWatermark("ts", interval(watermark))
-    lists = "reasonings array<string>, answers array<string>, counts array<bigint>, ended_us array<bigint>"
+    lists = lambda ids, sep: f"ids{sep} array<{ids}>, reasonings{sep} array<string>, answers{sep} array<string>, counts{sep} array<bigint>, " \
+                             f"ended_us{sep} array<bigint>"
     passed = rows.groupBy("bucket").transformWithStateInPandas(
         ReplyBuckets(pause), outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts",
-        outputStructType=f"reply {text}, bucket int, whole boolean, ts timestamp, seq bigint, us bigint, reasoning string, content string, is_last boolean, "
-                         f"ids array<{text}>, {lists}")
-    done = passed.withColumns({"response_id": F.col("reply").cast(kind), "ids": F.col("ids").cast(f"array<{kind}>")}).drop("reply").groupBy(
-        "response_id", "bucket", "whole").transformWithState(
-        PassedReplies(pause), outputMode="Append", timeMode="EventTime", outputStructType=f"ids array<{kind}>, {lists}, complete boolean")
+        outputStructType=f"reply {text}, bucket int, ts timestamp, seq bigint, us bigint, reasoning string, content string, is_last boolean, "
+                         f"done struct<{lists(text, ':')}>")
+    known = passed.withColumns({"response_id": F.col("reply").cast(kind), "done": F.col("done").cast(f"struct<{lists(kind, ':')}>")}).drop("reply")
+    done = known.groupBy("response_id", "bucket").transformWithState(
+        PassedReplies(pause), outputMode="Append", timeMode="EventTime", outputStructType=f"{lists(kind, '')}, complete boolean")
     return done.select("complete", F.inline(F.arrays_zip(*DONE))).select(
         F.col("ids").alias("response_id"), F.col("reasonings").alias("reasoning"), F.col("answers").alias("answer"), F.col("counts").alias("chunks"),
         F.timestamp_micros("ended_us").alias("ended_at"), "complete")

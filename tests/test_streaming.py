@@ -338,8 +338,8 @@ def test_where_a_reply_is_held_does_not_show(monkeypatch):
             frames = first.batch(groups(now, lambda c: (c[0] % 2,), lambda v: [pd.DataFrame(v[i:i + 3], columns=fields) for i in range(0, len(v), 3)]), mark)
             rows = [Row(**r) for f in frames for r in f.to_dict("records")]
             assert all(r.ts.value // 1000 > mark for r in rows)
-            seen |= {r.whole for r in rows}
-            packed = then.batch(groups(rows, lambda r: (r.reply, r.bucket, r.whole), list), mark)
+            seen |= {r.done is None for r in rows}
+            packed = then.batch(groups(rows, lambda r: (r.reply, r.bucket), list), mark)
             got = [(*values, p.complete) for p in packed for values in zip(*(p[name] for name in DONE))]
             moment = lambda r: round(r.ended_at.timestamp() * second)
             assert sorted(got) == sorted((r.response_id, r.reasoning, r.answer, r.chunks, moment(r), r.complete) for r in want)
